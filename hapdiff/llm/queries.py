@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hapdiff.llm import line_dedup, quality_rules, sharding
+from hapdiff.llm import decontam, line_dedup, near_dedup, quality_rules, sharding
 from hapdiff.llm.common import read_table
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = quality_rules.judge(led, quality_rules.POLICIES["base"]).withColumnRenamed("kept", "_base")
@@ -27,12 +31,24 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontam.mark_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    n = F.size("leaked_items")
+    return out.select(
+        "doc_id", (n > 0).alias("contaminated"), n.cast("long").alias("n_items"), F.array_join("leaked_items", ",").alias("items")
+    )
+
+
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
+    "op5_near_dedup": op5_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLE_SQL = {
+    "op4_decontamination": decontam.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
 }
