@@ -49,6 +49,11 @@ def words_of(c: Column) -> Column:
     return F.filter(F.split(c, SPACE_RUN), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, even where a lambda of body uses it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or the first variant of it that df doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hapdiff.llm.common import ascii_lower, whole, words_of
+from hapdiff.llm.common import ascii_lower, let, whole, words_of
 
 MASKS = ("11111", "1101011", "110010011")
 #: A leak is a stretch of this many words of an item (all of a shorter item), four fifths of them equal.
@@ -23,20 +23,21 @@ def _hashes(text: Column) -> Column:
     return F.transform(words_of(ascii_lower(whole(text))), lambda w: F.xxhash64(w))
 
 
-def _seed_of(words: str, k: int, mask: str):
-    rest = [j for j, c in enumerate(mask) if c == "1"][1:]
-    return lambda w, i: F.xxhash64(F.lit(k), w, *[F.get(F.col(words), i + j) for j in rest])
+def _seed_arrays(words: Column) -> Column:
+    """For each mask an array of the seeds of all positions."""
 
+    def own(k: int, mask: str) -> Column:
+        span, rest = len(mask), [j for j, c in enumerate(mask) if c == "1"][1:]
+        starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (span - 1), F.lit(0)))
+        return F.transform(starts, lambda w, i: F.xxhash64(F.lit(k), w, *[F.get(words, i + j) for j in rest]))
+
+    return F.array(*[own(k, m) for k, m in enumerate(MASKS)])
 
-def _seeds(df: DataFrame, keys: list[str], words: str = "_wh") -> DataFrame:
-    """keys, seed, at: a row for each mask and position."""
-    arrays = []
-    for k, mask in enumerate(MASKS):
-        span = len(mask)
-        own = F.transform(F.slice(words, F.lit(1), F.size(words) - (span - 1)), _seed_of(words, k, mask))
-        arrays.append(F.when(F.size(words) >= span, own).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_all", F.array(*arrays))
-    return df.select(*keys, F.explode("_all").alias("_one")).select(*keys, F.posexplode("_one").alias("at", "seed"))
+
+def _seeds(df: DataFrame, keys: list[str], words: Column) -> DataFrame:
+    """keys, seed, at: a row for each mask and position. The outer explodes keep the optimizer from judging the arrays twice."""
+    one = df.select(*keys, F.explode_outer(let(words, _seed_arrays)).alias("_one"))
+    return one.select(*keys, F.posexplode_outer("_one").alias("at", "seed"))
 
 
 def find_leaks(
@@ -50,27 +51,30 @@ def find_leaks(
     leak_key() of the document.
     """
     items = benchmark.select(F.col(item_col).alias("item"), _hashes(F.col(item_text_col)).alias("_wh")).distinct()
-    seeds = _seeds(items.withColumn("_iw", F.col("_wh")), ["item"]).select("seed", "item", F.col("at").alias("item_at")).distinct()
-    n = seeds.count()
-    own = docs.select(leak_key(id_col, text_col).alias("row_key"), _hashes(F.col(text_col)).alias("_wh"))
-    at = _seeds(own, ["row_key"])
-    hits = at.join(F.broadcast(seeds) if n <= BROADCAST_SEEDS else seeds, "seed")
+    seeds = _seeds(items, ["item"], F.col("_wh")).filter("seed is not null").select("seed", "item", F.col("at").alias("item_at")).distinct()
+    n_seeds = seeds.count()
+    keyed = docs.select(leak_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("_text"))
+    at = _seeds(keyed, ["row_key"], _hashes(F.col("_text")))
+    hits = at.join(F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds, "seed")
     hits = hits.select("row_key", "item", (F.col("at") - F.col("item_at")).alias("first_word")).distinct()
-    # each item's words go with its hits, each document's words meet them by key
-    pairs = hits.join(items.withColumnRenamed("_wh", "_iw"), "item").join(own, "row_key")
-    equal = F.transform(
-        "_iw", lambda w, j: F.coalesce(F.get(F.col("_wh"), F.col("first_word") + j) == w, F.lit(False)).cast("int")
-    )
-    pairs = pairs.select("row_key", "item", "first_word", equal.alias("_eq"))
-    w = F.least(F.size("_eq"), F.lit(STRETCH))
-    best = F.array_max(
-        F.transform(
-            F.sequence(F.lit(1), F.size("_eq") - w + 1),
-            lambda s: F.aggregate(F.slice(F.col("_eq"), s, F.least(F.size("_eq"), F.lit(STRETCH))), F.lit(0), lambda a, x: a + x),
-        )
-    )
-    pairs = pairs.withColumn("matched", best)
-    return pairs.filter(5 * F.col("matched") >= 4 * w).select("row_key", "item", "first_word", "matched")
+    # all hits of a document meet its text at once, so that its words are hashed once
+    hits = hits.join(items.withColumnRenamed("_wh", "iw"), "item")
+    pairs = hits.groupBy("row_key").agg(F.collect_list(F.struct("item", "first_word", "iw")).alias("_hits")).join(keyed, "row_key")
+    judged = let(_hashes(F.col("_text")), lambda wh: F.transform("_hits", lambda h: _matched(wh, h)))
+    found = pairs.select("row_key", F.explode_outer(judged).alias("m")).select("row_key", "m.*")
+    return found.filter(5 * F.col("matched") >= 4 * F.col("n")).select("row_key", "item", "first_word", "matched")
+
+
+def _matched(words: Column, hit: Column) -> Column:
+    """item, first_word, matched: the most equal words in a stretch of n words of the item on this diagonal."""
+    n = F.least(F.size(hit["iw"]), F.lit(STRETCH))
+    equal = F.transform(hit["iw"], lambda w, j: F.coalesce(F.get(words, hit["first_word"] + j) == w, F.lit(False)).cast("int"))
+
+    def best(eq: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(eq) - n + 1)
+        return F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(eq, s, n), F.lit(0), lambda a, x: a + x)))
+
+    return F.struct(hit["item"].alias("item"), hit["first_word"].alias("first_word"), let(equal, best).alias("matched"), n.alias("n"))
 
 
 def leak_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
