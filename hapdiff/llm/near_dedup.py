@@ -7,7 +7,7 @@ confirmed on the full shingle sets.
 
 Group sizes are never squared: exact copies of a set are one class; in a band's bucket all members are
 first compared with its smallest id, and after that only members of different components are compared,
-in blocks of BLOCK members.
+in blocks of BLOCK members whose tasks send back no more links than members.
 """
 
 from __future__ import annotations
@@ -116,22 +116,77 @@ def _close(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield batch.select(["u", "v"]).filter(pa.array(found))
 
 
-def _across(table: pa.Table, least: float) -> pa.Table:
-    """Pairs between the two sides of a block that are in different components and estimated close."""
-    side = np.asarray(table.column("side"))
-    node = np.asarray(table.column("node"), np.int64)
+def _across(table: pa.Table, least: float, width: int) -> pa.Table:
+    """One row with the pairs between a block's two sides that are in different components and estimated close.
+
+    Pairs that share an earlier band too are left to that band.
+    """
+    side, band = np.asarray(table.column("side")), table.column("index")[0].as_py()
     comp = np.asarray(table.column("comp"), np.int64)
     n = np.asarray(table.column("n_shingles"), np.float64)
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    right = right if len(right) else left
-    if not len(left):
-        left = right
-    ok = (estimate(sig[left], sig[right], n[left], n[right]) >= least) & (comp[left][:, None] != comp[right][None, :])
-    i, j = np.nonzero(ok)
-    u, v = node[left[i]], node[right[j]]
-    pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
-    return pa.table({"u": pairs[0], "v": pairs[1]})
+    if not len(left) or not len(right):
+        left = right = left if len(left) else right
+    i, j = np.nonzero((estimate(sig[left], sig[right], n[left], n[right]) >= least) & (comp[left][:, None] != comp[right][None, :]))
+    u, v = left[i], right[j]
+    if band and len(u):
+        own = np.ones(len(u), bool)
+        for k in range(0, len(u), 1 << 15):
+            before = sig[u[k : k + (1 << 15)], : band * width] == sig[v[k : k + (1 << 15)], : band * width]
+            own[k : k + (1 << 15)] = ~before.reshape(len(before), band, width).all(axis=2).any(axis=1)
+        u, v = u[own], v[own]
+    u, v = np.minimum(u, v), np.maximum(u, v)
+    pairs = np.unique(u.astype(np.int64) << np.int64(32) | v)
+    wanted, at = np.unique(np.r_[pairs >> np.int64(32), pairs & np.int64(0xFFFFFFFF)], return_inverse=True)
+    if not len(pairs):
+        return _groups(table, 0).append_column("nodes", pa.array([], pa.list_(pa.int64()))).append_column("pairs", pa.array([], pa.binary()))
+    nodes = np.asarray(table.column("node"), np.int64)[wanted]
+    ends = nodes[at].reshape(2, -1)
+    return _groups(table, 1).append_column("nodes", pa.array([nodes], pa.list_(pa.int64()))).append_column("pairs", pa.array([ends.tobytes()], pa.binary()))
+
+
+def _groups(table: pa.Table, rows: int) -> pa.Table:
+    return table.select(GROUP).slice(0, rows)
+
+
+GROUP = ["band", "kind", "i", "j"]
+
+
+def _runs(text: str | None, k: int) -> np.ndarray:
+    hashes, counts = word_hashes([text], lower=True)
+    return np.unique(run_hashes(hashes, min(k, int(counts[0])))) if counts[0] else hashes
+
+
+def _linked(pairs: pa.Table, texts: pa.Table, k: int, hundredths: int) -> pa.Table:
+    """Of the pairs of a block those that are linked on full sets, but none whose ends others connect already."""
+    sets: dict[int, list] = {}
+    for node, text in zip(texts.column("node"), texts.column("text"), strict=True):
+        sets.setdefault(node.as_py(), []).append(_runs(text.as_py(), k))
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.get(x, x) != x:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    for raw in pairs.column("pairs"):
+        for u, v in np.frombuffer(raw.as_py(), np.int64).reshape(2, -1).T.tolist():
+            a, b = top(u), top(v)
+            if a == b:
+                continue
+            for x in sets.get(u, ()):
+                for y in sets.get(v, ()):
+                    small, big = (x, y) if len(x) <= len(y) else (y, x)
+                    if 100 * len(small) < hundredths * len(big):
+                        continue
+                    both = int((big[np.minimum(np.searchsorted(big, small), len(big) - 1)] == small).sum())
+                    if 100 * both >= hundredths * (len(x) + len(y) - both) and top(u) != top(v):
+                        above[top(u)] = top(v)
+                        out.append((u, v))
+    return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
 
 def shingle_set(text: str | None, k: int) -> frozenset:
@@ -183,23 +238,24 @@ def near_duplicates(
     width = band_width(similarity)
     large = F.col("n_shingles") * (1 - similarity) >= similarity - 1e-9  # smaller sets are like no other set
     key = lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * width) + 1, F.lit(2 * width)))
-    bands = nodes.filter(large).select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // width - 1)), key)).alias("band"))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // width - 1)), key)
+    bands = nodes.filter(large).select("node", F.posexplode(keys).alias("index", "band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1").drop("n")
     members = cut(bands.join(shared, "band"))
     sig = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"))
     stars = members.filter("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     stars = stars.join(sig("v"), "v").join(sig("u"), "u").mapInArrow(partial(_close, least=least), "u long, v long")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        texts = own.join(wanted, "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
-        side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
-        # joined by u last, so that v, the leader of many, travels and u's set is made once
-        found = pairs.join(side("v"), "v").join(side("u"), "u")
-        return found.mapInArrow(partial(_confirm, k=shingle, hundredths=hundredths), "u long, v long").distinct()
+    def texts_of(ids: DataFrame) -> DataFrame:
+        found = own.join(ids.distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("text"))
+        return found.dropDuplicates(["doc_id", "h"]).drop("h")
 
-    first = cut(confirmed(stars).unionByName(same_id))
+    stars = cut(stars)
+    texts = texts_of(stars.select(F.explode(F.array("u", "v")).alias("doc_id")))
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
+    # joined by u last, so that v, the leader of many, travels and u's set is made once
+    found = stars.join(side("v"), "v").join(side("u"), "u").mapInArrow(partial(_confirm, k=shingle, hundredths=hundredths), "u long, v long")
+    first = cut(found.distinct().unionByName(same_id))
     comp = components(first).withColumnRenamed("component", "comp")
     placed = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
@@ -217,14 +273,22 @@ def near_duplicates(
             F.transform(F.filter(F.sequence(F.lit(0), F.col("b")), lambda i: i < F.col("b")), lambda i: block(1, i, F.col("b"), 1)),
         )
     )
-    blocks = mixed.select("band", "node", "comp", F.explode(to).alias("t")).select("band", "t.*", "node", "comp")
+    blocks = mixed.select("band", "index", "node", "comp", F.explode(to).alias("t")).select("band", "index", "t.*", "node", "comp")
     blocks = blocks.join(nodes.select("node", "sig", "n_shingles"), "node")
 
-    def across_blocks(table: pa.Table) -> pa.Table:
-        return _across(table, least)
+    def propose(table: pa.Table) -> pa.Table:
+        return _across(table, least, width)
+
+    def confirm(pairs_of: pa.Table, texts_of: pa.Table) -> pa.Table:
+        return _linked(pairs_of, texts_of, shingle, hundredths)
 
-    across = blocks.groupBy("band", "kind", "i", "j").applyInArrow(across_blocks, "u long, v long")
-    final = components(first.unionByName(confirmed(across))).withColumnRenamed("component", "comp")
+    group = "band long, kind int, i int, j int"
+    proposed = cut(blocks.groupBy(*GROUP).applyInArrow(propose, f"{group}, nodes array<long>, pairs binary"))
+    wanted = proposed.select(*[F.col(c).alias(c) for c in GROUP], F.explode("nodes").alias("node"))
+    texts = texts_of(wanted.select(F.col("node").alias("doc_id"))).withColumnRenamed("doc_id", "node")
+    sent = wanted.join(texts, "node").select(*GROUP, "node", "text")
+    across = proposed.select(*GROUP, "pairs").groupBy(*GROUP).cogroup(sent.groupBy(*GROUP)).applyInArrow(confirm, "u long, v long")
+    final = components(first.unionByName(across)).withColumnRenamed("component", "comp")
 
     out = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").join(final, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hapdiff.llm import decontam, line_dedup, near_dedup, quality_rules, sharding, substring_dedup
+from hapdiff.llm import ctw, decontam, line_dedup, near_dedup, quality_rules, sharding, substring_dedup
 from hapdiff.llm.common import read_table
 
 
@@ -31,6 +31,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return ctw.score(docs, train=F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.cut_repeats(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -46,6 +51,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ctw": op1_ctw,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_near_dedup": op5_near_dedup,
