@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from hapdiff.llm.common import checkpoint_dir, cut, partitions
 from hapdiff.llm.wordhash import slices
 
-DEPTH = 4
+DEPTH = 5
 BLOCK_BYTES = 16 << 20
 #: The end of a text: a byte that no word holds. It is also what stands before a text.
 END = b"\n"
