@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hapdiff.llm import ctw, decontam, line_dedup, near_dedup, quality_rules, sharding, substring_dedup
+from hapdiff.llm import ctw, decontam, line_dedup, near_dedup, quality_rules, sentencepiece_codec, sharding, substring_dedup
 from hapdiff.llm.common import read_table
 
 
@@ -36,6 +36,14 @@ def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(docs, train=F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
+    model = sentencepiece_codec.read_model(spark, vocabulary)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.cut_repeats(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -52,6 +60,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ctw": op1_ctw,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_near_dedup": op5_near_dedup,
