@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hapdiff.llm.common import whole, words_of
+from hapdiff.llm.common import let, whole, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -56,63 +56,57 @@ POLICIES = {
 }
 
 
+def _repeated(hashes: Column) -> Column:
+    """How many words are in windows of WINDOW words that the text holds twice or more; hashes: one for each word."""
+    starts = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0)))
+    windows = F.transform(starts, lambda _, i: F.xxhash64(F.slice(hashes, i + 1, WINDOW)))
+
+    def places(s: Column) -> Column:
+        """Ascending starts of the windows that stand beside an equal one in s, the sorted windows."""
+
+        def same(x: Column, j: Column) -> Column:
+            return F.coalesce(x["h"] == F.get(s, j)["h"], F.lit(False))
+
+        return F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["p"]))
+
+    def covered(at: Column) -> Column:
+        each = F.transform(at, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - p, F.lit(WINDOW))))
+        return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def count(win: Column) -> Column:
+        in_order = F.sort_array(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(win)) < F.size(win), let(let(in_order, places), covered)).otherwise(F.lit(0).cast("long"))
+
+    return let(windows, count)
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with MEASURES as long columns (columns of those names are replaced). Null texts count as empty."""
     keep = [c for c in docs.columns if c.lower() not in MEASURES]
-    df = docs.select(*keep, whole(F.col(text_col)).alias("_text"))
-    df = df.withColumn("_words", words_of(F.col("_text")))
-    # named steps: an expression inside a lambda would be evaluated once for each element
-    df = df.withColumn("_wh", F.transform("_words", lambda w: F.xxhash64(w)))
-    n = F.size("_words")
-    df = df.withColumn(
-        "_win",
-        F.when(
-            n >= WINDOW,
-            F.transform(F.slice("_wh", F.lit(1), F.size("_wh") - (WINDOW - 1)), lambda _, i: F.xxhash64(F.slice(F.col("_wh"), i + 1, WINDOW))),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
-    twice = F.size(F.array_distinct("_win")) < F.size("_win")
-    df = df.withColumn(
-        "_sorted",
-        F.when(twice, F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))).otherwise(
-            F.array().cast("array<struct<h:bigint,p:int>>")
-        ),
-    )
-
-    def beside(j: Column) -> Column:
-        return F.get(F.col("_sorted"), j)["h"]
-
-    df = df.withColumn(
-        "_at",
-        F.sort_array(
-            F.transform(
-                F.filter("_sorted", lambda x, j: F.coalesce(x["h"] == beside(j - 1), F.lit(False)) | F.coalesce(x["h"] == beside(j + 1), F.lit(False))),
-                lambda x: x["p"],
-            )
+    t = whole(F.col(text_col))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    all_chars = F.char_length(t)
+    of_words = let(
+        words_of(t),
+        lambda w: F.struct(
+            F.size(w).alias("n_words"),
+            F.char_length(F.array_join(w, "")).alias("word_chars"),
+            let(F.transform(w, lambda x: F.xxhash64(x)), _repeated).alias("n_repeat_words"),
         ),
     )
-    covered = F.aggregate(
-        F.transform("_at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_at"), i + 1) - p, F.lit(WINDOW)))),
-        F.lit(0).cast("long"),
-        lambda a, x: a + x,
+    of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
+    made = F.struct(
+        of_words.alias("w"),
+        of_lines.alias("l"),
+        (all_chars - F.char_length(F.translate(t, SYMBOLS, ""))).alias("n_symbols"),
+        (all_chars - F.char_length(F.regexp_replace(t, r"\p{Lu}+", ""))).alias("n_upper"),
+        (all_chars - F.char_length(F.regexp_replace(t, r"\p{L}+", ""))).alias("n_letters"),
+        (all_chars - F.char_length(F.translate(t, "!?", ""))).alias("n_marks"),
     )
-    t = F.col("_text")
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("_lines", lines).withColumn("_n_repeat", covered)
-    upper = F.char_length(t) - F.char_length(F.regexp_replace(t, r"\p{Lu}+", ""))
-    letters = F.char_length(t) - F.char_length(F.regexp_replace(t, r"\p{L}+", ""))
-    made = {
-        "n_words": n,
-        "word_chars": F.char_length(F.array_join("_words", "")),
-        "n_symbols": F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, "")),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": F.col("_n_repeat"),
-        "n_lines": F.size("_lines"),
-        "n_upper": upper,
-        "n_letters": letters,
-        "n_marks": F.char_length(t) - F.char_length(F.translate(t, "!?", "")),
-    }
-    return df.select(*keep, *[made[m].cast("long").alias(m) for m in MEASURES])
+    # behind a generator no later filter makes Spark compute the measurements anew
+    df = docs.select(*keep, F.explode_outer(F.array(made)).alias("_m"))
+    at = {"n_words": "w.", "word_chars": "w.", "n_repeat_words": "w.", "n_lines": "l.", "n_dup_lines": "l."}
+    return df.select(*keep, *[F.col(f"_m.{at.get(m, '')}{m}").cast("long").alias(m) for m in MEASURES])
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:

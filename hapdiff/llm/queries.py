@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hapdiff.llm import ctw, decontam, line_dedup, near_dedup, quality_rules, sentencepiece_codec, sharding, substring_dedup
+from hapdiff.llm import ctw, decontam, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup, wrapper
 from hapdiff.llm.common import read_table
 
 
@@ -13,6 +13,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = quality_rules.judge(led, quality_rules.POLICIES["base"]).withColumnRenamed("kept", "_base")
@@ -58,15 +62,25 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
+    held = quality_classifier.held_out()
+    vectors, network = quality_classifier.train(docs.filter(~held), labels.filter(~held))
+    out = quality_classifier.score(docs, vectors, network)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_ctw": op1_ctw,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_near_dedup": op5_near_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_quality_rules": op7_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL = {
     "op4_decontamination": decontam.ORACLE_SQL,
