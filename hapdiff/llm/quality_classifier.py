@@ -69,8 +69,11 @@ def _contexts(texts: list, index: np.ndarray) -> np.ndarray:
             for k in range(0, len(a), 1 << 16):
                 x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
                 seen = index[one[y]] + index[two[y]]
-                np.add.at(out, one[x], seen)
-                np.add.at(out, two[x], seen)
+                for slots in (one[x], two[x]):
+                    order = np.argsort(slots, kind="stable")
+                    own = slots[order]
+                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    out[own[first]] += np.add.reduceat(seen[order], first, axis=0)
     return out
 
 

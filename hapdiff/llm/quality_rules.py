@@ -23,7 +23,7 @@ def _failing() -> list[tuple[str, Column]]:
     return [
         ("few_words", c("n_words") < 20),
         ("repeated_windows", 100 * c("n_repeat_words") > 30 * c("n_words")),
-        ("symbols", 100 * c("n_symbols") > 50 * c("n_words")),
+        ("symbols", 100 * c("n_symbols") > 20 * c("n_words")),
         ("repeated_lines", (c("n_dup_lines") >= 3) & (100 * c("n_dup_lines") > 50 * c("n_lines"))),
         ("shouting", 100 * c("n_upper") > 60 * c("n_letters")),
         ("marks", 100 * c("n_marks") > 60 * c("n_words")),
@@ -168,7 +168,7 @@ q as (select *, len(ls) - len(list_distinct(ls)) as n_dup_lines, len(ls) as n_li
 b as (select *, (n_words < 20 or 100*n_repeat_words > 30*n_words) as base_failed from q)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
        n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
-       not (base_failed or 100*n_symbols > 50*n_words or (n_dup_lines >= 3 and 100*n_dup_lines > 50*n_lines)
+       not (base_failed or 100*n_symbols > 20*n_words or (n_dup_lines >= 3 and 100*n_dup_lines > 50*n_lines)
             or 100*n_upper > 60*n_letters or 100*n_marks > 60*n_words or word_chars > 40*n_words
             or 100*n_letters < 40*word_chars) as kept
 from b
