@@ -8,7 +8,6 @@ layer; its probabilities are calibrated by a temperature on part of the sample t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,17 +23,21 @@ from hapdiff.llm.wordhash import slices
 SLOTS, DIMS, SIGNS, REACH, HIDDEN = 1 << 15, 64, 6, 2, 32
 #: The most labelled rows that are learned from: those with the smallest hashes of their ids. Bounds the driver's work.
 SAMPLE = 20_000
-EPOCHS = 40
+EPOCHS = 20
 
-_CLASSES = bytes.maketrans(bytes(range(256)), bytes(
-    0x41 if 65 <= b <= 90 else 0x61 if 97 <= b <= 122 or b >= 128 else 0x30 if 48 <= b <= 57 else b for b in range(256)
-))
-_RUN = re.compile(rb"(.)\1+", re.DOTALL)
+_CLASS = np.arange(256, dtype=np.uint8)
+_CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 0x41, 0x61, 0x61, 0x30
 
 
-def shape(word: bytes) -> bytes:
-    """Runs of capitals, other letters and digits as one A, a or 0; other characters stay, repeated ones twice."""
-    return _RUN.sub(rb"\1\1", _RUN.sub(rb"\1\1", word.translate(_CLASSES)))
+def shapes(words: list[bytes]) -> list[bytes]:
+    """Of each word, runs of capitals, other letters and digits as one A, a or 0, and runs of another character as two of it."""
+    if not words:
+        return []
+    c = _CLASS[np.frombuffer(b"\n".join(words), np.uint8)]
+    before = np.r_[np.uint8(0), c[:-1]]
+    twice = (c == before) & (np.r_[np.uint8(0), before[:-1]] == c)
+    kind = (c == 0x41) | (c == 0x61) | (c == 0x30)
+    return c[~np.where(kind, c == before, twice)].tobytes().split(b"\n")
 
 
 def index_vectors() -> np.ndarray:
@@ -53,7 +56,7 @@ def _slots(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = pa.array([w for own in words for w in own], pa.binary()).dictionary_encode()
     unique = flat.dictionary.to_pylist()
     one = np.fromiter((xxhash.xxh3_64_intdigest(w) % SLOTS for w in unique), np.int64, len(unique))
-    two = np.fromiter((xxhash.xxh3_64_intdigest(shape(w), 1) % SLOTS for w in unique), np.int64, len(unique))
+    two = np.fromiter((xxhash.xxh3_64_intdigest(w, 1) % SLOTS for w in shapes(unique)), np.int64, len(unique))
     codes = np.asarray(flat.indices)
     return one[codes] if len(codes) else one, two[codes] if len(codes) else two, counts
 
@@ -78,9 +81,10 @@ def _contexts(texts: list, index: np.ndarray) -> np.ndarray:
 
 
 def features(texts: list, vectors: np.ndarray) -> np.ndarray:
-    """4 x DIMS + 2 for each text: mean and spread of its words' and shapes' vectors, and its length; zeros for no words."""
+    """4 x DIMS + 4 for each text: mean and spread of its words' and shapes' vectors, its length, and how often a word's
+    vector is that of the word before and that of any other word; zeros for no words."""
     one, two, counts = _slots(texts)
-    out = np.zeros((len(texts), 4 * DIMS + 2), np.float32)
+    out = np.zeros((len(texts), 4 * DIMS + 4), np.float32)
     starts = np.cumsum(counts) - counts
     some = np.flatnonzero(counts)
     for k in range(0, len(some), 64):
@@ -93,6 +97,11 @@ def features(texts: list, vectors: np.ndarray) -> np.ndarray:
             square = np.add.reduceat(v * v, starts[own] - lo, axis=0) / n
             out[own, 2 * j * DIMS : (2 * j + 1) * DIMS] = mean
             out[own, (2 * j + 1) * DIMS : (2 * j + 2) * DIMS] = np.sqrt(np.maximum(square - mean * mean, 0))
+    doc = np.repeat(np.arange(len(texts)), counts)
+    again = np.bincount(doc[1:][(one[1:] == one[:-1]) & (doc[1:] == doc[:-1])], minlength=len(texts))
+    kinds = np.bincount(np.unique(doc * SLOTS + one) // SLOTS, minlength=len(texts))
+    out[:, -4] = again / np.maximum(counts, 1)
+    out[:, -3] = 1 - kinds / np.maximum(counts, 1)
     out[:, -2] = np.log1p(counts)
     out[:, -1] = (counts == 0).astype(np.float32)
     return out
