@@ -8,27 +8,28 @@ depths of the context, each against what lies deeper by its ratio Pe : product o
 
 The model is a table of (DEPTH + 1)-byte strings. Strings are counted in blocks of documents, summed by a
 shuffle, weighted in groups that share the last two context bytes (all deeper contexts of a group are in it),
-and the code lengths go back to the blocks that asked for them.
+and the code lengths go back to the blocks that asked for them. Blocks send their distinct strings and words
+to buckets as packed arrays: a key that all texts hold is there once for each block.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hapdiff.llm.common import checkpoint_dir, cut, partitions
-from hapdiff.llm.wordhash import slices
+from hapdiff.llm.common import cut, partitions
+from hapdiff.llm.wordhash import mix, slices
 
 DEPTH = 5
 BLOCK_BYTES = 16 << 20
+SLICE = 1 << 20
 #: The end of a text: a byte that no word holds. It is also what stands before a text.
 END = b"\n"
 #: The word table's key of the end token.
@@ -145,7 +146,7 @@ def _lengths(table: pa.Table, depth: int, plus: np.ndarray, times: np.ndarray) -
     last = int(grams[0] >> 8 & 255)
     p = plus[last][NODES[symbol]] + times[last][NODES[symbol]] * p
     chosen = np.where(BITS[symbol] == 1, p, 1.0 - p)
-    return pa.table({"key": table.column("key"), "bits": pa.array(np.log10(chosen).sum(axis=1))})
+    return pa.table({"bucket": table.column("bucket"), "key": table.column("key"), "bits": pa.array(np.log10(chosen).sum(axis=1))})
 
 
 def _top(rows: list, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,55 +190,92 @@ class _Texts:
         self.grams = grams[inside]
 
 
-def _count(table: pa.Table, depth: int) -> pa.Table:
-    """kind, block, key, n: what the block's texts hold and how often its training texts hold it."""
-    grams, words = [], []
-    add = lambda into, keys, n: into.append(pd.Series(n, index=keys).groupby(level=0, sort=False).sum())
+def pack(values: np.ndarray) -> bytes:
+    """64-bit values as compressed planes of bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack(raw: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n[order], first) if len(keys) else n
+
+
+def _count(table: pa.Table, depth: int, buckets: int) -> pa.Table:
+    """kind, bucket, block, keys, n: what the block's texts hold and how often its training texts hold it."""
+    found = {GRAM: (np.zeros(0, np.int64),) * 2, WORD: (np.zeros(0, np.int64),) * 2}
     for batch in table.to_batches():
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             texts, train = _Texts(part.column("text").to_pylist(), depth), np.asarray(part.column("train")).astype(np.int64)
-            keys, at = np.unique(texts.grams, return_inverse=True)
-            add(grams, keys, np.bincount(at, weights=np.repeat(train, texts.lengths), minlength=len(keys)).astype(np.int64))
-            of = np.bincount(texts.word_codes, weights=np.repeat(train, texts.n_words), minlength=len(texts.word_keys))
-            add(words, np.r_[texts.word_keys, END_KEY], np.r_[of.astype(np.int64), train.sum()])
-    found = [pd.concat(x).groupby(level=0, sort=True).sum() for x in (grams, words)]
-    block = table.column("block")[0].as_py()
+            of_words = np.bincount(texts.word_codes, weights=np.repeat(train, texts.n_words), minlength=len(texts.word_keys))
+            new = {
+                GRAM: _summed(texts.grams, np.repeat(train, texts.lengths)),
+                WORD: (np.r_[texts.word_keys, END_KEY], np.r_[of_words.astype(np.int64), train.sum()]),
+            }
+            for kind, (keys, n) in new.items():
+                found[kind] = _summed(np.r_[found[kind][0], keys], np.r_[found[kind][1], n])
+    rows, block = [], table.column("block")[0].as_py()
+    for kind, (keys, n) in found.items():
+        bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            rows.append((kind, int(bucket[own[0]]), block, pack(np.diff(keys[own], prepend=0)), pack(n[own])))
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "bucket", "block", "keys", "n"])
+
+
+def _asked(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys of each row, and all distinct keys with the sums of their counts."""
+    keys = [np.cumsum(unpack(x, np.int64)) for x in table.column("keys").to_pylist()]
+    n = [unpack(x, np.int64) for x in table.column("n").to_pylist()]
+    return keys, *_summed(np.concatenate(keys), np.concatenate(n))
+
+
+def _answer(table: pa.Table, keys: list[np.ndarray], known: np.ndarray, values: np.ndarray, v: int, n: int) -> pa.Table:
+    """kind, block, keys, values, v, n: the values of each row's keys; v and n in the first row."""
+    rest = [0] * (len(keys) - 1)
     return pa.table({
-        "kind": pa.array(np.repeat(np.array([GRAM, WORD], np.int32), [len(f) for f in found])),
-        "block": pa.array(np.full(sum(map(len, found)), block, np.int32)),
-        "key": pa.array(np.concatenate([f.index.to_numpy(np.int64) for f in found])),
-        "n": pa.array(np.concatenate([f.to_numpy(np.int64) for f in found])),
+        "kind": table.column("kind"), "block": table.column("block"), "keys": table.column("keys"),
+        "values": pa.array([pack(values[np.searchsorted(known, k)].astype(np.float64)) for k in keys], pa.binary()),
+        "v": pa.array([v, *rest], pa.int64()), "n": pa.array([n, *rest], pa.int64()),
     })
 
 
+def _table(answers: pa.Table, kind: int) -> tuple[pd.Index, np.ndarray]:
+    own = answers.filter(pa.array(np.asarray(answers.column("kind")) == kind))
+    keys = [np.cumsum(unpack(x, np.int64)) for x in own.column("keys").to_pylist()]
+    values = [unpack(x, np.float64) for x in own.column("values").to_pylist()]
+    return pd.Index(np.concatenate(keys)), np.concatenate(values)
+
+
 def _score(docs: pa.Table, answers: pa.Table, depth: int) -> pa.Table:
-    kind, key, value = (np.asarray(answers.column(c)) for c in ("kind", "key", "value"))
-    gram_at, word_at = pd.Index(key[kind == GRAM]), pd.Index(key[kind == WORD])
-    bits, seen = value[kind == GRAM], value[kind == WORD]
-    firsts = np.asarray(answers.column("first"))[kind == WORD]
-    own_v, out = int((firsts & (seen > 0)).sum()), []
+    (gram_at, bits), (word_at, seen) = _table(answers, GRAM), _table(answers, WORD)
+    end_c = seen[word_at.get_indexer(np.array([END_KEY]))][0]
+    v, n = (int(np.asarray(answers.column(c)).sum()) for c in ("v", "n"))
+    out = []
     for batch in docs.to_batches():
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             texts, train = _Texts(part.column("text").to_pylist(), depth), np.asarray(part.column("train"))
-            ends = np.cumsum(texts.lengths)
-            total = np.add.reduceat(bits[gram_at.get_indexer(texts.grams)], ends - texts.lengths)
+            total = np.add.reduceat(bits[gram_at.get_indexer(texts.grams)], np.cumsum(texts.lengths) - texts.lengths)
             c = seen[word_at.get_indexer(texts.word_keys)][texts.word_codes]
-            end_c = seen[word_at.get_indexer(np.array([END_KEY]))][0]
-            before = np.cumsum(texts.n_words) - texts.n_words
-            logs, known = np.r_[np.log10(c + 1), 0.0], np.r_[(c > 0).astype(np.int64), 0]
             some = texts.n_words > 0
+            before = (np.cumsum(texts.n_words) - texts.n_words)[some]
             log_sum, n_known = np.zeros(len(some)), np.zeros(len(some), np.int64)
             if some.any():
-                log_sum[some] = np.add.reduceat(logs[:-1], before[some])
-                n_known[some] = np.add.reduceat(known[:-1], before[some])
+                log_sum[some] = np.add.reduceat(np.log10(c + 1), before)
+                n_known[some] = np.add.reduceat((c > 0).astype(np.int64), before)
+            rest = np.zeros(len(some) - 1, np.int64)
             out.append(pa.table({
                 "doc_id": part.column("doc_id"), "held_out": pa.array(~train), "n_tokens": pa.array(texts.n_words + 1),
                 "n_known": pa.array(n_known + int(end_c > 0)), "log_sum": pa.array(log_sum + np.log10(end_c + 1)),
-                "score": pa.array(total), "n_bytes": pa.array(texts.lengths),
-                "v": pa.array(np.r_[own_v, np.zeros(len(some) - 1, np.int64)]),
-                "n": pa.array(np.where(train, texts.n_words + 1, 0)),
+                "score": pa.array(total), "n_bytes": pa.array(texts.lengths), "v": pa.array(np.r_[v, rest]), "n": pa.array(np.r_[n, rest]),
             }))
-            own_v = 0
+            v = n = 0
     return pa.concat_tables(out)
 
 
@@ -257,14 +295,19 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc
     n_blocks = partitions(own, "text", BLOCK_BYTES)
     own = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), "doc_id", "text", "train")
 
+    n_buckets = max(1, n_blocks // 3)
+
     def count(table: pa.Table) -> pa.Table:
-        return _count(table, depth)
+        return _count(table, depth, n_buckets)
 
-    path = f"{checkpoint_dir(spark)}/ctw-{uuid.uuid4().hex}"
-    own.groupBy("block").applyInArrow(count, "kind int, block int, key long, n long").write.parquet(path)
-    asked = spark.read.schema("kind int, block int, key long, n long").parquet(path)
+    asked = cut(own.groupBy("block").applyInArrow(count, "kind int, bucket int, block int, keys binary, n binary"))
     grams = asked.filter(F.col("kind") == GRAM)
-    counts = cut(grams.groupBy("key").agg(F.sum("n").alias("n")))
+
+    def merge(table: pa.Table) -> pa.Table:
+        _, keys, n = _asked(table)
+        return pa.table({"key": pa.array(keys), "n": pa.array(n), "bucket": pa.array(np.full(len(keys), table.column("bucket")[0].as_py(), np.int32))})
+
+    counts = cut(grams.groupBy("bucket").applyInArrow(merge, "key long, n long, bucket int"))
     group = F.expr("shiftright(key, 8) & 65535").cast("int").alias("group")
 
     def top_rows(table: pa.Table) -> pa.Table:
@@ -277,15 +320,19 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc
     def lengths(table: pa.Table) -> pa.Table:
         return _lengths(table, depth, plus, times)
 
-    bits = counts.groupBy(group).applyInArrow(lengths, "key long, bits double")
-    gram_answers = grams.select("block", "key").join(bits, "key").select(
-        F.lit(GRAM).alias("kind"), "block", "key", F.col("bits").alias("value"), F.lit(False).alias("first")
-    )
-    by_word = W.partitionBy("key")
-    word_answers = asked.filter(F.col("kind") == WORD).select(
-        F.lit(WORD).alias("kind"), "block", "key", F.sum("n").over(by_word).cast("double").alias("value"),
-        (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"),
-    )
+    bits = counts.groupBy(group).applyInArrow(lengths, "bucket int, key long, bits double")
+    answer = "kind int, block int, keys binary, values binary, v long, n long"
+
+    def answer_grams(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, order = np.asarray(right.column("key")), np.argsort(np.asarray(right.column("key")))
+        return _answer(left, _asked(left)[0], known[order], np.asarray(right.column("bits"))[order], 0, 0)
+
+    def answer_words(table: pa.Table) -> pa.Table:
+        keys, known, n = _asked(table)
+        return _answer(table, keys, known, n, int((n > 0).sum()), int(n.sum()))
+
+    gram_answers = grams.groupBy("bucket").cogroup(bits.groupBy("bucket")).applyInArrow(answer_grams, answer)
+    word_answers = asked.filter(F.col("kind") == WORD).groupBy("bucket").applyInArrow(answer_words, answer)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         return _score(left, right, depth)
