@@ -25,7 +25,7 @@ from hapdiff.llm.wordhash import slices
 #: What stands for a blank in a vocabulary.
 BLANK = "▁"
 #: Runs that are remembered; beyond it a task forgets all and begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class Vocabulary:
@@ -47,7 +47,8 @@ class Vocabulary:
         self.converges = all(BLANK not in text.lstrip(BLANK) for text, _, _ in pieces)
         rest = f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+"
         self.runs = re.compile(f"[{alone}]|{rest}" if alone else rest)
-        self.texts = {k: text.encode() for text, _, k in pieces} | {k: bytes([b]) for b, k in enumerate(byte_ids)}
+        #: What each id stands for in a text.
+        self.texts = {k: text.replace(BLANK, " ").encode() for text, _, k in pieces} | {k: bytes([b]) for b, k in enumerate(byte_ids)}
 
     @classmethod
     def load(cls, model: bytes) -> Vocabulary:
@@ -113,7 +114,9 @@ class Stream:
             i += 1
         if last:
             self._commit(base, n, out)
-            base = i = far = n
+            self.most_kept = max(self.most_kept, n - base)
+            self.window, self.done, self.best, self.back = "", 0, [0.0], [None]
+            return out
         self.most_kept = max(self.most_kept, n - base)
         self.window, self.done = window[base:], i - base
         self.best = best[base : max(far, i) + 1]
@@ -178,16 +181,12 @@ class Codec:
     def decode(self, ids: Iterable[int] | None) -> str:
         """The text that ids stand for; ids that are no piece or byte stand for nothing."""
         texts = self.v.texts
-        blank = BLANK.encode()
-        raw = b"".join([t.replace(blank, b" ") if k not in self._bytes else t for k in ids or () if (t := texts.get(k)) is not None])
+        try:
+            raw = b"".join([texts[k] for k in ids or ()])
+        except KeyError:
+            raw = b"".join([texts.get(k, b"") for k in ids or ()])
         return raw.decode("utf-8", "replace")[1:] if raw else ""
 
-    @property
-    def _bytes(self) -> frozenset:
-        if "_byte_set" not in self.__dict__:
-            self._byte_set = frozenset(self.v.byte_ids)
-        return self._byte_set
-
 
 @lru_cache(maxsize=2)
 def _codec(model: bytes) -> Codec:
