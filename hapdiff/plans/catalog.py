@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hapdiff.operators import align, calibrate, model, regions, screen, segment, smooth
+from hapdiff.operators.storage import cut
 from hapdiff.plans import differential, oracle
 from hapdiff.plans.fixture import GROUPS, SAMPLES, tables
 
@@ -46,7 +47,7 @@ def _loci(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
-    return align.dense(_loci(spark, d), SAMPLES)
+    return cut(align.dense(_loci(spark, d), SAMPLES))
 
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +61,7 @@ def _stats(spark: SparkSession, d: str, labellings: list | None = None) -> DataF
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
-    return differential.locus_signals(_wide(spark, d), GROUPS, [GROUPS], SETTINGS)
+    return cut(differential.locus_signals(_wide(spark, d), GROUPS, [GROUPS], SETTINGS))
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
@@ -68,18 +69,22 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, d: str, labellings: list | None = None) -> DataFrame:
-    return differential.find_regions(_wide(spark, d), GROUPS, labellings or [GROUPS], SETTINGS)
+    return cut(differential.find_regions(_wide(spark, d), GROUPS, labellings or [GROUPS], SETTINGS))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     mapped, cpg = _mapped(spark, d)
-    return regions.region_reads(mapped, _found(spark, d), cpg)
+    mapped, cpg = cut(mapped), cut(cpg)
+    wide = cut(align.dense(align.locus_counts(mapped, cpg), SAMPLES))
+    return regions.region_reads(mapped, cut(differential.find_regions(wide, GROUPS, [GROUPS], SETTINGS)), cpg)
 
 
 def _matrices(spark: SparkSession, d: str, labellings: list | None = None) -> DataFrame:
     mapped, cpg = _mapped(spark, d)
-    mapped = mapped.persist()
-    own = regions.region_matrices(align.locus_counts(mapped, cpg), mapped, _found(spark, d, labellings).persist(), cpg)
+    mapped, cpg = cut(mapped), cut(cpg)
+    loci = cut(align.locus_counts(mapped, cpg))
+    found = cut(differential.find_regions(cut(align.dense(loci, SAMPLES)), GROUPS, labellings or [GROUPS], SETTINGS))
+    own = regions.region_matrices(loci, mapped, found, cpg)
     return regions.complete(own, len(SAMPLES))
 
 
@@ -292,7 +297,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("region_sums", oracle.sql("sums", "select region_id, sample, s, t from sums where perm_id = 0"))
 def region_sums(spark: SparkSession, d: str) -> DataFrame:
-    return regions.region_sums(_loci(spark, d), _found(spark, d)).select("region_id", "sample", "s", "t")
+    return regions.region_sums(cut(_loci(spark, d)), _found(spark, d)).select("region_id", "sample", "s", "t")
 
 
 @_query("region_nsq", oracle.sql("squares", "select region_id, sample, nsq from squares where perm_id = 0"))
@@ -382,9 +387,9 @@ def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
     mapped, cpg = _mapped(spark, d)
-    mapped = mapped.persist()
-    loci = align.locus_counts(mapped, cpg).persist()
-    found = differential.find_regions(align.dense(loci, SAMPLES).persist(), GROUPS, LABELLINGS, SETTINGS).persist()
+    mapped, cpg = cut(mapped), cut(cpg)
+    loci = cut(align.locus_counts(mapped, cpg))
+    found = cut(differential.find_regions(cut(align.dense(loci, SAMPLES)), GROUPS, LABELLINGS, SETTINGS))
     return differential.test_regions(spark, found, loci, mapped, cpg, SAMPLES, LABELLINGS)
 
 

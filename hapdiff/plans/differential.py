@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hapdiff.functions import design as designs
 from hapdiff.functions.permutations import plan as permutation_plan
 from hapdiff.operators import align, calibrate, model, regions, screen, segment, smooth
+from hapdiff.operators.storage import cut
 from hapdiff.sources import records
 
 
@@ -45,13 +46,14 @@ def locus_signals(wide: DataFrame, groups: list[int], labellings: list[list[int]
     parameters = screen.screen_parameters(kept, settings.min_in_span)
     stats = screen.locus_statistics(kept, plan_frame(wide.sparkSession, labellings), parameters)
     placed = smooth.blocks(kept.select("chr", "pos"), settings.max_gap_smooth)
-    stats = stats.join(placed, ["chr", "pos"])
+    stats = cut(stats.join(placed, ["chr", "pos"]))
     return smooth.smooth(stats, settings.min_in_span, settings.min_cpgs, settings.bp_span)
 
 
 def find_regions(wide: DataFrame, groups: list[int], labellings: list[list[int]], settings: Settings) -> DataFrame:
     """Candidates of every labelling, with region_id (unique within perm_id)."""
-    found = segment.candidates(locus_signals(wide, groups, labellings, settings), settings.threshold, settings.max_gap_region, settings.min_cpgs)
+    signals = cut(locus_signals(wide, groups, labellings, settings))
+    found = segment.candidates(signals, settings.threshold, settings.max_gap_region, settings.min_cpgs)
     return found.withColumn("region_id", F.concat_ws(":", "chr", F.col("start").cast("string"), F.col("end").cast("string"), "direction"))
 
 
@@ -64,7 +66,7 @@ def find_candidates(
     codes, _ = designs.group_codes(groups, samples, levels)
     cpg = align.position_index(positions)
     mapped = align.map_reads(reads, cpg)
-    wide = align.dense(align.locus_counts(mapped, cpg), list(samples)).persist()
+    wide = cut(align.dense(align.locus_counts(mapped, cpg), list(samples)))
     return find_regions(wide, codes, [codes], settings).drop("perm_id"), align.read_qc(mapped)
 
 
@@ -93,10 +95,10 @@ def differential_regions(
         except ValueError:
             continue
     spark = reads.sparkSession
-    cpg = align.position_index(positions).persist()
-    mapped = align.map_reads(reads, cpg).persist()
-    loci = align.locus_counts(mapped, cpg).persist()
-    found = find_regions(align.dense(loci, samples).persist(), codes, labellings, settings).persist()
+    cpg = cut(align.position_index(positions))
+    mapped = cut(align.map_reads(reads, cpg))
+    loci = cut(align.locus_counts(mapped, cpg))
+    found = cut(find_regions(cut(align.dense(loci, samples)), codes, labellings, settings))
     results = test_regions(spark, found, loci, mapped, cpg, samples, labellings, matrices_of, c)
     return results, align.read_qc(mapped)
 
@@ -112,9 +114,9 @@ def test_regions(
         fits = model.two_groups(model.with_link(own), label_frame(spark, samples, labellings))
     else:
         fits = model.fit_regions(own, samples, dict(enumerate(matrices_of)), c).withColumnRenamed("statistic", "wald")
-    fits = fits.select("perm_id", "region_id", "wald").persist()
+    fits = cut(fits.select("perm_id", "region_id", "wald"))
     observed = found.filter("perm_id = 0").join(fits.filter("perm_id = 0").drop("perm_id"), "region_id")
-    tested = calibrate.empirical_p(observed.drop("perm_id"), fits.filter("perm_id > 0"))
+    tested = cut(calibrate.empirical_p(observed.drop("perm_id"), fits.filter("perm_id > 0")))
     return calibrate.false_discovery(tested).withColumnRenamed("wald", "wald_statistic")
 
 
