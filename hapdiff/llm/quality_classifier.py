@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column("_y")], names=["x", "y"])
 
     rows = sample.mapInArrow(describe, "x binary, y int").toArrow().sort_by([("x", "ascending")])
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, -1).astype(np.float64)
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, 4 * DIMS + 4).astype(np.float64)
     y = np.asarray(rows.column("y"), np.float64)
     order = np.random.default_rng(5).permutation(len(y))
     return vectors, fit(x[order], y[order])

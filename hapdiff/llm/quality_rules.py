@@ -17,22 +17,18 @@ SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
 
 
-def _failing() -> list[tuple[str, Column]]:
-    """Rule name and failure over the measurements; a rule's place is its bit and never changes."""
-    c = F.col
-    return [
-        ("few_words", c("n_words") < 20),
-        ("repeated_windows", 100 * c("n_repeat_words") > 30 * c("n_words")),
-        ("symbols", 100 * c("n_symbols") > 20 * c("n_words")),
-        ("repeated_lines", (c("n_dup_lines") >= 3) & (100 * c("n_dup_lines") > 50 * c("n_lines"))),
-        ("shouting", 100 * c("n_upper") > 60 * c("n_letters")),
-        ("marks", 100 * c("n_marks") > 60 * c("n_words")),
-        ("long_words", c("word_chars") > 40 * c("n_words")),
-        ("no_letters", 100 * c("n_letters") < 40 * c("word_chars")),
-    ]
-
-
-RULES = tuple(name for name, _ in _failing())
+#: Each rule's condition over the measurements; a rule's place is its bit and never changes.
+CONDITIONS = (
+    ("few_words", "n_words < 20"),
+    ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
+    ("symbols", "100 * n_symbols > 20 * n_words"),
+    ("repeated_lines", "n_dup_lines >= 3 and 100 * n_dup_lines > 50 * n_lines"),
+    ("shouting", "100 * n_upper > 60 * n_letters"),
+    ("marks", "100 * n_marks > 60 * n_words"),
+    ("long_words", "word_chars > 40 * n_words"),
+    ("no_letters", "100 * n_letters < 40 * word_chars"),
+)
+RULES = tuple(name for name, _ in CONDITIONS)
 
 
 @dataclass(frozen=True)
@@ -111,7 +107,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """measure() and failures (long): the bits of the rules that failed, by their place in RULES. An empty text fails few_words."""
-    bits = sum((F.when(failed, F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, failed) in enumerate(_failing())), F.lit(0))
+    bits = sum((F.when(F.expr(failed), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, failed) in enumerate(CONDITIONS)), F.lit(0))
     df = measure(docs.drop("failures"), text_col)
     return df.withColumn("failures", bits.cast("long"))
 
