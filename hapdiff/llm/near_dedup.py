@@ -228,10 +228,10 @@ def near_duplicates(
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(own.mapInArrow(partial(_sign, k=shingle), "doc_id long, n_shingles long, set_id binary, sig binary"))
     live = signed.filter("doc_id is not null and set_id is not null")
-    classes = live.groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    first_rows = (F.col("set_id") == F.col("sid")) & (F.col("doc_id") == F.col("node"))
-    nodes = live.join(classes.withColumnRenamed("set_id", "sid"), first_rows).select("node", "set_id", "n_shingles", "sig")
-    nodes = cut(nodes.dropDuplicates(["node", "set_id"]))
+    # one row for each set, made while rows are still in place: copies, however many, are never joined with their class here
+    nodes = live.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    nodes = cut(nodes)
+    classes = nodes.select("set_id", "node")
     several = live.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("a != b").select("doc_id")
     same_id = live.join(several, "doc_id", "left_semi").join(classes, "set_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
