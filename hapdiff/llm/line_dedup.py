@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hapdiff.llm.common import SPACES, ascii_lower, whole
+from hapdiff.llm.common import SPACES, ascii_lower, cut, whole
+
+#: Hashes of common lines up to this many (16 bytes each) are broadcast; more are joined by a shuffle whose hot keys Spark splits.
+BROADCAST_HASHES = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -36,7 +39,8 @@ def drop_common_lines(
     n_lines or n_dropped are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    hashes = line_counts(docs, id_col, text_col, min_chars).filter(F.col("n_docs") >= min_docs).select("line_hash")
+    hashes = cut(line_counts(docs, id_col, text_col, min_chars).filter(F.col("n_docs") >= min_docs).select("line_hash"))
+    side = F.broadcast(hashes) if hashes.count() <= BROADCAST_HASHES else hashes
     text = whole(F.col(text_col))
     row_key = F.xxhash64(F.col(id_col).cast("string"), text)
     # only hashes and positions travel here; texts are shuffled once, in the last join
@@ -46,7 +50,7 @@ def drop_common_lines(
         F.posexplode(F.transform(F.split(text, "\n"), _hashed)).alias("_at", "line_hash"),
     )
     gone = (
-        placed.join(hashes, "line_hash", "left_semi").groupBy("_id", "_row").agg(F.collect_set("_at").alias("_gone"))
+        placed.join(side, "line_hash", "left_semi").groupBy("_id", "_row").agg(F.collect_set("_at").alias("_gone"))
     )
     own = docs.withColumn("_row_key", row_key)
     joined = own.join(gone, own[id_col].eqNullSafe(gone["_id"]) & (own["_row_key"] == gone["_row"]), "left")
