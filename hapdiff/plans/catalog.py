@@ -364,9 +364,9 @@ def null_pool(spark: SparkSession, d: str) -> DataFrame:
     "empirical_p",
     """with o as (select o_orderkey as id, (o_totalprice - 150000)/30000 as wald from orders where o_orderkey % 9 = 0),
     n as (select (o_totalprice - 150000)/30000 as wald from orders where o_orderkey % 9 <> 0),
-    a as (select abs(wald) as x, 1 as isnull, null as id, wald from n union all select abs(wald), 0, id, wald from o)
+    a as (select abs(wald) as x, 1 as of_null, null as id, wald from n union all select abs(wald), 0, id, wald from o)
     select id, round(wald, 6)+0.0 as wald, round((c+1)/((select count(*) from n)+1), 9)+0.0 as empirical_p_value, (select count(*) from n) as null_pool_size
-    from (select *, sum(isnull) over (order by x desc range between unbounded preceding and current row) as c from a) where isnull = 0""",
+    from (select *, sum(of_null) over (order by x desc range between unbounded preceding and current row) as c from a) where of_null = 0""",
 )
 def empirical_p(spark: SparkSession, d: str) -> DataFrame:
     """The operator over a tenth of all order prices as statistics, the others as their null."""
