@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are aligned: each page's tree, in which siblings of one kind are one node, is merged into the
-host's tree by simple tree matching, and every node keeps how often which text stood there. Nodes whose text
-hardly changes are the host's template; what varies in slots is content. Kinds of nodes that never hold an
+Pages of a host are aligned: each page's tree, in which every element with text is a node, is merged into the
+host's tree by simple tree matching, siblings of equal text first, and every node keeps how often which text stood
+there. Nodes whose text hardly changes are the host's template, whatever their tag; what varies in slots is content. Kinds of nodes that never hold an
 article (menus, footers, adverts, forms, comments, ...) are left out whatever they say.
 
 Each task merges the pages that it reads into one tree for each host, and the trees of a host are merged after
@@ -14,6 +14,8 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -40,7 +42,6 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup "
     "time tt u var wbr img".split()
 )
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre".split())
 MAIN = frozenset("article main".split())
 #: A node is template where one text stands on this share of the pages that have it, on so many pages at least.
 SAME, PAGES = 0.8, 4
@@ -72,9 +73,9 @@ def _kind(tag: str, attributes: str) -> tuple[str, bool]:
 
 
 def blocks(page: str | None) -> list[tuple[tuple, str, bool]]:
-    """(labels from the root, text, inside article or main) of each block with text that may be content, in page order."""
+    """((key, label) of each element from the root, text, inside article or main) of each block with text that may be content, in page order."""
     out: list[tuple[tuple, str, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, never, main
+    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, label, never, main, where the start tag stands
     text: list[str] = []
 
     def flush() -> None:
@@ -82,7 +83,7 @@ def blocks(page: str | None) -> list[tuple[tuple, str, bool]]:
             own = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if own and not (stack and stack[-1][2]):
-                out.append((tuple(x[1] for x in stack if x[0] not in INLINE), own, bool(stack) and stack[-1][3]))
+                out.append((tuple((x[4], x[1]) for x in stack if x[0] not in INLINE), own, bool(stack) and stack[-1][3]))
 
     for m in _TOKEN.finditer(page or ""):
         tag = m[3]
@@ -97,11 +98,11 @@ def blocks(page: str | None) -> list[tuple[tuple, str, bool]]:
         if tag in INLINE and tag not in VOID:
             if not m[2]:
                 label, never = _kind(tag, m[4])
-                above = stack[-1] if stack else ("", "", False, False)
+                above = stack[-1] if stack else ("", "", False, False, 0)
                 if never and not above[2]:
                     flush()
                 if not m[4].endswith("/"):
-                    stack.append((tag, label, above[2] or never, above[3]))
+                    stack.append((tag, label, above[2] or never, above[3], m.start()))
             else:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
@@ -133,35 +134,92 @@ def blocks(page: str | None) -> list[tuple[tuple, str, bool]]:
         while stack and stack[-1][0] in INLINE:
             stack.pop()
         label, never = _kind(tag, m[4])
-        above = stack[-1] if stack else ("", "", False, False)
+        above = stack[-1] if stack else ("", "", False, False, 0)
         if not m[4].endswith("/"):
-            stack.append((tag, label, above[2] or never, above[3] or tag in MAIN))
+            stack.append((tag, label, above[2] or never, above[3] or tag in MAIN, m.start()))
     flush()
     return out
 
 
-def tree(page_blocks: list[tuple[tuple, str, bool]]) -> list:
-    """[label, pages, {text hash: pages}, children] with siblings of one label as one node; texts of such a node are one text."""
+def placed(page_blocks: list[tuple[tuple, str, bool]]) -> tuple[list, dict[int, list[int]]]:
+    """The page's tree, and by the id of each node with text the numbers of its blocks.
+
+    A node is [label, pages, {text hash: pages}, children]; every element is a node of its own, and its texts are one text.
+    """
     root: list = ["", 1, {}, []]
-    texts: dict[int, list] = {}
-    for path, text, _ in page_blocks:
+    nodes: dict[int, list] = {}
+    texts: dict[int, tuple[list, list[int]]] = {}
+    for n, (path, _, _) in enumerate(page_blocks):
         node = root
-        for label in path:
-            child = next((c for c in node[3] if c[0] == label), None)
+        for key, label in path:
+            child = nodes.get(key)
             if child is None:
-                child = [label, 1, {}, []]
+                child = nodes[key] = [label, 1, {}, []]
                 node[3].append(child)
             node = child
-        texts.setdefault(id(node), [node, []])[1].append(text)
+        texts.setdefault(id(node), (node, []))[1].append(n)
     for node, own in texts.values():
-        node[2][format(xxhash.xxh3_64_intdigest(" ".join(own)), "x")] = 1
-    return root
+        node[2][format(xxhash.xxh3_64_intdigest(" ".join(page_blocks[n][1] for n in own)), "x")] = 1
+    return root, {k: own for k, (_, own) in texts.items()}
+
+
+def tree(page_blocks: list[tuple[tuple, str, bool]]) -> list:
+    return placed(page_blocks)[0]
 
 
 def match(a: list, b: list) -> list[tuple[int, int]]:
-    """Simple tree matching of two lists of children: the pairs of equal labels, in order, with the most nodes below them."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [(k, k) for k in range(len(a))]
+    """Simple tree matching of two lists of children: the pairs of equal labels, in order, with the most nodes below them.
+
+    Children with a text in common are paired first, the others between them.
+    """
+    out, i0, j0 = [], 0, 0
+    for i, j in [*_anchors(a, b), (len(a), len(b))]:
+        out += [(i0 + x, j0 + y) for x, y in _by_label(a[i0:i], b[j0:j])]
+        if i < len(a):
+            out.append((i, j))
+        i0, j0 = i + 1, j + 1
+    return out
+
+
+def _anchors(a: list, b: list) -> list[tuple[int, int]]:
+    """The longest list of pairs, in order, of equal label and a text in common; a text counts where it stands most often."""
+    at: tuple[dict, dict] = defaultdict(list), defaultdict(list)
+    for k, x in enumerate(a):
+        for text, n in x[2].items():
+            at[0][x[0], text].append((-n, k))
+    if not at[0]:
+        return []
+    for k, x in enumerate(b):
+        for text, n in x[2].items():
+            if (x[0], text) in at[0]:
+                at[1][x[0], text].append((-n, k))
+    pairs = set()
+    for key, y in at[1].items():
+        x, n = at[0][key], min(len(at[0][key]), len(y))
+        pairs.update((i, j) for _, i in sorted(x)[:n] for _, j in sorted(y)[:n])
+    ends: list[int] = []  # least j that ends an increasing list of each length
+    last: list[tuple] = []
+    for i, j in sorted(pairs, key=lambda p: (p[0], -p[1])):
+        k = bisect_left(ends, j)
+        ends[k:k + 1] = [j]
+        last[k:k + 1] = [(i, j, last[k - 1] if k else None)]
+    out, chain = [], last[-1] if last else None
+    while chain:
+        out.append(chain[:2])
+        chain = chain[2]
+    return out[::-1]
+
+
+def _by_label(a: list, b: list) -> list[tuple[int, int]]:
+    n = min(len(a), len(b))
+    if not n:
+        return []
+    leaves = not any(x[3] for x in a) and not any(x[3] for x in b)
+    head = next((k for k in range(n) if a[k][0] != b[k][0]), n)
+    if head == n and (leaves or len(a) == len(b)):
+        return [(k, k) for k in range(n)]
+    if leaves and head:  # pairs of leaves weigh the same
+        return [*((k, k) for k in range(head)), *((head + i, head + j) for i, j in _by_label(a[head:], b[head:]))]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -180,8 +238,9 @@ def match(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def size_of_match(a: list, b: list) -> int:
-    """How many nodes of two trees with equal roots can be paired."""
-    return 1 + sum(size_of_match(a[3][i], b[3][j]) for i, j in match(a[3], b[3]))
+    """How many nodes of two trees with equal roots can be paired; those with a text in common count twice."""
+    own = 2 if a[2] and b[2] and not a[2].keys().isdisjoint(b[2]) else 1
+    return own + sum(size_of_match(a[3][i], b[3][j]) for i, j in match(a[3], b[3])) if a[3] and b[3] else own
 
 
 def merge(a: list, b: list) -> list:
@@ -192,17 +251,12 @@ def merge(a: list, b: list) -> list:
     if len(a[2]) > TEXTS:  # counts are lowered together, so that frequent texts stay
         least = sorted(a[2].values(), reverse=True)[TEXTS]
         a[2] = {t: n - least for t, n in a[2].items() if n > least}
-    pairs = match(a[3], b[3])
-    for i, j in pairs:
-        merge(a[3][i], b[3][j])
-    placed = {j: i for i, j in pairs}
-    children, at = list(a[3]), 0
-    for j, child in enumerate(b[3]):
-        if j in placed:
-            at = children.index(a[3][placed[j]]) + 1
-        else:
-            children.insert(at, child)
-            at += 1
+    children, i0, j0 = [], 0, 0
+    for i, j in [*match(a[3], b[3]), (len(a[3]), len(b[3]))]:
+        children += [*a[3][i0:i], *b[3][j0:j]]
+        if i < len(a[3]):
+            children.append(merge(a[3][i], b[3][j]))
+        i0, j0 = i + 1, j + 1
     a[3] = children
     return a
 
@@ -219,18 +273,18 @@ def main_text(page: str | None, wrapper: list | None) -> str:
     """The text in slots of the wrapper: inside article or main where the page has such text, else everywhere."""
     own = blocks(page)
     if wrapper is not None and wrapper[1] >= PAGES and own:
-        constant: set[tuple] = set()
+        constant: set[int] = set()
+        root, texts = placed(own)
 
-        def walk(node: list, other: list, path: tuple) -> None:
+        def walk(node: list, other: list) -> None:
             for i, j in match(node[3], other[3]):
                 child, seen = node[3][i], other[3][j]
-                at = (*path, child[0])
-                if child[2] and child[0] not in PLAIN and seen[1] >= PAGES and seen[2].get(next(iter(child[2])), 0) >= SAME * seen[1]:
-                    constant.add(at)
-                walk(child, seen, at)
+                if child[2] and seen[1] >= PAGES and seen[2].get(next(iter(child[2])), 0) >= SAME * seen[1]:
+                    constant.update(texts[id(child)])
+                walk(child, seen)
 
-        walk(tree(own), wrapper, ())
-        own = [b for b in own if b[0] not in constant] if constant else own
+        walk(root, wrapper)
+        own = [b for n, b in enumerate(own) if n not in constant] if constant else own
     inside = [b for b in own if b[2]]
     return " ".join(b[1] for b in inside or own)
 

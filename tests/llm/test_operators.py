@@ -265,6 +265,19 @@ def test_wrapper(spark):
     assert got[90] == got[91] == ("", 0) and got[92] == ("Alone", 5)
 
 
+def _extracted(spark, htmls, host="w.example"):
+    own = [(k, f"http://{host}/{k}", x) for k, x in enumerate(htmls)]
+    return {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(own, "page_id long, url string, html string").repartition(3)).collect()}
+
+
+def test_wrapper_judges_bare_siblings(spark):
+    notice = '<div class="x7"><p>We value your privacy</p></div>'
+    body = lambda k: "".join(f"<p>Text {k} {j}.</p>" for j in range(1 + k % 4)) + "<p>Read more of us</p>" + "<p>Last.</p>" * (k == 3)
+    got = _extracted(spark, [f"<body>{notice}<div><h2>Our site</h2><h2>Head {k}</h2>{body(k)}</div></body>" for k in range(12)])
+    for k in range(12):
+        assert got[k] == " ".join([f"Head {k}", *(f"Text {k} {j}." for j in range(1 + k % 4)), *["Last."] * (k == 3)])
+
+
 def test_simple_tree_matching():
     node = lambda label, *children: [label, 1, {}, list(children)]
     a = [node("p"), node("div", node("p"), node("ul")), node("p")]
