@@ -28,8 +28,8 @@ from hapdiff.llm.common import cut
 from hapdiff.llm.wordhash import slices
 
 #: Elements that are dropped with all they hold, by tag or by a word of their class, id or role; fixed values.
-RAW = "script|style|noscript|template|iframe|textarea|select|svg|math|title|head|object|canvas|audio|video"
-NEVER = frozenset("nav footer aside form button dialog menu label fieldset figcaption".split())
+RAW = "script|style|noscript|template|iframe|textarea|select|svg|title|head|object|canvas|audio|video"
+NEVER = frozenset("nav footer aside form button dialog menu".split())
 NEVER_WORDS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side aside footer foot header masthead banner ad ads advert adverts "
     "advertisement sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
@@ -37,10 +37,13 @@ NEVER_WORDS = frozenset(
     "commentlist respond replies discussion disqus widget widgets toolbar pagination pager tags copyright legal skip complementary "
     "contentinfo".split()
 )
+#: A name of several words says nothing with one of these in it ("has-sidebar", "no-ads"), or where it names a whole page ("menu-page").
+MODIFIERS = frozenset("no not non has have with without by is hide show".split())
+WHOLE = frozenset("page layout site".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr img".split()
+    "time tt u var wbr img label math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot semantics annotation".split()
 )
 MAIN = frozenset("article main".split())
 #: A node is template where one text stands on this share of the pages that have it, on so many pages at least.
@@ -61,29 +64,41 @@ _SPLIT = re.compile(r"[^a-z]+")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _kind(tag: str, attributes: str) -> tuple[str, bool]:
-    """A node's label, and whether it can't hold an article."""
+def _named(name: str) -> bool:
+    """Whether a class, id or role is of a kind that holds no article."""
+    parts = [w for w in _SPLIT.split(name) if w]
+    if NEVER_WORDS.isdisjoint(parts):
+        return False
+    return len(parts) == 1 or (MODIFIERS.isdisjoint(parts) and parts[-1] not in WHOLE)
+
+
+def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """A node's label, whether it can't hold an article, and whether its names say so."""
     if not attributes or "=" not in attributes:
-        return tag, tag in NEVER
-    names = [(a.lower(), x or y or z) for a, x, y, z in _ATTR.findall(attributes)]
-    words = {w for _, value in names for w in _SPLIT.split(value.lower())}
-    never = tag in NEVER or (bool(words & NEVER_WORDS) and tag not in MAIN and tag not in ("html", "body"))
-    label = ".".join([tag, *sorted(w for w in words if w)])
-    return label, never
-
-
-def blocks(page: str | None) -> list[tuple[tuple, str, bool]]:
-    """((key, label) of each element from the root, text, inside article or main) of each block with text that may be content, in page order."""
-    out: list[tuple[tuple, str, bool]] = []
-    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, label, never, main, where the start tag stands
+        return tag, tag in NEVER, False
+    values = [(x or y or z).lower() for _, x, y, z in _ATTR.findall(attributes)]
+    words = {w for value in values for w in _SPLIT.split(value) if w}
+    named = tag not in MAIN and tag not in ("html", "body") and any(_named(x) for value in values for x in value.split())
+    return ".".join([tag, *sorted(words)]), tag in NEVER, named
+
+
+def blocks(page: str | None) -> list[tuple[tuple, str, int, tuple]]:
+    """((key, label) of each element from the root, text, outermost article or main, named elements) of each block with text that may be content.
+
+    In page order. Elements are given by their keys, which grow along the page; named ones have a name of NEVER_WORDS.
+    """
+    out: list[tuple[tuple, str, int, tuple]] = []
+    stack: list[tuple[str, str, bool, int, int, tuple]] = []  # tag, label, never, outermost article or main, key, named
+    outside = ("", "", False, 0, 0, ())
     text: list[str] = []
 
     def flush() -> None:
         if text:
             own = " ".join(html.unescape("".join(text)).split())
             text.clear()
-            if own and not (stack and stack[-1][2]):
-                out.append((tuple((x[4], x[1]) for x in stack if x[0] not in INLINE), own, bool(stack) and stack[-1][3]))
+            above = stack[-1] if stack else outside
+            if own and not above[2]:
+                out.append((tuple((x[4], x[1]) for x in stack if x[0] not in INLINE or x[4] in x[5]), own, above[3], above[5]))
 
     for m in _TOKEN.finditer(page or ""):
         tag = m[3]
@@ -97,17 +112,19 @@ def blocks(page: str | None) -> list[tuple[tuple, str, bool]]:
         tag = tag.lower()
         if tag in INLINE and tag not in VOID:
             if not m[2]:
-                label, never = _kind(tag, m[4])
-                above = stack[-1] if stack else ("", "", False, False, 0)
-                if never and not above[2]:
+                label, never, named = _kind(tag, m[4])
+                above = stack[-1] if stack else outside
+                if (never and not above[2]) or named:
                     flush()
                 if not m[4].endswith("/"):
-                    stack.append((tag, label, above[2] or never, above[3], m.start()))
+                    stack.append((tag, label, above[2] or never, above[3], m.end(), (*above[5], m.end()) if named else above[5]))
             else:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         if stack[k][2] and not (k and stack[k - 1][2]):
                             text.clear()
+                        if stack[-1][5] != (stack[k - 1][5] if k else ()):
+                            flush()
                         del stack[k]
                         break
                     if stack[k][0] not in INLINE:
@@ -133,15 +150,39 @@ def blocks(page: str | None) -> list[tuple[tuple, str, bool]]:
                 break
         while stack and stack[-1][0] in INLINE:
             stack.pop()
-        label, never = _kind(tag, m[4])
-        above = stack[-1] if stack else ("", "", False, False, 0)
+        label, never, named = _kind(tag, m[4])
+        above = stack[-1] if stack else outside
         if not m[4].endswith("/"):
-            stack.append((tag, label, above[2] or never, above[3] or tag in MAIN, m.start()))
+            main = above[3] or (m.end() if tag in MAIN else 0)
+            stack.append((tag, label, above[2] or never, main, m.end(), (*above[5], m.end()) if named else above[5]))
     flush()
     return out
 
 
-def placed(page_blocks: list[tuple[tuple, str, bool]]) -> tuple[list, dict[int, list[int]]]:
+def without_named(own: list[tuple[tuple, str, int, tuple]]) -> list[tuple[tuple, str, int, tuple]]:
+    """The blocks outside of named elements.
+
+    A name does not count on an element with the page's main or only articles, nor on one with over half of the text;
+    articles in named elements beside the page's own article (teasers, comments) go with their element.
+    """
+    if not any(b[3] for b in own):
+        return own
+    article = any(b[2] and (not b[3] or b[2] < b[3][0]) for b in own)
+    total, held, void = 0, defaultdict(int), set()
+    for path, text, main, named in own:
+        total += len(text)
+        for key in named:
+            if not article or main and main < key:
+                held[key] += len(text)
+            for k, label in path:
+                tag = label.partition(".")[0]
+                if k > key and (tag == "main" or (tag == "article" and not article)):
+                    void.add(key)
+    void.update(key for key, n in held.items() if 2 * n > total)
+    return [b for b in own if void.issuperset(b[3])]
+
+
+def placed(page_blocks: list[tuple[tuple, str, int, tuple]]) -> tuple[list, dict[int, list[int]]]:
     """The page's tree, and by the id of each node with text the numbers of its blocks.
 
     A node is [label, pages, {text hash: pages}, children]; every element is a node of its own, and its texts are one text.
@@ -149,7 +190,7 @@ def placed(page_blocks: list[tuple[tuple, str, bool]]) -> tuple[list, dict[int,
     root: list = ["", 1, {}, []]
     nodes: dict[int, list] = {}
     texts: dict[int, tuple[list, list[int]]] = {}
-    for n, (path, _, _) in enumerate(page_blocks):
+    for n, (path, *_) in enumerate(page_blocks):
         node = root
         for key, label in path:
             child = nodes.get(key)
@@ -163,7 +204,7 @@ def placed(page_blocks: list[tuple[tuple, str, bool]]) -> tuple[list, dict[int,
     return root, {k: own for k, (_, own) in texts.items()}
 
 
-def tree(page_blocks: list[tuple[tuple, str, bool]]) -> list:
+def tree(page_blocks: list[tuple[tuple, str, int, tuple]]) -> list:
     return placed(page_blocks)[0]
 
 
@@ -285,6 +326,7 @@ def main_text(page: str | None, wrapper: list | None) -> str:
 
         walk(root, wrapper)
         own = [b for n, b in enumerate(own) if n not in constant] if constant else own
+    own = without_named(own)
     inside = [b for b in own if b[2]]
     return " ".join(b[1] for b in inside or own)
 

@@ -278,6 +278,17 @@ def test_wrapper_judges_bare_siblings(spark):
         assert got[k] == " ".join([f"Head {k}", *(f"Text {k} {j}." for j in range(1 + k % 4)), *["Last."] * (k == 3)])
 
 
+@pytest.mark.parametrize("outer", ['class="layout has-sidebar"', 'class="no-ads"', 'class="side-by-side"', 'id="menu-page"', 'class="content ad"'])
+def test_wrapper_keeps_articles_in_named_elements(outer):
+    article = "<article><h1>Head</h1><figure><figcaption>Caption</figcaption></figure><p>Let <math><mi>x</mi></math> be <label>it</label>.</p></article>"
+    teasers = "<div class='related-posts'><article>Other</article></div><p class='share'>Tell all</p>"
+    page = f"<body><div {outer}><div class='ad'>Buy</div>{article}</div></body>"
+    assert wrapper.main_text(page, None) == "Head Caption Let x be it."
+    assert wrapper.main_text(f"<body><main>{article}{teasers}</main></body>", None) == "Head Caption Let x be it."
+    text = "<p>Long text without an article element around it.</p>"
+    assert wrapper.main_text(f"<body><div {outer}>{text}</div><div class='site-footer'>Foot</div></body>", None) == text[3:-4]
+
+
 def test_simple_tree_matching():
     node = lambda label, *children: [label, 1, {}, list(children)]
     a = [node("p"), node("div", node("p"), node("ul")), node("p")]
