@@ -5,8 +5,9 @@ host's tree by simple tree matching, siblings of equal text first, and every nod
 there. Nodes whose text hardly changes are the host's template, whatever their tag; what varies in slots is content. Kinds of nodes that never hold an
 article (menus, footers, adverts, forms, comments, ...) are left out whatever they say.
 
-Each task merges the pages that it reads into one tree for each host, and the trees of a host are merged after
-a shuffle, so a host with a third of all pages puts one row a task into its group.
+Pages of a host with the same main blocks count once: trees are dealt by host and hash, so each task merges distinct
+pages into one tree for each host, and the trees of a host are merged after another shuffle. A host with a third of
+all pages puts one row a task into its group.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -159,15 +162,15 @@ def blocks(page: str | None) -> list[tuple[tuple, str, int, tuple]]:
     return out
 
 
-def without_named(own: list[tuple[tuple, str, int, tuple]]) -> list[tuple[tuple, str, int, tuple]]:
-    """The blocks outside of named elements.
+def without_named(own: list[tuple[tuple, str, int, tuple]], page: list[tuple[tuple, str, int, tuple]]) -> list[tuple[tuple, str, int, tuple]]:
+    """The blocks outside of named elements; own are those of a page's blocks that vary.
 
     A name does not count on an element with the page's main or only articles, nor on one with over half of the text;
     articles in named elements beside the page's own article (teasers, comments) go with their element.
     """
     if not any(b[3] for b in own):
         return own
-    article = any(b[2] and (not b[3] or b[2] < b[3][0]) for b in own)
+    article = any(b[2] and (not b[3] or b[2] < b[3][0]) for b in page)
     total, held, void = 0, defaultdict(int), set()
     for path, text, main, named in own:
         total += len(text)
@@ -255,12 +258,15 @@ def _by_label(a: list, b: list) -> list[tuple[int, int]]:
     n = min(len(a), len(b))
     if not n:
         return []
-    leaves = not any(x[3] for x in a) and not any(x[3] for x in b)
-    head = next((k for k in range(n) if a[k][0] != b[k][0]), n)
-    if head == n and (leaves or len(a) == len(b)):
+    if len(a) == len(b) and all(x[0] == y[0] for x, y in zip(a, b, strict=True)):
         return [(k, k) for k in range(n)]
-    if leaves and head:  # pairs of leaves weigh the same
-        return [*((k, k) for k in range(head)), *((head + i, head + j) for i, j in _by_label(a[head:], b[head:]))]
+    # two leaves at an end weigh as much as any pair that either could be in
+    head = next((k for k in range(n) if a[k][0] != b[k][0] or a[k][3] or b[k][3]), n)
+    tail = next((k for k in range(n - head) if a[-1 - k][0] != b[-1 - k][0] or a[-1 - k][3] or b[-1 - k][3]), n - head)
+    if head or tail:
+        inner = _by_label(a[head : len(a) - tail], b[head : len(b) - tail])
+        ends = [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+        return [*((k, k) for k in range(head)), *((head + i, head + j) for i, j in inner), *ends]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -311,8 +317,10 @@ def host_of(url: str | None) -> str:
 
 
 def main_text(page: str | None, wrapper: list | None) -> str:
-    """The text in slots of the wrapper: inside article or main where the page has such text, else everywhere."""
+    """The text in slots of the wrapper: inside article or main where the page has such text, template or not, else everywhere."""
     own = blocks(page)
+    full = own
+    article = any(b[2] for b in without_named(own, full))
     if wrapper is not None and wrapper[1] >= PAGES and own:
         constant: set[int] = set()
         root, texts = placed(own)
@@ -326,29 +334,58 @@ def main_text(page: str | None, wrapper: list | None) -> str:
 
         walk(root, wrapper)
         own = [b for n, b in enumerate(own) if n not in constant] if constant else own
-    own = without_named(own)
-    inside = [b for b in own if b[2]]
-    return " ".join(b[1] for b in inside or own)
+    own = without_named(own, full)
+    return " ".join(b[1] for b in own if b[2] or not article)
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (a tree as JSON) over all pages of each host."""
+def page_hash(own: list[tuple[tuple, str, int, tuple]]) -> str:
+    """Of labels and texts inside article or main where the page has such text, else of all; named elements are left out."""
+    own = without_named(own, own)
+    inside = [b for b in own if b[2]]
+    return xxhash.xxh3_128_hexdigest(json.dumps([([label for _, label in b[0]], b[1]) for b in inside or own]))
 
-    def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, list] = {}
 
-        def full() -> pa.RecordBatch:
-            rows = [(h, json.dumps(t)) for h, t in trees.items()]
-            trees.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["host", "wrapper"])
+def page_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, page (a hash), tree (as JSON), sorted in partitions; all rows of one host and hash are in one partition."""
 
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple] = set()
         for batch in batches:
+            rows = []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host, own = host_of(url), tree(blocks(page))
-                trees[host] = merge(trees[host], own) if host in trees else own
-                if len(trees) >= 10_000:
-                    yield full()
-        yield full()
+                own = blocks(page)
+                row = (host_of(url), page_hash(own), json.dumps(tree(own)))
+                key = (row[0], xxhash.xxh3_128_digest(row[2]))
+                if key not in done:  # spares the shuffle most exact copies
+                    done.add(key)
+                    rows.append(row)
+            if len(done) >= 100_000:
+                done.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["host", "page", "tree"])
+
+    own = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    return own.mapInArrow(parse, "host string, page string, tree string").repartition("host", "page").sortWithinPartitions("host", "page", "tree")
+
+
+def distinct_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
+    """host and tree of the first row of each page of page_trees."""
+    last = None
+    for batch in batches:
+        for host, page, raw in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "tree")), strict=True):
+            if (host, page) != last:
+                last = (host, page)
+                yield host, raw
+
+
+def wrappers(trees: DataFrame) -> DataFrame:
+    """host, wrapper (a tree as JSON) over all distinct pages of each host."""
+
+    def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for host, own in groupby(distinct_pages(batches), key=itemgetter(0)):
+            total = None
+            for _, raw in own:
+                total = json.loads(raw) if total is None else merge(total, json.loads(raw))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (host, json.dumps(total))], names=["host", "wrapper"])
 
     def join(table: pa.Table) -> pa.Table:
         total = None
@@ -357,9 +394,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             total = own if total is None else merge(total, own)
         return pa.table({"host": table.column("host").slice(0, 1), "wrapper": pa.array([json.dumps(total)])})
 
-    own = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parts = own.mapInArrow(induce, "host string, wrapper string")
-    return parts.groupBy("host").applyInArrow(join, "host string, wrapper string")
+    return trees.mapInArrow(induce, "host string, wrapper string").groupBy("host").applyInArrow(join, "host string, wrapper string")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -367,7 +402,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Pages without a host share one wrapper; repeated rows each come back.
     """
-    found = cut(wrappers(pages, url_col, html_col))
+    found = cut(wrappers(page_trees(pages, url_col, html_col)))
     total = found.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).first()[0]
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     id_type = own.schema["page_id"].dataType.simpleString()

@@ -289,6 +289,17 @@ def test_wrapper_keeps_articles_in_named_elements(outer):
     assert wrapper.main_text(f"<body><div {outer}>{text}</div><div class='site-footer'>Foot</div></body>", None) == text[3:-4]
 
 
+def test_wrapper_counts_copied_pages_once(spark):
+    page = lambda a, k: f"<body><div>Outside {k}</div><article><h1>{a}</h1><div class='t'>Body {a}</div></article></body>"
+    copies = [page("x", 0)] * 18 + [page("a", 1), page("b", 2), page("c", 3)]
+    got = _extracted(spark, copies)
+    assert got == {k: f"{a} Body {a}" for k, a in enumerate(["x"] * 18 + ["a", "b", "c"])}
+    note = "<div class='t'>Please log in</div>"
+    own = [f"<body><p>Outside {k}</p><article>{note}<p>Text {k}</p></article></body>" for k in range(9)]
+    got = _extracted(spark, [*own, f"<body><p>Outside 9</p><article>{note}</article><div class='comments'><article>Reader</article></div></body>"])
+    assert got == {k: f"Text {k}" for k in range(9)} | {9: ""}
+
+
 def test_simple_tree_matching():
     node = lambda label, *children: [label, 1, {}, list(children)]
     a = [node("p"), node("div", node("p"), node("ul")), node("p")]
