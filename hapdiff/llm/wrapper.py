@@ -7,7 +7,8 @@ article (menus, footers, adverts, forms, comments, ...) are left out whatever th
 
 Pages of a host with the same main blocks count once: trees are dealt by host and hash, so each task merges distinct
 pages into one tree for each host, and the trees of a host are merged after another shuffle. A host with a third of
-all pages puts one row a task into its group.
+all pages puts one row a task into its group. The bounded summaries of texts in these trees only name one text for a
+node; a second pass over the distinct pages counts it exactly before a node is judged.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import json
 import re
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Collection, Iterator
+from itertools import batched, count, groupby
 from operator import itemgetter
 from urllib.parse import urlsplit
 
@@ -51,7 +52,7 @@ INLINE = frozenset(
 MAIN = frozenset("article main".split())
 #: A node is template where one text stands on this share of the pages that have it, on so many pages at least.
 SAME, PAGES = 0.8, 4
-#: Texts that a node remembers: any text on over a fifth of the pages is among them.
+#: Texts that a node remembers: any text on over a fifth of the pages is among them, its count too low by a fifth of the pages at most.
 TEXTS = 4
 #: Trees of all hosts together up to this size are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
@@ -316,23 +317,29 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def main_text(page: str | None, wrapper: list | None) -> str:
-    """The text in slots of the wrapper: inside article or main where the page has such text, template or not, else everywhere."""
-    own = blocks(page)
-    full = own
-    article = any(b[2] for b in without_named(own, full))
-    if wrapper is not None and wrapper[1] >= PAGES and own:
-        constant: set[int] = set()
-        root, texts = placed(own)
+def named_texts(tree: list, numbers: Iterator[int] | None = None) -> list:
+    """The tree with a number for each node behind its children, and of its texts only the one that can stand on SAME of its pages."""
+    numbers = numbers or count()
+    number = next(numbers)
+    least = max((SAME - 1 / (TEXTS + 1)) * tree[1] - 1e-9, 1)  # over half of the pages, so no two texts reach it
+    texts = {t: n for t, n in tree[2].items() if n >= least and tree[1] >= PAGES}
+    return [tree[0], tree[1], texts, [named_texts(c, numbers) for c in tree[3]], number]
+
+
+def aligned(node: list, wrapper: list) -> Iterator[tuple[list, list]]:
+    """Each node of a page's tree with its node of the wrapper."""
+    for i, j in match(node[3], wrapper[3]):
+        yield node[3][i], wrapper[3][j]
+        yield from aligned(node[3][i], wrapper[3][j])
 
-        def walk(node: list, other: list) -> None:
-            for i, j in match(node[3], other[3]):
-                child, seen = node[3][i], other[3][j]
-                if child[2] and seen[1] >= PAGES and seen[2].get(next(iter(child[2])), 0) >= SAME * seen[1]:
-                    constant.update(texts[id(child)])
-                walk(child, seen)
 
-        walk(root, wrapper)
+def main_text(page: str | None, wrapper: list | None, template: Collection[int] = ()) -> str:
+    """The text outside template nodes of the wrapper: inside article or main where the page has such text, template or not, else everywhere."""
+    own = full = blocks(page)
+    article = any(b[2] for b in without_named(own, full))
+    if wrapper is not None and template and own:
+        root, texts = placed(own)
+        constant = {n for a, b in aligned(root, wrapper) if b[4] in template and a[2] and a[2].keys() == b[2].keys() for n in texts[id(a)]}
         own = [b for n, b in enumerate(own) if n not in constant] if constant else own
     own = without_named(own, full)
     return " ".join(b[1] for b in own if b[2] or not article)
@@ -378,7 +385,7 @@ def distinct_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str
 
 
 def wrappers(trees: DataFrame) -> DataFrame:
-    """host, wrapper (a tree as JSON) over all distinct pages of each host."""
+    """host, wrapper (a tree of named_texts as JSON) over all distinct pages of each host."""
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, own in groupby(distinct_pages(batches), key=itemgetter(0)):
@@ -392,18 +399,60 @@ def wrappers(trees: DataFrame) -> DataFrame:
         for raw in sorted(table.column("wrapper").to_pylist()):
             own = json.loads(raw)
             total = own if total is None else merge(total, own)
-        return pa.table({"host": table.column("host").slice(0, 1), "wrapper": pa.array([json.dumps(total)])})
+        return pa.table({"host": table.column("host").slice(0, 1), "wrapper": pa.array([json.dumps(named_texts(total))])})
 
     return trees.mapInArrow(induce, "host string, wrapper string").groupBy("host").applyInArrow(join, "host string, wrapper string")
 
 
+def templates(trees: DataFrame, found: DataFrame, small: bool) -> DataFrame:
+    """host, template: the numbers of the nodes whose text stands on SAME of the distinct pages that have them, counted exactly."""
+
+    def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, list] = {}
+        known: dict[str, list] = {}
+
+        def full() -> pa.RecordBatch:
+            rows = [(*k, *v) for k, v in seen.items()]
+            seen.clear()
+            types = pa.string(), pa.int64(), pa.int64(), pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["host", "node", "n", "same"])
+
+        for batch in batches:
+            for host, tree, raw in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "wrapper")), strict=True):
+                if host not in known:
+                    if len(known) >= 1000:
+                        known.clear()
+                    known[host] = json.loads(raw)
+                for a, b in aligned(json.loads(tree), known[host]):
+                    if b[2]:
+                        own = seen.setdefault((host, b[4]), [0, 0])
+                        own[0] += 1
+                        own[1] += a[2].keys() == b[2].keys()
+            if len(seen) >= 100_000:
+                yield full()
+        yield full()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batched(distinct_pages(batches), 500):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], names=["host", "tree"])
+
+    once = trees.mapInArrow(first, "host string, tree string").join(F.broadcast(found) if small else found, "host")
+    counted = once.select("host", "tree", "wrapper").mapInArrow(recount, "host string, node long, n long, same long")
+    total = counted.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    constant = total.filter((F.col("n") >= PAGES) & (F.col("same") >= SAME * F.col("n") - 1e-9))
+    return constant.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for each page: the main text by its host's wrapper, empty for null or empty html.
 
     Pages without a host share one wrapper; repeated rows each come back.
     """
-    found = cut(wrappers(page_trees(pages, url_col, html_col)))
+    trees = cut(page_trees(pages, url_col, html_col))
+    found = cut(wrappers(trees))
     total = found.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).first()[0]
+    small = total <= BROADCAST_BYTES
+    found = cut(found.join(templates(trees, found, small), "host", "left"))
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     id_type = own.schema["page_id"].dataType.simpleString()
 
@@ -411,24 +460,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for batch in batches:
             yield batch.append_column("host", pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string()))
 
-    placed = own.mapInArrow(with_host, f"page_id {id_type}, url string, html string, host string")
-    joined = placed.join(F.broadcast(found) if total <= BROADCAST_BYTES else found, "host", "left")
+    dealt = own.mapInArrow(with_host, f"page_id {id_type}, url string, html string, host string")
+    joined = dealt.join(F.broadcast(found) if small else found, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        known: dict[str, tuple] = {}
         for batch in batches:
             for part in slices(batch, "html"):
                 texts = []
-                for h, page, raw in zip(*(part.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
+                for h, page, raw, template in zip(*(part.column(c).to_pylist() for c in ("host", "html", "wrapper", "template")), strict=True):
                     if h not in known:
                         if len(known) >= 1000:
                             known.clear()
-                        known[h] = json.loads(raw) if raw else None
-                    texts.append(main_text(page, known[h]))
+                        known[h] = json.loads(raw) if raw else None, frozenset(template or ())
+                    texts.append(main_text(page, *known[h]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],
                 )
 
-    slim = joined.select("page_id", "url", "html", "host", "wrapper")
+    slim = joined.select("page_id", "url", "html", "host", "wrapper", "template")
     return slim.mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long")

@@ -300,6 +300,14 @@ def test_wrapper_counts_copied_pages_once(spark):
     assert got == {k: f"Text {k}" for k in range(9)} | {9: ""}
 
 
+def test_wrapper_counts_texts_exactly(spark):
+    text = lambda k, share, name: name if k * 7 % 100 < share else f"Own {name} {k}"
+    page = lambda k: f"<body><div class='x7'><p>{text(k, 81, 'A')}</p></div><div class='x8'><p>{text(k, 79, 'B')}</p></div><div>Text {k}</div></body>"
+    got = _extracted(spark, [page(k) for k in range(1000)])
+    for k in range(1000):
+        assert got[k] == " ".join(x for x in (text(k, 81, "A"), text(k, 79, "B"), f"Text {k}") if x != "A")
+
+
 def test_simple_tree_matching():
     node = lambda label, *children: [label, 1, {}, list(children)]
     a = [node("p"), node("div", node("p"), node("ul")), node("p")]
