@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from hapdiff.llm.common import ascii_lower, let, whole, words_of
 
 MASKS = ("11111", "1101011", "110010011")
+#: Words in a row by which shorter items are found besides, by their number of words: whole items under 5 words; of 5 to 11
+#: words a fifth may be replaced, which leaves a run of so many.
+RUNS = {1: 1, 2: 2, 3: 3, 4: 4, 5: 2} | {n: 3 for n in range(6, 12)}
 #: A leak is a stretch of this many words of an item (all of a shorter item), four fifths of them equal.
 STRETCH = 25
 #: Seeds of a benchmark up to this many rows are broadcast (about 32 bytes each); beyond it they are joined by a shuffle.
@@ -23,20 +26,24 @@ def _hashes(text: Column) -> Column:
     return F.transform(words_of(ascii_lower(whole(text))), lambda w: F.xxhash64(w))
 
 
-def _seed_arrays(words: Column) -> Column:
-    """For each mask an array of the seeds of all positions."""
+def _seed_arrays(words: Column, runs: list[int], item: bool) -> Column:
+    """For each mask and each length of run an array of the seeds of all positions; an item has only runs of the length for it."""
 
     def own(k: int, mask: str) -> Column:
         span, rest = len(mask), [j for j, c in enumerate(mask) if c == "1"][1:]
         starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (span - 1), F.lit(0)))
         return F.transform(starts, lambda w, i: F.xxhash64(F.lit(k), w, *[F.get(words, i + j) for j in rest]))
 
-    return F.array(*[own(k, m) for k, m in enumerate(MASKS)])
+    def run(n: int) -> Column:
+        seeds = own(-n, "1" * n)
+        return F.when(F.size(words).isin([k for k, v in RUNS.items() if v == n]), seeds) if item else seeds
 
+    return F.array(*[own(k, m) for k, m in enumerate(MASKS)], *[run(n) for n in runs])
 
-def _seeds(df: DataFrame, keys: list[str], words: Column) -> DataFrame:
-    """keys, seed, at: a row for each mask and position. The outer explodes keep the optimizer from judging the arrays twice."""
-    one = df.select(*keys, F.explode_outer(let(words, _seed_arrays)).alias("_one"))
+
+def _seeds(df: DataFrame, keys: list[str], words: Column, runs: list[int], item: bool = False) -> DataFrame:
+    """keys, seed, at: a row for each mask or run and position. The outer explodes keep the optimizer from judging the arrays twice."""
+    one = df.select(*keys, F.explode_outer(let(words, lambda w: _seed_arrays(w, runs, item))).alias("_one"))
     return one.select(*keys, F.posexplode_outer("_one").alias("at", "seed"))
 
 
@@ -47,14 +54,16 @@ def find_leaks(
     """row_key, item, first_word, matched: the diagonals on which a document holds a leak of an item.
 
     first_word may be negative: where the item would begin. Words are compared after lower-casing A-Z.
-    Items with fewer words than the shortest mask are in no leak; null texts have no words. row_key is
+    Null texts have no words, and items without words are in no leak. row_key is
     leak_key() of the document.
     """
     items = benchmark.select(F.col(item_col).alias("item"), _hashes(F.col(item_text_col)).alias("_wh")).distinct()
-    seeds = _seeds(items, ["item"], F.col("_wh")).filter("seed is not null").select("seed", "item", F.col("at").alias("item_at")).distinct()
+    sizes = items.select(F.size("_wh").alias("n")).filter(F.col("n").isin(list(RUNS))).distinct().collect()
+    runs = sorted({RUNS[r.n] for r in sizes})  # documents have no seeds for runs that no item needs
+    seeds = _seeds(items, ["item"], F.col("_wh"), runs, item=True).filter("seed is not null").select("seed", "item", F.col("at").alias("item_at")).distinct()
     n_seeds = seeds.count()
     keyed = docs.select(leak_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("_text"))
-    at = _seeds(keyed, ["row_key"], _hashes(F.col("_text")))
+    at = _seeds(keyed, ["row_key"], _hashes(F.col("_text")), runs)
     hits = at.join(F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds, "seed")
     hits = hits.select("row_key", "item", (F.col("at") - F.col("item_at")).alias("first_word")).distinct()
     # all hits of a document meet its text at once, so that its words are hashed once

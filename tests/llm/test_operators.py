@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -210,6 +211,23 @@ def test_decontamination_tolerates_replaced_words(spark):
     assert decontam.drop_leaks(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_decontamination_finds_short_items_on_all_diagonals(spark):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 12)}
+    texts = []
+    for n, item in items.items():
+        for gone in [c for r in range(n // 5 + 2) for c in combinations(range(n), r)]:
+            texts.append(["a", *("X" if k in gone else w for k, w in enumerate(item)), "b"])
+    want = {}
+    for k, t in enumerate(texts):
+        for n, item in items.items():
+            if any(5 * sum(0 <= d + j < len(t) and t[d + j] == w for j, w in enumerate(item)) >= 4 * n for d in range(-n, len(t))):
+                want[k] = [n]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()] + [(99, ""), (98, None)], "item_id long, text string")
+    got = {r.doc_id: list(r.leaked_items) for r in decontam.mark_leaks(docs, bench).collect() if r.leaked_items}
+    assert got == want and len(want) < len(texts)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, duck, name):
     assert rows(queries.QUERIES[name](spark, SMALL).toPandas()) == rows(duck.sql(queries.ORACLE_SQL[name]).df())
