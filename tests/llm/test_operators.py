@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from hapdiff.llm import (
@@ -238,7 +239,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 def _best(v, s):
     """The score of the best segmentation, by plain dynamic programming."""
-    pieces = {t: score for t, score, _ in v.pieces}
+    pieces = {t: v.scores[k] for k, t in v.spelled.items()}
     best = [0.0] + [-math.inf] * len(s)
     for j in range(1, len(s) + 1):
         for i in range(max(0, j - v.longest), j):
@@ -251,24 +252,74 @@ def _best(v, s):
 
 def test_sentencepiece(spark, docs):
     model = sentencepiece_codec.read_model(spark, MODEL)
-    v = sentencepiece_codec.Vocabulary.load(model)
     encoded = sentencepiece_codec.encode(docs, model)
     assert encoded.schema["ids"].dataType.simpleString() == "array<int>"
-    for r in sentencepiece_codec.decode(encoded, model).collect():
-        assert r.decoded == (r.text or "") and bool(r.ids) == bool(r.text)
-    score = {k: x for _, x, k in v.pieces}
-    for text in ("Hello  world, it was raining.", "naïve ▁ \U0001f600 tab\tend\n", "a" * 300, " lead and trail "):
-        ids = sentencepiece_codec.Codec(v).encode(text)
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    found = sentencepiece_codec.decode(encoded, model).collect()
+    assert sorted(map(str, docs.columns)) == sorted(c for c in encoded.columns if c != "ids" or "ids" in docs.columns)
+    for r in found:
+        assert r.decoded == (r.text or "") and r.ids == library.encode(r.text or "")
+    empty = sentencepiece_codec.decode(sentencepiece_codec.encode(docs.limit(0), model), model)
+    assert empty.count() == 0 and "decoded" in empty.columns
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [None, -1, 99_999_999, 22557]), (4, [28705, 242, 191])], "k int, ids array<int>")
+    assert {r.k: r.decoded for r in sentencepiece_codec.decode(odd, model).collect()} == {1: "", 2: "", 3: "Hello", 4: "\ufffd"}
+
+
+@pytest.mark.parametrize("merges", [True, False])
+def test_streaming_viterbi(merges):
+    """Ids are the library's (merges) or the best-scoring path's (sums of scores), in whatever portions a text is fed."""
+    with open(MODEL, "rb") as f:
+        model = f.read()
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    v = sentencepiece_codec.Vocabulary.load(model)
+    assert v.merges
+    if not merges:
+        v = sentencepiece_codec.Vocabulary([(t, v.scores[k], k) for k, t in v.spelled.items()], v.byte_ids)
+    score, alone = v.scores, set(v.spelled.values())
+    codec = sentencepiece_codec.Codec(v)
+    rng = random.Random(5)
+    parts = ["a", "ab", "the", "ing", " ", "   ", "\n", "é", "中", "\U0001f600", "\x00", "0", "==", "-", "'s", "Über", " " * 37, "b" * 41]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    for text in ["Hello  world, it was raining.", "naïve ▁ \U0001f600 tab\tend\n", "a" * 300, " lead and trail ", *texts]:
+        ids = codec.encode(text)
         s = "▁" + text.replace("▁", sentencepiece_codec._OWN).replace(" ", "▁")
-        spelled = sum(len(sentencepiece_codec._spelled(c)) and 1 for c in s if c not in {t for t, _, _ in v.pieces})
-        assert math.isclose(sum(score.get(k, 0.0) for k in ids) + spelled * v.unknown, _best(v, s), rel_tol=1e-9)
+        if merges:
+            assert "▁" in text or ids == library.encode(text)
+        else:
+            spelled = sum(c not in alone for c in s)
+            assert math.isclose(sum(score.get(k, 0.0) for k in ids) + spelled * v.unknown, _best(v, s), rel_tol=1e-9)
         stream, fed = sentencepiece_codec.Stream(v), []
         for c in s:
             fed += stream.feed(c)
         fed += stream.feed("", last=True)
         assert fed == ids
         # paths over a run of one letter may never meet: only there does the window go on
-        assert text.startswith("aaa") or stream.most_kept <= 6 * v.longest + 2
+        assert "aaa" in text or "bbb" in text or "    " in text or stream.most_kept <= 6 * v.longest + 2
+
+
+def test_sentencepiece_long():
+    """A text of some megabytes and a word of many portions: the library's ids, from a window that stays short."""
+    with open(MODEL, "rb") as f:
+        model = f.read()
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary.load(model))
+    text = " ".join(f"word{k % 997} and more{k % 31}," for k in range(150_000))
+    assert codec.encode(text) == library.encode(text)
+    word = "".join(f"abc{k}" for k in range(20_000))
+    assert codec.encode(word) == library.encode(word)
+    stream, ids = sentencepiece_codec.Stream(codec.v), []
+    for at in range(0, len(word), 50):
+        ids += stream.feed(word[at : at + 50])
+    assert stream.most_kept <= 6 * codec.v.longest + 50 and len(ids) > 10_000
+
+
+def test_remembered_runs_are_bounded(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED_BYTES", 20_000)
+    with open(MODEL, "rb") as f:
+        codec = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary.load(f.read()))
+    for k in range(300):
+        codec.encode(f"number {k}")
+        assert codec.held <= 11_000 and len(codec.earlier) < 100
 
 
 def test_wrapper(spark):
