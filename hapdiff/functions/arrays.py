@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: what makes a median absolute deviation a standard deviation.
+MAD_SCALE = 1.4826
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, even where a lambda of body uses it for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -23,4 +27,4 @@ def median(values: Column) -> Column:
 
 def mad(values: Column) -> Column:
     """1.4826 times the median absolute deviation from the median."""
-    return 1.4826 * let(values, lambda v: let(median(v), lambda m: median(F.transform(v, lambda x: F.abs(x - m)))))
+    return MAD_SCALE * let(values, lambda v: let(median(v), lambda m: median(F.transform(v, lambda x: F.abs(x - m)))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Mapping, Sequence
 
@@ -10,53 +11,97 @@ import pandas as pd
 
 
 def align_design(design: pd.DataFrame, samples: Sequence[str]) -> pd.DataFrame:
-    """One row for each sample in their order: by a `sample` column, else by the index's names, else as given."""
+    """One row for each sample in their order: by a `sample` column that names them all, else by the index if that does, else as given."""
     if len(design) != len(samples):
         raise ValueError("the design must have one row per sample")
-    if "sample" in design:
-        names = [str(x) for x in design["sample"]]
-    elif not isinstance(design.index, pd.RangeIndex):
-        names = [str(x) for x in design.index]
-    else:
-        return design.reset_index(drop=True)
-    if sorted(names) != sorted(samples):
-        raise ValueError("the design's samples are not the read files' samples")
-    return design.iloc[[names.index(s) for s in samples]].reset_index(drop=True)
+    for own in ([design["sample"]] if "sample" in design else []) + [design.index]:
+        names = [str(x) for x in own]
+        if sorted(names) == sorted(samples):
+            return design.iloc[[names.index(s) for s in samples]].reset_index(drop=True)
+    return design.reset_index(drop=True)
 
 
-def _levels(column: pd.Series) -> list:
-    return list(column.cat.categories) if isinstance(column.dtype, pd.CategoricalDtype) else sorted(column.unique())
+def _is_number(own: pd.Series) -> bool:
+    return pd.api.types.is_numeric_dtype(own) and not pd.api.types.is_bool_dtype(own)
 
 
-def design_matrix(design: pd.DataFrame, formula: str) -> tuple[np.ndarray, list[str]]:
-    """Columns of a one-sided formula such as "~ group + age": an intercept (unless 0 or -1 is a term), treatment-coded
-    categories, numbers as they are. Full rank is required."""
-    left, _, right = formula.partition("~")
-    if left.strip() or not right.strip():
+def _levels(own: pd.Series) -> list:
+    """The levels of a category that occur, in its order; of other values in ascending order."""
+    if isinstance(own.dtype, pd.CategoricalDtype):
+        return [x for x in own.cat.categories if (own == x).any()]
+    return sorted(own.unique())
+
+
+def as_groups(own: pd.Series) -> pd.Series:
+    """A grouping column as a category of text, levels in its order if it is one, else as they first appear. Two levels."""
+    text = lambda x: f"{x:.15g}" if isinstance(x, (int, float, np.number)) and not isinstance(x, (bool, np.bool_)) else str(x)
+    levels = _levels(own) if isinstance(own.dtype, pd.CategoricalDtype) else list(dict.fromkeys(own))
+    if own.isna().any() or len(levels) != 2:
+        raise ValueError("the grouping column needs exactly two levels and no missing values")
+    return pd.Series(pd.Categorical([text(x) for x in own], categories=[text(x) for x in levels]), index=own.index)
+
+
+def formula_terms(formula: str) -> tuple[list[tuple[str, ...]], bool]:
+    """The terms of a one-sided formula, each the columns that it multiplies, main effects first, and whether it has an intercept.
+
+    Read are `+`, `-`, `:`, `*`, `0`, `1` and parentheses around the whole; other calls are refused.
+    """
+    left, tilde, right = formula.partition("~")
+    right = right.strip()
+    if left.strip() or not tilde or not right:
         raise ValueError("the formula must be one-sided")
-    terms = [t.strip() for t in re.split(r"\+", right.replace("-1", "+0").replace("- 1", "+0"))]
-    intercept = "0" not in terms
-    columns, names, coded = ([np.ones(len(design))], ["(Intercept)"], False) if intercept else ([], [], False)
-    for term in terms:
-        if term in ("", "0", "1"):
-            continue
-        if term not in design:
-            raise ValueError(f"the design has no column {term}")
-        own = design[term]
-        if own.isna().any():
-            raise ValueError(f"column {term} has missing values")
-        if pd.api.types.is_numeric_dtype(own) and not pd.api.types.is_bool_dtype(own):
-            columns.append(own.to_numpy(float))
-            names.append(term)
+    if right.startswith("(") and right.endswith(")"):
+        right = right[1:-1]
+    found, intercept = [], True
+    for sign, text in re.findall(r"([+-]?)([^+-]+)", right.replace(" ", "")):
+        if text in ("0", "1"):
+            intercept = (text == "1") == (sign != "-")
             continue
-        levels = _levels(own)
-        for level in levels[1:] if intercept or coded else levels:
-            columns.append((own == level).to_numpy(float))
-            names.append(f"{term}{level}")
-        coded = True
-    x = np.column_stack(columns)
-    if np.linalg.matrix_rank(x) < x.shape[1]:
-        raise ValueError("the design matrix is rank deficient")
+        if not re.fullmatch(r"[\w.]+([:*][\w.]+)*", text):
+            raise ValueError(f"the formula's term {text} isn't understood")
+        factors = [tuple(dict.fromkeys(part.split(":"))) for part in text.split("*")]
+        crossed = [tuple(dict.fromkeys(sum(own, ()))) for n in range(1, len(factors) + 1) for own in itertools.combinations(factors, n)]
+        for term in crossed:
+            same = [x for x in found if set(x) == set(term)]
+            if sign == "-":
+                found = [x for x in found if x not in same]
+            elif not same:
+                found.append(term)
+    return sorted(found, key=len), intercept
+
+
+def design_matrix(design: pd.DataFrame, formula: str) -> tuple[np.ndarray, list[str]]:
+    """The columns of formula_terms() and their names: categories as indicators of their levels, numbers as they are.
+
+    A category of a term leaves out its first level if the formula also has the term without it. Full rank and more rows than
+    columns are required.
+    """
+    terms, intercept = formula_terms(formula)
+    held = [set(t) for t in terms] + ([set()] if intercept else [])
+    columns, names = ([np.ones(len(design))], ["(Intercept)"]) if intercept else ([], [])
+    for term in terms:
+        made = [(np.ones(len(design)), "")]
+        for name in term:
+            if name not in design:
+                raise ValueError(f"the design has no column {name}")
+            own = design[name]
+            if own.isna().any():
+                raise ValueError(f"column {name} has missing values")
+            if _is_number(own):
+                coded = [(own.to_numpy(float), name)]
+            else:
+                levels = _levels(own)[1 if set(term) - {name} in held else 0 :]
+                coded = [((own == x).to_numpy(float), f"{name}{x}") for x in levels]
+                if term == (name,) and set() not in held:
+                    held.append(set())  # its indicators sum to the intercept
+            made = [(x * y, f"{a}:{b}" if a else b) for y, b in coded for x, a in made]
+        columns += [x for x, _ in made]
+        names += [a for _, a in made]
+    x = np.column_stack(columns) if columns else np.zeros((len(design), 0))
+    if not np.isfinite(x).all():
+        raise ValueError("the design has values that aren't finite")
+    if not x.shape[1] or x.shape[0] <= x.shape[1] or np.linalg.matrix_rank(x) < x.shape[1]:
+        raise ValueError("the design matrix needs full rank and more rows than columns")
     return x, names
 
 
@@ -66,7 +111,8 @@ def contrast(coef: str | int | Sequence[float], names: Sequence[str]) -> np.ndar
         if coef not in names:
             raise ValueError(f"no coefficient {coef} among {list(names)}")
         return np.eye(len(names))[list(names).index(coef)]
-    if isinstance(coef, int):
+    if isinstance(coef, (int, float)) and coef == int(coef):
+        coef = int(coef)
         if not 1 <= coef <= len(names):
             raise ValueError("the coefficient's place is outside the design")
         return np.eye(len(names))[coef - 1]
@@ -77,14 +123,14 @@ def contrast(coef: str | int | Sequence[float], names: Sequence[str]) -> np.ndar
 
 
 def group_column(design: pd.DataFrame, formula: str, coef: str | int | Sequence[float]) -> str:
-    """The two-level column of the formula that the coefficient names, else the only two-level one, else `group` or `groups`."""
-    terms = [t for t in re.split(r"[~+\s]+", formula) if t in design]
-    two = [t for t in terms if design[t].nunique() == 2 and not (pd.api.types.is_float_dtype(design[t]))]
-    named = [t for t in two if isinstance(coef, str) and coef.startswith(t)]
-    for found in (named, two if len(two) == 1 else [], [c for c in ("group", "groups") if c in design and design[c].nunique() == 2]):
-        if found:
+    """The formula's two-level column that is permuted: `group` or `groups`, else the one whose name the coefficient has, else the only one."""
+    used = dict.fromkeys(name for term in formula_terms(formula)[0] for name in term if name in design)
+    two = [name for name in used if design[name].nunique() == 2]
+    named = [name for name in two if isinstance(coef, str) and name in coef]
+    for found in ([name for name in two if name in ("group", "groups")], named, two):
+        if len(found) == 1:
             return found[0]
-    raise ValueError("no two-level grouping column")
+    raise ValueError("no single two-level grouping column in the formula; name it group or groups")
 
 
 def group_codes(groups: Mapping[str, str] | Sequence[str], samples: Sequence[str], levels: Sequence[str] | None = None) -> tuple[list[int], list[str]]:

@@ -11,6 +11,11 @@ from hapdiff.functions.stats import SQRT_EPS, normal_two_sided
 
 PHI = (0.001, 0.999)
 KEYS = ["perm_id", "region_id"]
+_VECTOR = pa.list_(pa.float64())
+RESULT = pa.schema([
+    ("coef", _VECTOR), ("stage1_coef", _VECTOR), ("cov", pa.list_(_VECTOR)), ("statistic", pa.float64()), ("p_value", pa.float64()),
+    ("phi", pa.float64()), ("z", _VECTOR), ("kappa", _VECTOR),
+])
 
 
 def link(s: Column, t: Column, pseudo: float = 0.5) -> Column:
@@ -19,17 +24,29 @@ def link(s: Column, t: Column, pseudo: float = 0.5) -> Column:
 
 
 def with_link(matrices: DataFrame, pseudo: float = 0.5) -> DataFrame:
-    """matrices with z and kappa, the effective coverage t * t / nsq, at least 1; far under 1 is an error."""
+    """matrices with z and kappa, the effective coverage t * t / nsq, at least 1.
+
+    Far under 1 is an error of the observed labelling (perm_id 0) and null in a permuted one, whose fits then fail.
+    """
     raw = F.col("t") * F.col("t") / F.col("nsq")
-    ok = F.when(raw < 1 - SQRT_EPS, F.raise_error("effective coverage below 1").cast("double")).otherwise(F.greatest(raw, F.lit(1.0)))
+    low = F.when(F.col("perm_id") == 0, F.raise_error("effective coverage below 1").cast("double"))
+    ok = F.when(raw < 1 - SQRT_EPS, low).otherwise(F.greatest(raw, F.lit(1.0)))
     return matrices.withColumn("kappa", ok).withColumn("z", link(F.col("s"), F.col("t"), pseudo))
 
 
+def null_statistics(fits: DataFrame, statistic: str = "wald") -> DataFrame:
+    """The finite statistics of permuted labellings. A labelling with a region whose fit failed (a null statistic) has none."""
+    own = fits.filter("perm_id > 0")
+    failed = own.filter(F.col(statistic).isNull()).select("perm_id").distinct()  # at most a row for each labelling
+    return own.join(F.broadcast(failed), "perm_id", "left_anti").filter(F.abs(F.col(statistic)) < float("inf"))
+
+
 def two_groups(linked: DataFrame, labels: DataFrame, phi: tuple[float, float] = PHI) -> DataFrame:
     """perm_id, region_id, estimate, wald, phi of group 2 against group 1; labels (perm_id, sample, g) is a few rows.
 
-    The design is an intercept and one indicator, so both stages have closed forms.
+    The design is an intercept and one indicator, so both stages have closed forms. A region with a null kappa has no fit.
     """
+    check_settings(0.5, phi)
     df = linked.join(F.broadcast(labels), ["perm_id", "sample"])
     side = lambda c, g: F.sum(F.when(F.col("g") == g, c))
     k, kz, kzz = F.col("kappa"), F.col("kappa") * F.col("z"), F.col("kappa") * F.col("z") * F.col("z")
@@ -49,10 +66,18 @@ def two_groups(linked: DataFrame, labels: DataFrame, phi: tuple[float, float] =
     total = lambda g, f: F.aggregate(F.filter("rows", lambda x: x["g"] == g), F.lit(0.0), lambda a, x: a + f(x))
     for g in (1, 2):
         one = one.withColumn(f"w{g}", total(g, weight)).withColumn(f"wz{g}", total(g, lambda x: weight(x) * x["z"]))
+    one = one.withColumns({w: F.when(~F.exists("rows", lambda x: x["kappa"].isNull()), F.col(w)) for w in ("w1", "w2")})
     estimate = F.col("wz2") / F.col("w2") - F.col("wz1") / F.col("w1")
     return one.select(*KEYS, estimate.alias("estimate"), (estimate / F.sqrt(1 / F.col("w1") + 1 / F.col("w2"))).alias("wald"), "phi")
 
 
+def check_settings(pseudo: float, phi: tuple[float, float]) -> None:
+    if not np.isfinite(pseudo) or pseudo <= 0:
+        raise ValueError("the pseudo count must be finite and positive")
+    if len(phi) != 2 or not np.isfinite(phi).all() or not 0 <= phi[0] < phi[1] < 1:
+        raise ValueError("the bounds of phi must be 0 <= lower < upper < 1")
+
+
 def fit_one(s: np.ndarray, t: np.ndarray, nsq: np.ndarray, x: np.ndarray, c: np.ndarray, pseudo: float = 0.5, phi_bounds: tuple = PHI) -> dict:
     """The fit of one region: coefficients, covariance, Wald statistic and its p."""
     kappa = t * t / nsq
@@ -78,23 +103,35 @@ def fit_one(s: np.ndarray, t: np.ndarray, nsq: np.ndarray, x: np.ndarray, c: np.
 def fit_regions(matrices: DataFrame, samples: list[str], designs: dict[int, np.ndarray], c: np.ndarray, pseudo: float = 0.5, phi: tuple = PHI) -> DataFrame:
     """One row for each region (perm_id, region_id) with fit_one()'s results; designs: for each perm_id the matrix, rows by samples.
 
-    Designs are small and travel with the tasks; a region's rows are as many as the samples.
+    Designs are small and travel with the tasks; a region's rows are as many as the samples. Where a fit fails, the observed
+    labelling (perm_id 0) stops the job, and a permuted one's row has nulls.
     """
+    check_settings(pseudo, phi)
+    if len(set(samples)) != len(samples) or not all(samples):
+        raise ValueError("samples need different names")
     for x in designs.values():
+        if not np.isfinite(x).all() or not np.isfinite(c).all() or len(c) != x.shape[1] or not np.any(c):
+            raise ValueError("the design and the contrast must be finite, and the contrast has one number for each column, not all 0")
         if x.shape[0] != len(samples) or x.shape[0] <= x.shape[1] or np.linalg.matrix_rank(x) < x.shape[1]:
             raise ValueError("the design needs full rank and more samples than columns")
     place = {name: k for k, name in enumerate(samples)}
 
     def fit(table: pa.Table) -> pa.Table:
-        at = [place[v] for v in table.column("sample").to_pylist()]
+        perm = table.column("perm_id")[0].as_py()
+        at = [place.get(v, -1) for v in table.column("sample").to_pylist()]
         if sorted(at) != list(range(len(samples))):
             raise ValueError("a region needs one row for each sample")
         own = {k: np.asarray(table.column(k), np.float64)[np.argsort(at)] for k in ("s", "t", "nsq")}
-        if not (np.isfinite(own["s"]).all() and (own["t"] > 0).all() and (own["nsq"] > 0).all() and (own["s"] >= 0).all() and (own["s"] <= own["t"]).all()):
-            raise ValueError("regions need 0 <= s <= t, t > 0 and nsq > 0")
-        r = fit_one(own["s"], own["t"], own["nsq"], designs[table.column("perm_id")[0].as_py()], c, pseudo, phi)
+        try:
+            if not (all(np.isfinite(v).all() for v in own.values()) and (own["t"] > 0).all() and (own["nsq"] > 0).all() and (own["s"] >= 0).all() and (own["s"] <= own["t"]).all()):
+                raise ValueError("regions need 0 <= s <= t, t > 0 and nsq > 0")
+            r = fit_one(own["s"], own["t"], own["nsq"], designs[perm], c, pseudo, phi)
+        except (ValueError, np.linalg.LinAlgError):
+            if perm == 0:
+                raise
+            r = dict.fromkeys(("coef", "stage1_coef", "cov", "statistic", "p_value", "phi", "z", "kappa"))
         keys = {k: table.column(k).slice(0, 1) for k in KEYS}
-        return pa.table(keys | {k: pa.array([v]) for k, v in r.items()})
+        return pa.table(keys | {f.name: pa.array([r[f.name]], f.type) for f in RESULT})
 
     schema = (
         "perm_id int, region_id string, coef array<double>, stage1_coef array<double>, cov array<array<double>>, statistic double, "

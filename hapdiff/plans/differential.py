@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -45,7 +46,7 @@ def locus_signals(wide: DataFrame, groups: list[int], labellings: list[list[int]
     kept = screen.screen(wide, groups)
     parameters = screen.screen_parameters(kept, settings.min_in_span)
     stats = screen.locus_statistics(kept, plan_frame(wide.sparkSession, labellings), parameters)
-    placed = smooth.blocks(kept.select("chr", "pos"), settings.max_gap_smooth)
+    placed = smooth.blocks(cut(kept.select("chr", "pos")), settings.max_gap_smooth)
     stats = cut(stats.join(placed, ["chr", "pos"]))
     return smooth.smooth(stats, settings.min_in_span, settings.min_cpgs, settings.bp_span)
 
@@ -57,50 +58,94 @@ def find_regions(wide: DataFrame, groups: list[int], labellings: list[list[int]]
     return found.withColumn("region_id", F.concat_ws(":", "chr", F.col("start").cast("string"), F.col("end").cast("string"), "direction"))
 
 
+def screen_qc(wide: DataFrame, groups: list[int]) -> DataFrame:
+    """One row: loci before the screen, kept by it and dropped."""
+    n, kept = wide.agg(F.count("*").alias("candidate_loci_before_screen")), screen.screen(wide, groups).agg(F.count("*").alias("candidate_loci_retained"))
+    dropped = F.col("candidate_loci_before_screen") - F.col("candidate_loci_retained")
+    return n.crossJoin(kept).withColumn("candidate_loci_dropped_group_coverage", dropped)
+
+
 def find_candidates(
     reads: DataFrame, positions: DataFrame, samples: Sequence[str], groups: Mapping[str, str] | Sequence[str],
     levels: Sequence[str] | None = None, settings: Settings | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Candidate regions, and one row of read counters. Parameters are checked before any read is touched."""
+    """Candidate regions, and one row of counters of reads and loci. Parameters are checked before any read is touched."""
     settings = settings or Settings()
     codes, _ = designs.group_codes(groups, samples, levels)
-    cpg = align.position_index(positions)
-    mapped = align.map_reads(reads, cpg)
+    cpg = cut(align.position_index(positions))
+    mapped = cut(align.map_reads(reads, cpg))
     wide = cut(align.dense(align.locus_counts(mapped, cpg), list(samples)))
-    return find_regions(wide, codes, [codes], settings).drop("perm_id"), align.read_qc(mapped)
+    return find_regions(wide, codes, [codes], settings).drop("perm_id"), align.read_qc(mapped).crossJoin(screen_qc(wide, codes))
 
 
 def differential_regions(
     reads: DataFrame, positions: DataFrame, samples: Sequence[str], design: pd.DataFrame, formula: str, coef: str | int | Sequence[float],
     permutations: int = 10, settings: Settings | None = None, seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """Regions with wald_statistic, empirical_p_value, fdr and null_pool_size, and one row of read counters.
+    """Regions with wald_statistic, empirical_p_value, fdr and null_pool_size, and one row of counters: of reads, loci, reads of
+    regions, regions without coverage in every sample, and permutations requested, available, generated and successful.
 
-    Permuted labellings are rows like the observed one: perm_id is a column from the locus statistics on. Plain two-group
-    designs are fitted in closed form, others by region with numpy; labellings whose design is rank deficient are left out.
+    Permuted labellings are rows like the observed one: perm_id is a column from the locus statistics on. Where the coefficient is
+    the difference of two groups without anything else, regions are fitted in closed form, others by region with numpy. Labellings
+    whose design is rank deficient, and those with a failed fit, give no null statistics.
     """
     settings, samples = settings or Settings(), list(samples)
     design = designs.align_design(design, samples)
+    column = designs.group_column(design, formula, coef)
+    design = design.assign(**{column: designs.as_groups(design[column])})
+    levels = list(design[column].cat.categories)
     x, names = designs.design_matrix(design, formula)
     c = designs.contrast(coef, names)
-    column = designs.group_column(design, formula, coef)
-    levels = designs._levels(design[column])
     codes = [levels.index(v) + 1 for v in design[column]]
+    drawn, available = permutation_plan(codes, permutations, seed)
     labellings, matrices_of = [codes], [x]
-    for own in permutation_plan(codes, permutations, seed)[0]:
+    for own in drawn:
         permuted = design.assign(**{column: pd.Categorical([levels[g - 1] for g in own], categories=levels)})
         try:
-            matrices_of.append(designs.design_matrix(permuted, formula)[0])
-            labellings.append(own)
+            matrix, own_names = designs.design_matrix(permuted, formula)
         except ValueError:
             continue
-    spark = reads.sparkSession
+        if own_names == names:
+            matrices_of.append(matrix)
+            labellings.append(own)
     cpg = cut(align.position_index(positions))
     mapped = cut(align.map_reads(reads, cpg))
     loci = cut(align.locus_counts(mapped, cpg))
-    found = cut(find_regions(cut(align.dense(loci, samples)), codes, labellings, settings))
-    results = test_regions(spark, found, loci, mapped, cpg, samples, labellings, matrices_of, c)
-    return results, align.read_qc(mapped)
+    wide = cut(align.dense(loci, samples))
+    found = cut(find_regions(wide, codes, labellings, settings))
+    pairs = cut(regions.region_reads(mapped, found, cpg))
+    whole = cut(regions.complete(regions.region_sums(loci, found).join(regions.region_squares(pairs), ["perm_id", "region_id", "sample"]), len(samples)))
+    fits = fit_matrices(reads.sparkSession, whole, samples, labellings, matrices_of, c)
+    tested = whole.filter("perm_id = 0").agg(F.count_distinct("region_id").alias("n"))
+    dropped = found.filter("perm_id = 0").agg(F.count("*").alias("all")).crossJoin(tested).select((F.col("all") - F.col("n")).alias("regions_dropped_incomplete_coverage"))
+    successful = model.null_statistics(fits).agg(F.count_distinct("perm_id").alias("permutations_successful"))
+    qc = align.read_qc(mapped).crossJoin(screen_qc(wide, codes)).crossJoin(regions.reads_without_local_position(pairs)).crossJoin(dropped).select(
+        "*", *[F.lit(v).cast("long").alias(k) for k, v in (("permutations_requested", permutations), ("nonredundant_permutations_available", min(available, 2**62)), ("permutations_generated", len(drawn)))]
+    )
+    return calibrated(found, fits), qc.crossJoin(successful)
+
+
+def fit_matrices(
+    spark: SparkSession, whole: DataFrame, samples: list[str], labellings: list[list[int]], matrices_of: list[np.ndarray] | None = None, c: np.ndarray | None = None,
+) -> DataFrame:
+    """perm_id, region_id, wald of complete regions."""
+    if matrices_of is None or is_plain(matrices_of[0], c, labellings[0]):
+        fits = model.two_groups(model.with_link(whole), label_frame(spark, samples, labellings))
+    else:
+        fits = model.fit_regions(whole, samples, dict(enumerate(matrices_of)), c).withColumnRenamed("statistic", "wald")
+    return cut(fits.select("perm_id", "region_id", "wald"))
+
+
+def is_plain(x: np.ndarray, c: np.ndarray, codes: list[int]) -> bool:
+    """Whether the contrast is that of an intercept and the indicator of group 2."""
+    return x.shape[1] == 2 and bool((x == np.column_stack([np.ones(len(codes)), np.array(codes) == 2])).all()) and list(c) == [0.0, 1.0]
+
+
+def calibrated(found: DataFrame, fits: DataFrame) -> DataFrame:
+    """The observed regions that have a fit, calibrated against the permuted ones."""
+    observed = found.filter("perm_id = 0").join(fits.filter("perm_id = 0").drop("perm_id"), "region_id")
+    tested = cut(calibrate.empirical_p(observed.drop("perm_id"), model.null_statistics(fits)))
+    return calibrate.false_discovery(tested).withColumnRenamed("wald", "wald_statistic")
 
 
 def test_regions(
@@ -108,19 +153,27 @@ def test_regions(
     labellings: list[list[int]], matrices_of: list[np.ndarray] | None = None, c: np.ndarray | None = None,
 ) -> DataFrame:
     """The observed regions that are complete, with their statistics and calibration against the permuted ones."""
-    own = regions.complete(regions.region_matrices(loci, mapped, found, cpg), len(samples))
-    plain = matrices_of is None or (matrices_of[0].shape[1] == 2 and list(c) == [0.0, 1.0])
-    if plain:
-        fits = model.two_groups(model.with_link(own), label_frame(spark, samples, labellings))
-    else:
-        fits = model.fit_regions(own, samples, dict(enumerate(matrices_of)), c).withColumnRenamed("statistic", "wald")
-    fits = cut(fits.select("perm_id", "region_id", "wald"))
-    observed = found.filter("perm_id = 0").join(fits.filter("perm_id = 0").drop("perm_id"), "region_id")
-    tested = cut(calibrate.empirical_p(observed.drop("perm_id"), fits.filter("perm_id > 0")))
-    return calibrate.false_discovery(tested).withColumnRenamed("wald", "wald_statistic")
+    whole = regions.complete(regions.region_matrices(loci, mapped, found, cpg), len(samples))
+    return calibrated(found, fit_matrices(spark, whole, samples, labellings, matrices_of, c))
 
 
-def from_files(spark: SparkSession, files: Mapping[str, str] | Sequence[str], positions: str, **arguments) -> tuple[DataFrame, DataFrame]:
-    """differential_regions() on read files and a position index file."""
+def _tables(spark: SparkSession, files: Mapping[str, str] | Sequence[str], positions: str | Mapping[str, str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Reads, positions and sample names of read files and of one index file, or of one for each sample by name."""
     named = records.sample_paths(files)
-    return differential_regions(records.read_records(spark, named), records.read_positions(spark, positions), list(named), **arguments)
+    reads = records.read_records(spark, named)
+    if isinstance(positions, str):
+        return reads, records.read_positions(spark, positions), list(named)
+    paths = records.annotation_paths(list(named), positions)
+    of_sample = F.create_map(*[F.lit(v) for pair in paths.items() for v in pair])
+    own = [records.read_positions(spark, path).withColumn("annotation", F.lit(path)) for path in dict.fromkeys(paths.values())]
+    return reads.withColumn("annotation", of_sample[F.col("sample")]), functools.reduce(DataFrame.unionByName, own), list(named)
+
+
+def from_files(spark: SparkSession, files: Mapping[str, str] | Sequence[str], positions: str | Mapping[str, str], **arguments) -> tuple[DataFrame, DataFrame]:
+    """differential_regions() on read files and a position index file, or one for each sample by name."""
+    return differential_regions(*_tables(spark, files, positions), **arguments)
+
+
+def candidates_from_files(spark: SparkSession, files: Mapping[str, str] | Sequence[str], positions: str | Mapping[str, str], **arguments) -> tuple[DataFrame, DataFrame]:
+    """find_candidates() on read files and a position index file, or one for each sample by name."""
+    return find_candidates(*_tables(spark, files, positions), **arguments)
