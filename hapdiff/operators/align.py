@@ -6,21 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Index positions are looked up in bins of this many bases.
-BIN = 4096
-#: Index bins up to this many rows (about 100 bytes each) are broadcast; larger indexes are joined by a shuffle.
-BROADCAST_BINS = 200_000
+from hapdiff.operators.names import fresh
+from hapdiff.operators.ordered import running_sum
+
+#: Index positions are looked up in bins of this many bases, each a row with a bit for each base of it and of the next one.
+BIN, WORD = 4096, 64
+WORDS = 2 * BIN // WORD
+#: The index is broadcast where its rows (8 bytes of bits and 4 of counts for each word) take this much at most; else reads are
+#: dealt by bin, once.
+BROADCAST_BYTES = 32 << 20
+BIN_BYTES = 12 * WORDS + 64
 
 
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def annotation_of(df: DataFrame) -> list[str]:
+    """The column that names a row's index, where samples have one each; none where all share one."""
+    return [c for c in ("annotation",) if c in df.columns]
+
+
 def position_index(positions: DataFrame) -> DataFrame:
-    """chr, pos, ci: the distinct positions >= 1 of each chromosome, numbered from 1."""
+    """chr, pos, ci (and annotation, if positions has it): the distinct positions >= 1 of each chromosome, numbered from 1."""
     ok = positions.filter(F.col("chr").isNotNull() & (F.col("chr") != "") & finite(F.col("pos").cast("double")) & (F.col("pos") >= 1))
-    own = ok.select("chr", F.col("pos").cast("long").alias("pos")).dropDuplicates()
-    return own.withColumn("ci", F.row_number().over(W.partitionBy("chr").orderBy("pos")))
+    keys = [*annotation_of(positions), "chr"]
+    own = ok.select(*keys, F.col("pos").cast("long").alias("pos")).dropDuplicates()
+    return running_sum(own, keys, F.lit(1), "ci").withColumn("ci", F.col("ci").cast("int")).select(*keys, "pos", "ci")
 
 
 def index_spans(reads: DataFrame) -> DataFrame:
@@ -45,43 +57,85 @@ def collapse(reads: DataFrame) -> DataFrame:
     return reads.groupBy("sample", "chr", "read_start", "read_end", "hap", "strand").agg(F.sum("cnt").alias("cnt"), F.count("*").alias("n_records"))
 
 
+def _bin(c: Column) -> Column:
+    return F.floor(c / BIN)
+
+
+def _key(df: DataFrame) -> Column:
+    return F.concat_ws("\x1f", *annotation_of(df), "chr")
+
+
+def _ends(cpg: DataFrame) -> DataFrame:
+    """index_key, first and last bin of its positions, and how many they are: a row for each index and chromosome."""
+    return cpg.groupBy(_key(cpg).alias("ends_key")).agg(_bin(F.min("pos")).alias("index_first"), _bin(F.max("pos")).alias("index_last"), F.count("*").alias("index_all"))
+
+
 def _bins(cpg: DataFrame) -> DataFrame:
-    """chr, bin, before, at: of every bin from the first to the last of a chromosome, the positions before it and in it."""
-    own = cpg.groupBy("chr", F.floor(F.col("pos") / BIN).alias("bin")).agg(F.array_sort(F.collect_list("pos")).alias("at"))
-    span = own.groupBy("chr").agg(F.min("bin").alias("a"), F.max("bin").alias("z")).select("chr", F.explode(F.sequence("a", "z")).alias("bin"))
-    all_bins = span.join(own, ["chr", "bin"], "left").withColumn("at", F.coalesce("at", F.array().cast("array<bigint>")))
-    w = W.partitionBy("chr").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return all_bins.withColumn("before", F.sum(F.size("at")).over(w) - F.size("at"))
+    """index_key, index_bin, index_before, index_mask, index_upto: for every bin from that before a chromosome's first to its last,
+    the positions before the bin; bits for the positions of it and the next bin by word; and how many of them come before each word."""
+    twice = cpg.select(_key(cpg).alias("index_key"), "pos", F.explode(F.array(_bin(F.col("pos")), _bin(F.col("pos")) - 1)).alias("index_bin"))
+    own = twice.groupBy("index_key", "index_bin").agg(F.collect_list(F.col("pos") - F.col("index_bin") * BIN).alias("at"))
+    span = _ends(cpg).select(F.col("ends_key").alias("index_key"), F.explode(F.sequence(F.col("index_first") - 1, "index_last")).alias("index_bin"))
+    own = span.join(own, ["index_key", "index_bin"], "left").withColumn("at", F.coalesce("at", F.array().cast("array<bigint>")))
+    w = W.partitionBy("index_key").orderBy("index_bin").rowsBetween(W.unboundedPreceding, -1)
+    own = own.withColumn("index_before", F.coalesce(F.sum(F.size(F.filter("at", lambda p: p < BIN))).over(w), F.lit(0)))
+    words = F.sequence(F.lit(0), F.lit(WORDS - 1))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), (p % WORD).cast("int"))
+    mask = F.transform(words, lambda k: F.aggregate(F.filter("at", lambda p: F.floor(p / WORD) == k), F.lit(0).cast("long"), lambda a, p: a.bitwiseOR(bit(p))))
+    upto = F.transform(words, lambda k: F.size(F.filter("at", lambda p: p < k * WORD)))
+    return own.select("index_key", "index_bin", "index_before", mask.alias("index_mask"), upto.alias("index_upto"))
 
 
-def _at_most(name: str):
-    return lambda p: p <= F.col(name)
+def _inside(x: Column) -> Column:
+    """How many positions are at most x, by the row of a bin that holds x in its first or second half."""
+    at = F.floor(x) - F.col("index_bin") * BIN
+    low = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (WORD - 1 - at % WORD).cast("int"))
+    word = F.floor(at / WORD).cast("int")
+    return F.col("index_before") + F.get("index_upto", word) + F.bit_count(F.get("index_mask", word).bitwiseAND(low))
+
+
+def _beyond(x: Column) -> Column:
+    return F.when(_bin(x) > F.col("index_last"), F.col("index_all")).otherwise(F.lit(0))
+
+
+def _looked_up(df: DataFrame, side: DataFrame, first: str, names: dict[str, str]) -> DataFrame:
+    """df with a count for each name of the column that it is given, all of them within two bins from the bin of `first`."""
+    kept = [c for c in df.columns if c not in names]
+    out = df.join(side, (F.col("ends_key") == F.col("index_key")) & (_bin(F.col(first)) == F.col("index_bin")), "left")
+    return out.select(*kept, *[F.coalesce(_inside(F.col(x)), _beyond(F.col(x)), F.lit(0)).cast("int").alias(name) for name, x in names.items()])
 
 
 def count_at_most(df: DataFrame, cpg: DataFrame, **wanted: Column) -> DataFrame:
-    """df and, for each name, the number of index positions of its chromosome that are at most the given value (0 without any)."""
-    bins = _bins(cpg).persist()
-    ends = bins.groupBy("chr").agg(F.min("bin").alias("_first"), F.max("bin").alias("_last"), F.sum(F.size("at")).alias("_all"))
-    small = bins.count() <= BROADCAST_BINS
-    side = F.broadcast(bins) if small else bins
-    out = df.join(F.broadcast(ends), "chr", "left")  # one row a chromosome
-    for name, value in wanted.items():
-        x = f"_x_{name}"
-        own = side.select(F.col("chr").alias("_c"), F.col("bin").alias("_b"), F.col("before").alias("_n"), F.col("at").alias("_at"))
-        out = out.withColumn(x, value)
-        out = out.join(own, (F.col("chr") == F.col("_c")) & (F.floor(F.col(x) / BIN) == F.col("_b")), "left")
-        inside = F.col("_n") + F.size(F.filter("_at", _at_most(x)))
-        beyond = F.when(F.floor(F.col(x) / BIN) > F.col("_last"), F.col("_all")).otherwise(F.lit(0))
-        out = out.withColumn(name, F.coalesce(inside, beyond, F.lit(0)).cast("int")).drop("_c", "_b", "_n", "_at", x)
-    return out.drop("_first", "_last", "_all")
+    """df and, for each name, the number of index positions of its chromosome that are at most the given value (0 without any).
+
+    Values are in ascending order, such as a span's ends. The index is broadcast where the size of its bins, counted first, allows
+    it. Else rows are dealt by the bin of the first value, whose row answers for the next bin too; only rows that reach farther
+    are dealt again, by each other value.
+    """
+    bins = cpg.groupBy(_key(cpg)).agg((_bin(F.max("pos")) - _bin(F.min("pos")) + 2).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    side, small = _bins(cpg), bins * BIN_BYTES <= BROADCAST_BYTES
+    values = {name: fresh(df, f"value_of_{name}") for name in wanted}
+    out = df.withColumns({values[name]: value for name, value in wanted.items()}).withColumn("reads_key", _key(df if annotation_of(cpg) else df.select("chr")))
+    out = out.join(F.broadcast(_ends(cpg)), F.col("reads_key") == F.col("ends_key"), "left")
+    first, *others = values.values()
+    if small or not others:
+        for name, x in values.items():
+            out = _looked_up(out, F.broadcast(side) if small else side, x, {name: x})
+    else:
+        reach = F.array_max(F.array(*[_bin(F.col(x)) for x in others])) - _bin(F.col(first))
+        near = F.coalesce(reach.between(0, 1) & _bin(F.col(first)).between(F.col("index_first") - 1, F.col("index_last")), F.lit(False))
+        far = out.filter(~near)
+        for name, x in values.items():
+            far = _looked_up(far, side, x, {name: x})
+        out = _looked_up(out.filter(near), side, first, values).unionByName(far)
+    return out.drop("reads_key", "ends_key", "index_first", "index_last", "index_all", *values.values())
 
 
 def map_reads(reads: DataFrame, cpg: DataFrame) -> DataFrame:
     """reads with ci_start, ci_end (the positions p with read_start - 1 < p <= read_end), is_valid, bad_hap,
     missing_annotation, length_mismatch, mapping_valid and state (some character of the string is 1)."""
     out = reads.withColumn("is_valid", valid_record()).withColumn("bad_hap", ~F.coalesce(F.col("hap").rlike("^[01]+$"), F.lit(False)))
-    out = count_at_most(out, cpg, _before=F.col("read_start") - 1, ci_end=F.col("read_end"))
-    out = out.withColumn("ci_start", F.col("_before") + 1).drop("_before")
+    out = count_at_most(out, cpg, ci_start=F.col("read_start") - 1, ci_end=F.col("read_end")).withColumn("ci_start", F.col("ci_start") + 1)
     covered = F.col("ci_end") - F.col("ci_start") + 1
     out = out.withColumn("missing_annotation", F.col("is_valid") & (covered <= 0))
     out = out.withColumn("length_mismatch", F.col("is_valid") & (covered > 0) & (covered != F.length("hap")))
@@ -110,34 +164,39 @@ def locus_counts(mapped: DataFrame, cpg: DataFrame) -> DataFrame:
 
     Reads of one sample, span and state are summed before they are spread over positions.
     """
-    spans = mapped.filter("mapping_valid").groupBy("sample", "chr", "ci_start", "ci_end").agg(
+    keys = [*annotation_of(cpg), "chr"]
+    spans = mapped.filter("mapping_valid").groupBy("sample", *keys, "ci_start", "ci_end").agg(
         F.sum("cnt").alias("t"), F.sum(F.when(F.col("state"), F.col("cnt")).otherwise(0.0)).alias("s")
     )
-    at = spans.select("sample", "chr", F.explode(F.sequence("ci_start", "ci_end")).alias("ci"), "t", "s")
-    loci = at.groupBy("sample", "chr", "ci").agg(F.sum("t").alias("t"), F.sum("s").alias("s"))
-    return loci.join(cpg, ["chr", "ci"]).select("sample", "chr", "pos", "t", "s", (F.col("s") / F.col("t")).alias("m"))
+    at = spans.select("sample", *keys, F.explode(F.sequence("ci_start", "ci_end")).alias("ci"), "t", "s")
+    loci = at.groupBy("sample", *keys, "ci").agg(F.sum("t").alias("t"), F.sum("s").alias("s"))
+    return loci.join(cpg, [*keys, "ci"]).select("sample", "chr", "pos", "t", "s", (F.col("s") / F.col("t")).alias("m"))
 
 
 def locus_counts_by_events(mapped: DataFrame, cpg: DataFrame) -> DataFrame:
     """locus_counts() by running sums of +count at a read's first position and -count after its last; for whole counts."""
-    own = mapped.filter("mapping_valid")
+    own, keys = mapped.filter("mapping_valid"), [*annotation_of(cpg), "chr"]
     on = F.when(F.col("state"), F.col("cnt")).otherwise(0.0)
     event = lambda at, sign: F.struct(at.alias("ci"), (sign * F.col("cnt")).alias("dt"), (sign * on).alias("ds"))
-    events = own.select("sample", "chr", F.explode(F.array(event(F.col("ci_start"), 1.0), event(F.col("ci_end") + 1, -1.0))).alias("e"))
-    events = events.groupBy("sample", "chr", "e.ci").agg(F.sum("e.dt").alias("dt"), F.sum("e.ds").alias("ds"))
-    w = W.partitionBy("sample", "chr").orderBy("ci")
+    events = own.select("sample", *keys, F.explode(F.array(event(F.col("ci_start"), 1.0), event(F.col("ci_end") + 1, -1.0))).alias("e"))
+    events = events.groupBy("sample", *keys, "e.ci").agg(F.sum("e.dt").alias("dt"), F.sum("e.ds").alias("ds"))
+    w = W.partitionBy("sample", *keys).orderBy("ci")
     steps = events.select(
-        "sample", "chr", "ci", F.lead("ci").over(w).alias("nxt"), F.sum("dt").over(w).alias("t"), F.sum("ds").over(w).alias("s")
+        "sample", *keys, F.lead("ci").over(w).alias("nxt"), "ci", F.sum("dt").over(w).alias("t"), F.sum("ds").over(w).alias("s")
     ).filter("nxt is not null and t > 0")
-    at = steps.select("sample", "chr", F.explode(F.sequence("ci", F.col("nxt") - 1)).alias("ci"), "t", "s")
-    return at.join(cpg, ["chr", "ci"]).select("sample", "chr", "pos", "t", "s", (F.col("s") / F.col("t")).alias("m"))
+    at = steps.select("sample", *keys, F.explode(F.sequence("ci", F.col("nxt") - 1)).alias("ci"), "t", "s")
+    return at.join(cpg, [*keys, "ci"]).select("sample", "chr", "pos", "t", "s", (F.col("s") / F.col("t")).alias("m"))
 
 
 def dense(loci: DataFrame, samples: list[str]) -> DataFrame:
-    """chr, pos, s, t: arrays in the order of samples, 0 where uncovered. An unknown sample stops the job."""
+    """chr, pos, s, t: arrays in the order of samples, 0 where uncovered. An unknown sample stops the job.
+
+    Of rows that repeat a position and sample the last counts, in the order in which loci is read.
+    """
     place = F.array_position(F.array(*[F.lit(x) for x in samples]), F.col("sample"))
-    own = loci.withColumn("_k", F.when(place > 0, place).otherwise(F.raise_error("unknown sample").cast("bigint")))
-    pick = lambda c, k: F.coalesce(F.max(F.when(F.col("_k") == k + 1, F.col(c))), F.lit(0.0))
+    known = F.when(place > 0, place).otherwise(F.raise_error("unknown sample").cast("bigint"))
+    own = loci.select("chr", "pos", "s", "t", known.alias("place"), F.monotonically_increasing_id().alias("row"))
+    pick = lambda c, k: F.coalesce(F.max_by(c, F.when(F.col("place") == k + 1, F.col("row"))), F.lit(0.0))
     return own.groupBy("chr", "pos").agg(*[F.array(*[pick(c, k) for k in range(len(samples))]).alias(c) for c in ("s", "t")])
 
 

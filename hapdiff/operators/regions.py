@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hapdiff.operators.align import count_at_most
+from hapdiff.operators.align import annotation_of, count_at_most
 
 #: Intervals meet in bins of this many bases; a pair counts in the bin where its overlap begins.
 BIN = 1 << 14
@@ -33,11 +33,16 @@ def region_sums(loci: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def region_reads(mapped: DataFrame, regions: DataFrame, cpg: DataFrame) -> DataFrame:
-    """Valid reads and regions that overlap, with n, the index positions that they share."""
-    spans = mapped.filter("mapping_valid").groupBy("sample", "chr", "read_start", "read_end", "ci_start", "ci_end", "hap", "strand", "state").agg(F.sum("cnt").alias("cnt"))
+    """Valid reads and regions that overlap, with n, the positions of the reads' index that they share."""
+    which = annotation_of(cpg)
+    spans = mapped.filter("mapping_valid").groupBy("sample", *which, "chr", "read_start", "read_end", "ci_start", "ci_end", "hap", "strand", "state").agg(F.sum("cnt").alias("cnt"))
     own = regions.select("perm_id", "region_id", "chr", "start", "end")
-    own = count_at_most(own, cpg, _before=F.col("start").cast("double") - 1, r_end=F.col("end").cast("double")).withColumn("r_start", F.col("_before") + 1).drop("_before")
-    pairs = overlaps(spans, own, ("read_start", "read_end"), ("start", "end"))
+    if which:
+        own = own.crossJoin(F.broadcast(cpg.select(*which).distinct()))  # a row for each index file
+    own = count_at_most(own, cpg, r_start=F.col("start") - 1, r_end=F.col("end")).withColumn("r_start", F.col("r_start") + 1)
+    pairs = overlaps(spans, own.withColumnsRenamed({c: f"r_{c}" for c in which}), ("read_start", "read_end"), ("start", "end"))
+    for c in which:
+        pairs = pairs.filter(F.col(c) == F.col(f"r_{c}")).drop(c, f"r_{c}")
     return pairs.withColumn("n", F.greatest(F.lit(0), F.least("ci_end", "r_end") - F.greatest("ci_start", "r_start") + 1))
 
 

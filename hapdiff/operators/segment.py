@@ -7,8 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hapdiff.functions.stats import SQRT_EPS, t_far, t_table
+from hapdiff.operators.ordered import number_runs
+from hapdiff.operators.storage import cut
 
 KEYS = ["perm_id", "chr"]
+#: Fixed values of the peak-and-shoulder rule: the share of a segment beside its peak, the weight of its mean, the ratio of its ends.
+SHOULDER, MEAN_SHARE, PEAKED = 0.125, 0.75, 4 / 3
 
 
 def direction(x: Column, threshold: float) -> Column:
@@ -18,19 +22,17 @@ def direction(x: Column, threshold: float) -> Column:
 
 
 def clusters(signals: DataFrame, max_gap: float) -> DataFrame:
-    """cluster: a new one after a gap of over max_gap between loci, with or without a signal."""
-    w = W.partitionBy(*KEYS).orderBy("pos")
-    new = F.coalesce((F.col("pos") - F.lag("pos").over(w)) > max_gap, F.lit(True)).cast("int")
-    return signals.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w)).drop("_new")
+    """cluster: a new one after a gap of over max_gap between loci, with or without a signal. signals: a table or a checkpoint."""
+    return number_runs(signals, KEYS, ["pos"], lambda before: (F.col("pos") - before["pos"]) > max_gap, "cluster")
 
 
 def runs(signals: DataFrame, threshold: float, max_gap: float) -> DataFrame:
     """Loci with a signal, their dir, raw_dir and segment: a run of one cluster and direction. Direction 0 breaks runs."""
     own = clusters(signals, max_gap).filter("signal is not null")
     own = own.withColumn("dir", direction(F.col("signal"), threshold)).withColumn("raw_dir", direction(F.col("beta_raw_std"), threshold))
-    w = W.partitionBy(*KEYS).orderBy("pos")
-    same = (F.lag("cluster").over(w) == F.col("cluster")) & (F.lag("dir").over(w) == F.col("dir"))
-    return own.withColumn("_new", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("segment", F.sum("_new").over(w)).drop("_new")
+    return number_runs(
+        cut(own), KEYS, ["cluster", "dir"], lambda before: (before["cluster"] != F.col("cluster")) | (before["dir"] != F.col("dir")), "segment"
+    )
 
 
 def raw_trim(segmented: DataFrame, min_cpgs: int) -> DataFrame:
@@ -50,7 +52,7 @@ def shape_limits(trimmed: DataFrame, min_cpgs: int) -> DataFrame:
     # Spark's max_by takes the last of equal values: the first peak is asked for
     own = own.withColumn("mid", F.min_by("i", F.struct(-F.col("x"), F.col("i"))).over(seg))
     own = own.withColumn("n", F.count("*").over(seg)).withColumn("_max", F.max("x").over(seg)).withColumn("_min", F.min("x").over(seg))
-    own = own.withColumn("cut", (0.5 * (F.col("_max") - F.col("_min")) + F.col("_min") + 0.75 * F.avg("x").over(seg)) / 2)
+    own = own.withColumn("cut", (0.5 * (F.col("_max") - F.col("_min")) + F.col("_min") + MEAN_SHARE * F.avg("x").over(seg)) / 2)
     on = lambda c, v="x": F.when(c, F.col(v).cast("double"))
     sides = []
     for name, c in (("l", F.col("i") <= F.col("mid")), ("r", F.col("i") >= F.col("mid"))):
@@ -72,10 +74,10 @@ def shape_limits(trimmed: DataFrame, min_cpgs: int) -> DataFrame:
         explained = F.when(xx > 0, xy * xy / xx)
         return F.coalesce((n > 4) & (sign * xy > 0) & (explained * (n - 2) > t * t * (yy - explained)), F.lit(False))
 
-    peaked = (F.col("n") > min_cpgs) & (((F.col("mn") == 0) & (F.col("mx") > 0)) | ((F.col("mn") != 0) & (F.try_divide("mx", "mn") > 4 / 3)))
+    peaked = (F.col("n") > min_cpgs) & (((F.col("mn") == 0) & (F.col("mx") > 0)) | ((F.col("mn") != 0) & (F.try_divide("mx", "mn") > PEAKED)))
     one, mid, n = F.lit(1), F.col("mid"), F.col("n")
-    left = F.least(F.greatest(one, F.rint(mid - 0.125 * n).cast("int")), F.greatest(one, mid - 2), F.coalesce("fi", "mid"))
-    right = F.greatest(F.least(n, F.rint(mid + 0.125 * n).cast("int")), F.least(n, mid + 2), F.coalesce("la", "mid"))
+    left = F.least(F.greatest(one, F.rint(mid - SHOULDER * n).cast("int")), F.greatest(one, mid - 2), F.coalesce("fi", "mid"))
+    right = F.greatest(F.least(n, F.rint(mid + SHOULDER * n).cast("int")), F.least(n, mid + 2), F.coalesce("la", "mid"))
     g = g.withColumn("first", F.when(slope_is("l", 1), left).otherwise(one)).withColumn("last", F.when(slope_is("r", -1), right).otherwise(n))
     use = peaked & (F.col("last") - F.col("first") + 1 >= min_cpgs)
     return g.select(

@@ -4,15 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. A temporary one only in local mode, where no other machine has to see it."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if found is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="hapdiff-checkpoints-")
+        context.setCheckpointDir(found)
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the checkpoint folder: later plans begin there, and a lost executor costs no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one only where none is set.
+    Spark deletes the files when nothing refers to them any more if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="hapdiff-checkpoints-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -57,7 +57,7 @@ def _kept(spark: SparkSession, d: str) -> DataFrame:
 def _stats(spark: SparkSession, d: str, labellings: list | None = None) -> DataFrame:
     kept = _kept(spark, d)
     stats = screen.locus_statistics(kept, differential.plan_frame(spark, labellings or [GROUPS]), screen.screen_parameters(kept, SETTINGS.min_in_span))
-    return stats.join(smooth.blocks(kept.select("chr", "pos"), SETTINGS.max_gap_smooth), ["chr", "pos"])
+    return stats.join(smooth.blocks(cut(kept.select("chr", "pos")), SETTINGS.max_gap_smooth), ["chr", "pos"])
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
@@ -184,19 +184,14 @@ def locus_screen(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-def _thinned(spark: SparkSession, d: str) -> DataFrame:
-    own = _loci(spark, d).filter((F.col("pos") % 7 != 3) | F.col("sample").isin("s1", "s2", "s3"))
-    return align.dense(own, SAMPLES)
-
-
 @_query(
     "locus_excluded",
-    oracle.sql("loci", """select chr, pos from (select * from loci where pos%7 <> 3 or sample in ('s1','s2','s3')) group by chr, pos
-    having count(*) filter (sample in ('s1','s2','s3')) = 0 or count(*) filter (sample in ('s4','s5','s6')) = 0"""),
+    oracle.sql("loci", """select chr, pos from loci group by chr, pos
+    having coalesce(sum(s) filter (sample in ('s1','s2','s3')), 0) = 0 or coalesce(sum(s) filter (sample in ('s4','s5','s6')), 0) = 0"""),
 )
 def locus_excluded(spark: SparkSession, d: str) -> DataFrame:
-    """Loci that one group doesn't cover, after group 2's counts at every seventh base are taken away."""
-    return screen.excluded(_thinned(spark, d), GROUPS).select("chr", "pos")
+    """Loci that one group doesn't cover where only reads with a 1 count as coverage."""
+    return screen.excluded(_wide(spark, d).withColumn("t", F.col("s")), GROUPS).select("chr", "pos")
 
 
 @_query("screen_qc", oracle.sql("totals", "select count(*) as n_loci, count(*) filter (t1 > 0 and t2 > 0) as n_kept from totals"))
@@ -234,7 +229,7 @@ def permuted_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("locus_blocks", oracle.sql("blocked", "select chr, pos, block::bigint as block from blocked"))
 def locus_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return smooth.blocks(_kept(spark, d).select("chr", "pos"), SETTINGS.max_gap_smooth).select("chr", "pos", F.col("block").cast("long").alias("block"))
+    return smooth.blocks(cut(_kept(spark, d).select("chr", "pos")), SETTINGS.max_gap_smooth).select("chr", "pos", F.col("block").cast("long").alias("block"))
 
 
 @_query("block_bandwidth", oracle.sql("bands", f"select chr, block::bigint as block, n, n_fit, is_short, {_rs('nn')} from bands where perm_id = 0"))
@@ -342,11 +337,12 @@ def gls_general(spark: SparkSession, d: str) -> DataFrame:
     return own.select("region_id", _r("estimate"), _r("wald"), _r("phi"))
 
 
-@_query("wald_pvalue")
+@_query("wald_pvalue", oracle.sql("covariate", "select region_id, round(statistic, 6)+0.0 as statistic, round(p_value, 9)+0.0 as p_value, round(phi, 6)+0.0 as phi from covariate"))
 def wald_pvalue(spark: SparkSession, d: str) -> DataFrame:
     """Statistics and normal p values of a design with a covariate."""
-    x = np.column_stack([np.ones(len(SAMPLES)), np.array(GROUPS) - 1.0, np.array([0.1, 0.7, 0.3, 0.4, 0.2, 0.9])])
-    return model.fit_regions(_matrices(spark, d), SAMPLES, {0: x}, np.array([0.0, 1.0, 0.0])).select("region_id", "statistic", "p_value", "phi")
+    x = np.column_stack([np.ones(len(SAMPLES)), np.array(GROUPS) - 1.0, np.array(oracle.COVARIATE)])
+    own = model.fit_regions(_matrices(spark, d), SAMPLES, {0: x}, np.array([0.0, 1.0, 0.0]))
+    return own.select("region_id", _r("statistic"), _r("p_value", 9), _r("phi"))
 
 
 @_query("permutation_plan", "select * from (values " + ", ".join(f"({k}, '{''.join(map(str, own))}')" for k, own in enumerate(LABELLINGS)) + ") x(perm_id, labels)")
@@ -362,17 +358,16 @@ def null_pool(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     "empirical_p",
-    """with o as (select o_orderkey as id, (o_totalprice - 150000)/30000 as wald from orders where o_orderkey % 9 = 0),
-    n as (select (o_totalprice - 150000)/30000 as wald from orders where o_orderkey % 9 <> 0),
+    """with o as (select o_orderkey as id, (o_totalprice - 150000)/30000 as wald from orders), n as (select (c_acctbal - 4500)/1500 as wald from customer),
     a as (select abs(wald) as x, 1 as of_null, null as id, wald from n union all select abs(wald), 0, id, wald from o)
     select id, round(wald, 6)+0.0 as wald, round((c+1)/((select count(*) from n)+1), 9)+0.0 as empirical_p_value, (select count(*) from n) as null_pool_size
     from (select *, sum(of_null) over (order by x desc range between unbounded preceding and current row) as c from a) where of_null = 0""",
 )
 def empirical_p(spark: SparkSession, d: str) -> DataFrame:
-    """The operator over a tenth of all order prices as statistics, the others as their null."""
-    own = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), ((F.col("o_totalprice") - 150000) / 30000).alias("wald"))
-    out = calibrate.empirical_p(own.filter("id % 9 = 0"), own.filter("id % 9 <> 0").select("wald"))
-    return out.select("id", _r("wald"), _r("empirical_p_value", 9), "null_pool_size")
+    """The operator over all order prices as statistics and all customer balances as their null."""
+    observed = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), ((F.col("o_totalprice") - 150000) / 30000).alias("wald"))
+    null = spark.read.parquet(f"{d}/customer.parquet").select(((F.col("c_acctbal") - 4500) / 1500).alias("wald"))
+    return calibrate.empirical_p(observed, null).select("id", _r("wald"), _r("empirical_p_value", 9), "null_pool_size")
 
 
 @_query(
@@ -405,7 +400,7 @@ def diff_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LABELS_SQL = """(select p_partkey as label_id, concat('chr', cast(1+p_partkey%4 as {text})) as chr, 90 + 40*cast(floor(p_partkey/4) as bigint) + 3000*cast(floor(floor(p_partkey/4)/60) as bigint) as start0,
- 690 + 40*cast(floor(p_partkey/4) as bigint) + 3000*cast(floor(floor(p_partkey/4)/60) as bigint) as label_end, case when p_size%3=0 then 'Hyper' when p_size%3=1 then 'Hypo' else 'NC' end as category from {part} where p_partkey%40 < 4)"""
+ 690 + 40*cast(floor(p_partkey/4) as bigint) + 3000*cast(floor(floor(p_partkey/4)/60) as bigint) as label_end, case when p_size%3=0 then 'Hyper' when p_size%3=1 then 'Hypo' else 'NC' end as category from {part})"""
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:

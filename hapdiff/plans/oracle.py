@@ -7,9 +7,29 @@ from hapdiff.functions.stats import t_critical
 from hapdiff.plans.fixture import GROUPS, POSITIONS_SQL, READS_SQL, SAMPLES
 
 LABELLINGS = [GROUPS, *plan(GROUPS, 10)[0]]
+#: The covariate of each sample in the general design that is checked.
+COVARIATE = [0.1, 0.7, 0.3, 0.4, 0.2, 0.9]
+_COVARIATE = ", ".join(f"('{s}', {v}, {g - 1})" for s, v, g in zip(SAMPLES, COVARIATE, GROUPS, strict=True))
 _LABELS = ", ".join(f"({k}, '{s}', {g})" for k, own in enumerate(LABELLINGS) for s, g in zip(SAMPLES, own, strict=True))
 _T = ", ".join(f"({d}, {t_critical(d)!r})" for d in range(1, 300))
 
+
+
+def _normal(w: str) -> str:
+    """The sums of the three normal equations with weight w."""
+    terms = {"a": "1", "b": "g", "c": "v", "d": "g*g", "e": "g*v", "f": "v*v", "p": "z", "q": "g*z", "r": "v*z"}
+    return ", ".join(f"sum(({w})*{x}) as {name}" for name, x in terms.items())
+
+
+def _solved() -> str:
+    """Their solution by determinants, and v1, the variance of the second unknown."""
+    det = "(a*(d*f-e*e) - b*(b*f-e*c) + c*(b*e-d*c))"
+    return (
+        f"(p*(d*f-e*e) - b*(q*f-e*r) + c*(q*e-d*r))/{det} as x0, (a*(q*f-e*r) - p*(b*f-e*c) + c*(b*r-q*c))/{det} as x1, "
+        f"(a*(d*r-q*e) - b*(b*r-q*c) + p*(b*e-d*c))/{det} as x2, (a*f-c*c)/{det} as v1"
+    )
+
+
 STEPS = {
     "cpg": POSITIONS_SQL.format(text="varchar"),
     "reads": READS_SQL.format(text="varchar", cpg="cpg"),
@@ -133,6 +153,20 @@ select perm_id, region_id, phi, g, sum(kappa/(1+(kappa-1)*phi)) as w, sum(z*kapp
     "fits": """
 select a.perm_id as perm_id, a.region_id as region_id, a.phi as phi, b.wz/b.w - a.wz/a.w as estimate, (b.wz/b.w - a.wz/a.w)/sqrt(1/a.w+1/b.w) as wald
 from weighted a join weighted b on a.perm_id=b.perm_id and a.region_id=b.region_id and a.g=1 and b.g=2""",
+    # the normal equations of an intercept, group 2 and a covariate, first weighted by kappa, then by what phi leaves of it
+    "design": f"select region_id, kappa, z, v, x.g as g from linked join (values {_COVARIATE}) x(sample, v, g) using (sample) where perm_id = 0",
+    "normal1": f"select region_id, {_normal('kappa')} from design group by region_id",
+    "solved1": f"select *, {_solved()} from normal1",
+    "phi3": """
+select region_id, case when sum(kappa-1) <= 1.4901161193847656e-8 then 0.001
+       else greatest(0.001, least(0.999, 6*(sum(kappa*power(z-x0-x1*g-x2*v, 2))/3 - 1)/sum(kappa-1))) end as phi
+from design join solved1 using (region_id) group by region_id""",
+    "normal2": f"select region_id, phi, {_normal('kappa/(1+(kappa-1)*phi)')} from design join phi3 using (region_id) group by region_id, phi",
+    "walds": f"select region_id, phi, x1/sqrt(v1) as statistic from (select *, {_solved()} from normal2)",
+    # erfc by the series of positive terms of erf: exp(-x*x) * 2/sqrt(pi) * sum of 2^n x^(2n+1) / (2n+1)!!
+    "covariate": """
+select region_id, statistic, phi, 1 - 2/sqrt(pi())*exp(-x*x)*list_sum([exp((2*n+1)*ln(greatest(x, 1e-300)) + 2*n*ln(2.0) - lgamma(2*n+2.0) + lgamma(n+1.0)) for n in range(0, 400)]) as p_value
+from (select *, abs(statistic)/sqrt(2.0) as x from walds)""",
     "tested": """
 select r.*, wald, ((select count(*) from fits n where n.perm_id > 0 and abs(n.wald) >= abs(f.wald))+1.0)/((select count(*) from fits where perm_id > 0)+1) as p,
        (select count(*) from fits where perm_id > 0) as null_pool_size

@@ -6,14 +6,7 @@ import __spark_entry__
 from hapdiff.plans import catalog
 from tests.conftest import SMALL, rows
 
-CHECKED = [
-    "read_scan", "read_validity", "read_qc", "cpg_index", "index_in_span", "read_map", "read_collapse", "read_distinct_span", "locus_counts_events",
-    "locus_long", "locus_excluded", "screen_qc", "locus_stats", "permuted_stats", "block_bandwidth", "smoothed_signal", "shape_trim", "candidates",
-    "region_sums", "region_nsq", "region_sums_from_reads", "link_kappa", "gls_general", "permutation_plan", "null_pool", "empirical_p", "bh_fdr", "diff_regions",
-]
-
-
-@pytest.mark.parametrize("name", CHECKED)
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     got = catalog.QUERIES[name](spark, SMALL).toPandas()
     want = duck.sql(catalog.ORACLE_SQL[name]).df()
