@@ -165,7 +165,7 @@ from design join solved1 using (region_id) group by region_id""",
     "walds": f"select region_id, phi, x1/sqrt(v1) as statistic from (select *, {_solved()} from normal2)",
     # erfc by the series of positive terms of erf: exp(-x*x) * 2/sqrt(pi) * sum of 2^n x^(2n+1) / (2n+1)!!
     "covariate": """
-select region_id, statistic, phi, 1 - 2/sqrt(pi())*exp(-x*x)*list_sum([exp((2*n+1)*ln(greatest(x, 1e-300)) + 2*n*ln(2.0) - lgamma(2*n+2.0) + lgamma(n+1.0)) for n in range(0, 400)]) as p_value
+select region_id, statistic, phi, case when x > 6 then 0.0 else 1 - 2/sqrt(pi())*exp(-x*x)*list_sum([exp((2*n+1)*ln(greatest(x, 1e-300)) + 2*n*ln(2.0) - lgamma(2*n+2.0) + lgamma(n+1.0)) for n in range(0, 200)]) end as p_value
 from (select *, abs(statistic)/sqrt(2.0) as x from walds)""",
     "tested": """
 select r.*, wald, ((select count(*) from fits n where n.perm_id > 0 and abs(n.wald) >= abs(f.wald))+1.0)/((select count(*) from fits where perm_id > 0)+1) as p,

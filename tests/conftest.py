@@ -3,6 +3,7 @@ import sys
 import tempfile
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -39,5 +40,5 @@ def duck():
 def rows(df) -> list[tuple]:
     """The rows of a pandas frame in one order, columns by name, numbers to nine digits."""
     df = df[sorted(df.columns)]
-    out = [tuple(None if x is None or x != x else f"{float(x):.9g}" if isinstance(x, float) else str(x) for x in r) for r in df.itertuples(index=False)]
+    out = [tuple(None if x is None or x is pd.NA or x != x else f"{float(x):.9g}" if isinstance(x, float) else str(x) for x in r) for r in df.itertuples(index=False)]
     return sorted(out, key=repr)
