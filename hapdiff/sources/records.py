@@ -6,12 +6,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def sample_paths(files: Mapping[str, str] | Sequence[str]) -> dict[str, str]:
-    """Sample name to path; unnamed files become sample1, sample2, ... At least two, names and paths unique."""
+    """Sample name to path; unnamed files become sample1, sample2, ... At least two, names and paths unique. That a path is there
+    Spark checks when it makes the plan."""
     named = dict(files) if isinstance(files, Mapping) else {f"sample{k}": p for k, p in enumerate(files, 1)}
     if len(named) < 2:
         raise ValueError("at least two samples are needed")
@@ -87,3 +89,15 @@ def write_result(df: DataFrame, path: str, kind: str = "parquet") -> None:
 def write_read_cache(mapped: DataFrame, path: str) -> None:
     """Mapped reads as Parquet by chromosome, so that a later job reads only the chromosomes it asks for."""
     mapped.write.mode("overwrite").partitionBy("chr").parquet(path)
+
+
+def read_read_cache(spark: SparkSession, path: str, chromosomes: Sequence[str] | None = None) -> DataFrame:
+    """Reads that write_read_cache() wrote, of some chromosomes or all; the folders of the others are not opened."""
+    reads = spark.read.schema(_cache_schema(spark, path)).parquet(path)
+    return reads if chromosomes is None else reads.filter(F.col("chr").isin(list(chromosomes)))
+
+
+def _cache_schema(spark: SparkSession, path: str) -> StructType:
+    """The cache's columns with chr as text: a folder named chr=1 would else be read as a number."""
+    found = spark.read.parquet(path).schema
+    return StructType([StructField(f.name, StringType() if f.name == "chr" else f.dataType) for f in found])

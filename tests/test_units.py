@@ -331,6 +331,26 @@ def test_files(spark, tmp_path):
         records.sample_paths(["one"])
 
 
+def test_written_results_and_caches(spark, tmp_path):
+    cpg = index(spark, 10, 20, 30)
+    mapped = align.map_reads(reads_of(spark, (10.0, 30.0, "010", 2.0), (20.0, 30.0, "00", 3.0)), cpg)
+    mapped = mapped.unionByName(mapped.withColumn("chr", F.lit("X")))
+    records.write_read_cache(mapped, str(tmp_path / "cache"))
+    got = records.read_read_cache(spark, str(tmp_path / "cache"), ["1"])
+    assert "PartitionFilters: [" in got._jdf.queryExecution().toString() and dict(got.dtypes)["chr"] == "string"
+    assert {(r.pos, r.t) for r in align.locus_counts(got, cpg).collect()} == {(10, 2.0), (20, 5.0), (30, 5.0)}
+    assert records.read_read_cache(spark, str(tmp_path / "cache")).count() == 4
+    loci = align.locus_counts(mapped, cpg).orderBy("chr", "pos")
+    for kind in ("csv", "parquet"):
+        records.write_result(loci, str(tmp_path / kind), kind)
+        back = spark.read.format(kind).options(header="true", inferSchema="true").load(str(tmp_path / kind))
+        assert back.columns == loci.columns and back.count() == 3
+    with pytest.raises(ValueError):
+        records.write_result(loci, str(tmp_path / "x"), "json")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        records.read_records(spark, [str(tmp_path / "none"), str(tmp_path / "no")])
+
+
 def test_whole_analysis_from_files(spark, tmp_path):
     rng = np.random.default_rng(1)
     pos = list(itertools.accumulate(rng.integers(20, 60, 120).tolist()))
