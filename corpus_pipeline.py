@@ -52,13 +52,24 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each one's result is written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages over documents; each one's result is written to the shared folder and read again, and goes when the next is written.
+
+    What the last stage reads stays: the result is computed from it when it is asked for.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
     base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{base}/{name}")
             docs = spark.read.parquet(f"{base}/{name}")
+            if before:
+                _remove(spark, before)
+            before = f"{base}/{name}"
     return docs
