@@ -18,13 +18,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The cluster's shared folder, spark.checkpoint.dir. A temporary one only in local mode, where no other machine has to see it."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if found is None:
-        found = spark.sparkContext.getCheckpointDir()
-        if found is None:
-            found = tempfile.mkdtemp(prefix="hapdiff-checkpoints-")
-            spark.sparkContext.setCheckpointDir(found)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="hapdiff-checkpoints-")
+        context.setCheckpointDir(found)
     return found
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hapdiff.llm.common import SPACES, ascii_lower, cut, whole
+from hapdiff.llm.common import SPACES, ascii_lower, cut, fresh, whole
 
 #: Hashes of common lines up to this many (16 bytes each) are broadcast; more are joined by a shuffle whose hot keys Spark splits.
 BROADCAST_HASHES = 200_000
@@ -36,34 +36,26 @@ def drop_common_lines(
 
     Lines are what \\n separates; a null or empty text is one empty line, and a null text comes back
     empty. Repeated rows each come back; rows with equal ids count as one document. Columns of docs named
-    n_lines or n_dropped are replaced.
+    n_lines or n_dropped are replaced, all others stay.
     """
     docs = docs.drop("n_lines", "n_dropped")
     hashes = cut(line_counts(docs, id_col, text_col, min_chars).filter(F.col("n_docs") >= min_docs).select("line_hash"))
     side = F.broadcast(hashes) if hashes.count() <= BROADCAST_HASHES else hashes
     text = whole(F.col(text_col))
-    row_key = F.xxhash64(F.col(id_col).cast("string"), text)
+    names = {k: fresh(docs, f"lines_{k}") for k in ("row", "at", "gone", "all", "stay", "of")}
+    row, at, gone, every, stay, of = names.values()
+    key = F.struct(F.col(id_col), F.xxhash64(text))
     # only hashes and positions travel here; texts are shuffled once, in the last join
-    placed = docs.select(
-        F.col(id_col).alias("_id"),
-        row_key.alias("_row"),
-        F.posexplode(F.transform(F.split(text, "\n"), _hashed)).alias("_at", "line_hash"),
-    )
-    gone = (
-        placed.join(side, "line_hash", "left_semi").groupBy("_id", "_row").agg(F.collect_set("_at").alias("_gone"))
-    )
-    own = docs.withColumn("_row_key", row_key)
-    joined = own.join(gone, own[id_col].eqNullSafe(gone["_id"]) & (own["_row_key"] == gone["_row"]), "left")
-    lines = joined.withColumn("_lines", F.split(text, "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(
-        F.array_join(F.transform(F.col("_stay"), lambda i: F.get(F.col("_lines"), i)), "\n")
-    )
-    out = lines.withColumn("_stay", F.when(F.col("_gone").isNotNull(), stay))
-    return out.select(
+    placed = docs.select(key.alias(row), F.posexplode(F.transform(F.split(text, "\n"), _hashed)).alias(at, "line_hash"))
+    found = placed.join(side, "line_hash", "left_semi").groupBy(F.col(row).alias(of)).agg(F.collect_set(at).alias(gone))
+    joined = docs.withColumn(row, key).join(found, F.col(row).eqNullSafe(F.col(of)), "left").withColumn(every, F.split(text, "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(gone))
+    joined = joined.withColumn(stay, F.when(F.col(gone).isNotNull(), left))
+    kept = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(F.col(stay), lambda i: F.get(F.col(every), i)), "\n"))
+    return joined.select(
         *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.size(every).cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
