@@ -19,7 +19,7 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Collection, Iterator
-from itertools import batched, count, groupby
+from itertools import batched, count, groupby, islice
 from operator import itemgetter
 from urllib.parse import urlsplit
 
@@ -52,6 +52,8 @@ INLINE = frozenset(
 MAIN = frozenset("article main".split())
 #: A node is template where one text stands on this share of the pages that have it, on so many pages at least.
 SAME, PAGES = 0.8, 4
+#: Elements that are nested deeper than this are one node with the element at this depth.
+DEEP = 100
 #: Texts that a node remembers: any text on over a fifth of the pages is among them, its count too low by a fifth of the pages at most.
 TEXTS = 4
 #: Trees of all hosts together up to this size are broadcast; larger ones are joined by a shuffle.
@@ -62,6 +64,8 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
+#: The same without tags: of the groups of _TOKEN only that of text matches.
+_NO_TAGS = re.compile(r"<!--.*|(?:(?!)()()()())?([^<]+|<)", re.DOTALL)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
 #: Start tags that end an open element of these kinds.
@@ -86,6 +90,17 @@ def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
     return ".".join([tag, *sorted(words)]), tag in NEVER, named
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """The tokens of a page. Behind a tag that nothing closes there are only text and comments, so no tag is looked for again."""
+    pattern, at = _TOKEN, 0
+    while at < len(page):
+        m = pattern.match(page, at)
+        if m[5] == "<" and pattern is _TOKEN and page.find(">", at) < 0:
+            pattern = _NO_TAGS
+        at = m.end()
+        yield m
+
+
 def blocks(page: str | None) -> list[tuple[tuple, str, int, tuple]]:
     """((key, label) of each element from the root, text, outermost article or main, named elements) of each block with text that may be content.
 
@@ -102,9 +117,10 @@ def blocks(page: str | None) -> list[tuple[tuple, str, int, tuple]]:
             text.clear()
             above = stack[-1] if stack else outside
             if own and not above[2]:
-                out.append((tuple((x[4], x[1]) for x in stack if x[0] not in INLINE or x[4] in x[5]), own, above[3], above[5]))
+                path = ((x[4], x[1]) for x in stack if x[0] not in INLINE or x[4] in x[5])
+                out.append((tuple(islice(path, DEEP)), own, above[3], above[5]))
 
-    for m in _TOKEN.finditer(page or ""):
+    for m in _tokens(page or ""):
         tag = m[3]
         if tag is None:
             if m[5] is not None:
