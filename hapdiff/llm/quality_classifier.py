@@ -101,7 +101,7 @@ def features(texts: list, vectors: np.ndarray) -> np.ndarray:
     again = np.bincount(doc[1:][(one[1:] == one[:-1]) & (doc[1:] == doc[:-1])], minlength=len(texts))
     kinds = np.bincount(np.unique(doc * SLOTS + one) // SLOTS, minlength=len(texts))
     out[:, -4] = again / np.maximum(counts, 1)
-    out[:, -3] = 1 - kinds / np.maximum(counts, 1)
+    out[:, -3] = (counts - kinds) / np.maximum(counts, 1)
     out[:, -2] = np.log1p(counts)
     out[:, -1] = (counts == 0).astype(np.float32)
     return out
@@ -185,10 +185,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         own = np.array(row["v"], np.float32)
         vectors[row["slot"]] += own / max(float(np.linalg.norm(own)), 1e-9)
 
+    sent = docs.sparkSession.sparkContext.broadcast(vectors)  # SLOTS x DIMS floats, 8 MB
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                x = features(part.column("text").to_pylist(), vectors)
+                x = features(part.column("text").to_pylist(), sent.value)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column("_y")], names=["x", "y"])
 
     rows = sample.mapInArrow(describe, "x binary, y int").toArrow().sort_by([("x", "ascending")])
@@ -201,12 +203,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, vectors: np.ndarray, network: Network, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs and score_col: the calibrated probability of label 1. A column of that name is replaced; null texts count as empty."""
     rest = docs.drop(score_col).withColumn(text_col, F.col(text_col).cast("string"))
-    names = rest.columns
+    names, sent = rest.columns, docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col, 1 << 20):
-                p = network.probability(features(part.column(text_col).to_pylist(), vectors).astype(np.float64))
+                p = network.probability(features(part.column(text_col).to_pylist(), sent.value).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=[*names, score_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
