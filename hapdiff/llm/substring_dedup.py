@@ -194,3 +194,15 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     buckets = sent.withColumn("bucket", F.pmod(F.col("deal"), F.lit(2 * n_blocks)).cast("int"))
     judged = buckets.groupBy("bucket").applyInArrow(judge, "block int, least long, sid long, flags binary, hot boolean")
     return by_block.cogroup(judged.groupBy("block")).applyInArrow(rebuild, f"doc_id {id_type}, n_words long, n_removed long, text string")
+
+
+ORACLE_SQL = r"""
+with d as (select row_number() over () as r, doc_id,
+                  list_filter(regexp_split_to_array(coalesce(text,''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+p as (select r, i, md5(array_to_string(w[i:i+34], ' ')) as k from (select r, w, unnest(range(1, len(w)-33)) as i from d where len(w) >= 35)),
+g as (select r, i from (select *, count(*) over (partition by k) as c from p) where c > 1),
+c as (select distinct r, unnest(range(i, i+35)) as j from g),
+x as (select r, unnest(w) as word, generate_subscripts(w, 1) as j from d),
+k as (select r, count(c.j) as n_removed, string_agg(word, ' ' order by j) filter (c.j is null) as t from x left join c using (r, j) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join k using (r)
+"""
