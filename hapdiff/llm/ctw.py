@@ -6,14 +6,17 @@ and has the Krichevsky-Trofimov estimate (b + 1/2) / (a + b + 1). With Pe the KT
 training choices and Pw = (Pe + product of the children's Pw) / 2, a prediction mixes the estimates of all
 depths of the context, each against what lies deeper by its ratio Pe : product of the children's Pw.
 
-The model is a table of (DEPTH + 1)-byte strings. Strings are counted in blocks of documents, summed by a
-shuffle, weighted in groups that share the last two context bytes (all deeper contexts of a group are in it),
-and the code lengths go back to the blocks that asked for them. Blocks send their distinct strings and words
-to buckets as packed arrays: a key that all texts hold is there once for each block.
+The model is a table of (DEPTH + 1)-byte strings. Strings are counted in blocks of documents and summed by a
+shuffle. Only nodes that occur are kept, a row for each context and node: the levels down to TOP bytes are
+weighted in tasks that hold all of a TOP-byte context's strings, those above by a hash aggregate each; what they
+say of a prediction goes down the same way, and the code lengths go back to the blocks that asked for them. Blocks
+send their distinct strings and words to buckets as packed arrays: a key that all texts hold is there once for
+each block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +31,8 @@ from hapdiff.llm.common import cut, partitions
 from hapdiff.llm.wordhash import mix, slices
 
 DEPTH = 5
+#: Contexts of this many bytes are weighted whole in one task.
+TOP = 3
 BLOCK_BYTES = 16 << 20
 SLICE = 1 << 20
 #: The end of a text: a byte that no word holds. It is also what stands before a text.
@@ -57,16 +62,6 @@ def kt_log_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def choices(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of 256 symbols (last axis) as zeros and ones at the 255 nodes of the code tree, level by level."""
-    zeros, ones = [], []
-    for level in range(8):
-        split = counts.reshape(len(counts), 1 << level, 2, -1).sum(axis=3)
-        zeros.append(split[:, :, 0])
-        ones.append(split[:, :, 1])
-    return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
-
-
 def _paths() -> tuple[np.ndarray, np.ndarray]:
     """For each symbol the eight nodes on its way and the choices there."""
     symbol = np.arange(256)[:, None]
@@ -79,93 +74,107 @@ NODES, BITS = _paths()
 
 @dataclass
 class Level:
-    """Contexts of one depth: their KT estimates of a one, and their ratios against what lies deeper."""
+    """The nodes of one depth's contexts that occur, ascending by key, context << 8 | node: their choices, their KT estimates of a
+    one, the shares of these against what lies deeper, and their log Pw."""
 
+    key: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
     estimate: np.ndarray
-    ratio: np.ndarray
+    share: np.ndarray
     log_pw: np.ndarray
 
 
-def level(counts: np.ndarray, below: np.ndarray | None) -> Level:
-    """counts: contexts x 256; below: the sums of the children's log Pw, contexts x 255 (None at the deepest)."""
-    zeros, ones = choices(counts)
-    estimate = (ones + 0.5) / (zeros + ones + 1.0)
-    log_pe = kt_log_block(zeros, ones)
+def level(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> Level:
+    """below: the sums of the children's log Pw (None at the deepest)."""
+    estimate, log_pe = (ones + 0.5) / (zeros + ones + 1.0), kt_log_block(zeros, ones)
     if below is None:
-        return Level(estimate, np.full(log_pe.shape, np.inf), log_pe)
-    return Level(estimate, np.exp(np.clip(log_pe - below, -700, 700)), np.logaddexp(log_pe, below) - np.log(2.0))
-
-
-def mixed(own: Level, deeper: np.ndarray) -> np.ndarray:
-    """The probability of a one at contexts of a depth, from that at their deeper contexts."""
-    share = np.where(np.isinf(own.ratio), 1.0, own.ratio / (1.0 + own.ratio))
-    return share * own.estimate + (1.0 - share) * deeper
-
-
-def _tree(grams: np.ndarray, n: np.ndarray, depth: int) -> tuple[list[Level], list[np.ndarray], np.ndarray]:
-    """Levels 2..depth of the contexts of a group, the parent of each context, and the counts at depth 2."""
-    contexts, at = np.unique(grams >> 8, return_inverse=True)
-    counts = np.zeros((len(contexts), 256))
-    np.add.at(counts, (at, grams & 255), n)
-    levels, parents, below = [], [], None
-    for d in range(depth, 1, -1):
-        levels.append(level(counts, below))
-        if d == 2:
-            break
-        up, parent = np.unique(contexts & ((1 << (8 * (d - 1))) - 1), return_inverse=True)
+        return Level(key, zeros, ones, estimate, np.ones(len(key)), log_pe)
+    ratio = np.exp(np.clip(log_pe - below, -700, 700))
+    return Level(key, zeros, ones, estimate, ratio / (1.0 + ratio), np.logaddexp(log_pe, below) - np.log(2.0))
+
+
+def _parent(key: np.ndarray, depth: int) -> np.ndarray:
+    """The keys of the same nodes at the contexts' last `depth` bytes."""
+    return ((key >> 8) & ((1 << (8 * depth)) - 1)) << 8 | key & 255
+
+
+def _tree(grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[list[Level], list[np.ndarray], np.ndarray]:
+    """Levels depth..top of the contexts of strings, each node's place in the next one, and the places of each string's eight nodes."""
+    symbol = grams & 255
+    keys, at = np.unique((grams >> 8 << 8)[:, None] | NODES[symbol], return_inverse=True)
+    at = at.reshape(-1, 8)
+    chosen = BITS[symbol] == 1
+    count = lambda some: np.bincount(at[some], weights=np.broadcast_to(n[:, None], at.shape)[some], minlength=len(keys))
+    levels, parents = [level(keys, count(~chosen), count(chosen), None)], []
+    for d in range(depth - 1, top - 1, -1):
+        low = levels[-1]
+        keys, parent = np.unique(_parent(low.key, d), return_inverse=True)
+        zeros, ones, below = (np.bincount(parent, weights=x, minlength=len(keys)) for x in (low.zeros, low.ones, low.log_pw))
+        levels.append(level(keys, zeros, ones, below))
         parents.append(parent)
-        merged, below = np.zeros((len(up), 256)), np.zeros((len(up), 255))
-        np.add.at(merged, parent, counts)
-        np.add.at(below, parent, levels[-1].log_pw)
-        contexts, counts = up, merged
-    return levels, parents, counts
+    return levels, parents, at
 
 
-def _top_rows(table: pa.Table, depth: int) -> pa.Table:
-    """The counts and log Pw of a group's context of depth 2."""
-    grams, n = np.asarray(table.column("key"), np.int64), np.asarray(table.column("n"), np.float64)
-    levels, _, counts = _tree(grams, n, depth)
-    return pa.table({
-        "last": pa.array([int(grams[0] >> 8 & 255)], pa.int32()),
-        "counts": pa.array([counts[0]], pa.list_(pa.float64())), "below": pa.array([levels[-1].log_pw[0]], pa.list_(pa.float64())),
-    })
+def _strings(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(table.column("key"), np.int64), np.asarray(table.column("n"), np.float64)
+
+
+NODE_ROWS = "node long, zeros double, ones double, below double"
 
 
-def _lengths(table: pa.Table, depth: int, plus: np.ndarray, times: np.ndarray) -> pa.Table:
+def _top_rows(table: pa.Table, depth: int, top: int) -> pa.Table:
+    """A row for each node of the contexts of depth top - 1, for what is in this task: sums of choices and of the log Pw below."""
+    last = _tree(*_strings(table), depth, top)[0][-1]
+    keys, parent = np.unique(_parent(last.key, top - 1), return_inverse=True)
+    sums = [np.bincount(parent, weights=x, minlength=len(keys)) for x in (last.zeros, last.ones, last.log_pw)]
+    return pa.table(dict(zip(("node", "zeros", "ones", "below"), map(pa.array, [keys, *sums]), strict=True)))
+
+
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with the sums of their children: choices, estimate, share and log Pw."""
+    for batch in batches:
+        x = level(*(np.asarray(batch.column(c)) for c in ("node", "zeros", "ones", "below")))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), *map(pa.array, (x.zeros, x.ones, x.estimate, x.share, x.log_pw))],
+            names=["node", "zeros", "ones", "estimate", "share", "log_pw"],
+        )
+
+
+def _upper(tops: DataFrame, top: int) -> DataFrame:
+    """node, plus, times for the contexts of depth top - 1: a prediction is plus + times * (that of the depth below)."""
+    of_depth, sums = [], tops
+    parent = lambda depth: F.expr(f"shiftleft(shiftright(node, 8) & {(1 << (8 * depth)) - 1}L, 8) | (node & 255)")
+    for depth in range(top - 1, -1, -1):
+        sums = sums.groupBy(parent(depth).alias("node")).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+        own = cut(sums.mapInArrow(_weigh, "node long, zeros double, ones double, estimate double, share double, log_pw double"))
+        of_depth.append(own)
+        sums = own.withColumnRenamed("log_pw", "below")
+    out = of_depth[-1].select("node", (F.col("share") * F.col("estimate")).alias("plus"), (1 - F.col("share")).alias("times"))
+    for depth, own in enumerate(reversed(of_depth[:-1])):
+        above = out.select(F.col("node").alias("up"), F.col("plus").alias("p"), F.col("times").alias("t"))
+        # the root has 255 nodes and its children 65,280 at most: those sides are broadcast
+        own = own.withColumn("up", parent(depth)).join(F.broadcast(above) if depth < 2 else above, "up")
+        out = own.select("node", (F.col("p") + F.col("t") * F.col("share") * F.col("estimate")).alias("plus"), (F.col("t") * (1 - F.col("share"))).alias("times"))
+    return out
+
+
+def _lengths(table: pa.Table, upper: pa.Table, depth: int, top: int) -> pa.Table:
     """log10 of the probability of each string's last byte after the bytes before it."""
-    grams, n = np.asarray(table.column("key"), np.int64), np.asarray(table.column("n"), np.float64)
-    levels, parents, _ = _tree(grams, n, depth)
-    at = np.unique(grams >> 8, return_inverse=True)[1]
-    symbol = grams & 255
-    # per string its eight nodes; up the tree the same nodes of the parents
-    p = levels[0].estimate[at[:, None], NODES[symbol]]
+    grams, n = _strings(table)
+    levels, parents, at = _tree(grams, n, depth, top)
+    p = levels[0].estimate[at]
     for own, parent in zip(levels[1:], parents, strict=True):
         at = parent[at]
-        part = Level(own.estimate[at[:, None], NODES[symbol]], own.ratio[at[:, None], NODES[symbol]], own.log_pw)
-        p = mixed(part, p)
-    last = int(grams[0] >> 8 & 255)
-    p = plus[last][NODES[symbol]] + times[last][NODES[symbol]] * p
-    chosen = np.where(BITS[symbol] == 1, p, 1.0 - p)
+        p = own.share[at] * own.estimate[at] + (1.0 - own.share[at]) * p
+    known = np.asarray(upper.column("node"), np.int64)
+    order = np.argsort(known)
+    up = order[np.searchsorted(known, _parent(levels[-1].key, top - 1), sorter=order)][at]
+    p = np.asarray(upper.column("plus"))[up] + np.asarray(upper.column("times"))[up] * p
+    chosen = np.where(BITS[grams & 255] == 1, p, 1.0 - p)
     return pa.table({"bucket": table.column("bucket"), "key": table.column("key"), "bits": pa.array(np.log10(chosen).sum(axis=1))})
 
 
-def _top(rows: list, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """p = plus + times * (p at depth 2), for each last byte and node: depths 1 and 0. At most 256 rows."""
-    plus, times = np.zeros((256, 255)), np.ones((256, 255))
-    if not rows:
-        return plus + 0.5, times * 0
-    counts = np.array([r["counts"] for r in rows], np.float64)
-    one = level(counts, np.array([r["below"] for r in rows], np.float64))
-    zero = level(counts.sum(axis=0, keepdims=True), one.log_pw.sum(axis=0, keepdims=True))
-    known = {int(r["last"]): k for k, r in enumerate(rows)}
-    s0 = zero.ratio[0] / (1 + zero.ratio[0])
-    for last, k in known.items():
-        s1 = one.ratio[k] / (1 + one.ratio[k])
-        plus[last] = s0 * zero.estimate[0] + (1 - s0) * s1 * one.estimate[k]
-        times[last] = (1 - s0) * (1 - s1)
-    return plus, times
-
-
 class _Texts:
     """Texts as one array of bytes: each one's words with a blank after each, then END, behind DEPTH times END."""
 
@@ -295,7 +304,8 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc
     n_blocks = partitions(own, "text", BLOCK_BYTES)
     own = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), "doc_id", "text", "train")
 
-    n_buckets = max(1, n_blocks // 3)
+    # as many as Spark has tasks for, so that none is the only one; as input grows, as many as there are blocks
+    n_buckets = max(n_blocks, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def count(table: pa.Table) -> pa.Table:
         return _count(table, depth, n_buckets)
@@ -308,19 +318,24 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, id_col: str = "doc
         return pa.table({"key": pa.array(keys), "n": pa.array(n), "bucket": pa.array(np.full(len(keys), table.column("bucket")[0].as_py(), np.int32))})
 
     counts = cut(grams.groupBy("bucket").applyInArrow(merge, "key long, n long, bucket int"))
-    group = F.expr("shiftright(key, 8) & 65535").cast("int").alias("group")
+    top = min(TOP, depth)
+    # a context of top bytes is in one deal; those that share top - 1 bytes are in several, more of them as input grows
+    spread = max(4, n_buckets // 64)
+    context = lambda size: F.expr(f"shiftright(key, 8) & {(1 << (8 * size)) - 1}L")
+    deal = F.pmod(F.xxhash64(context(top - 1), F.pmod(F.xxhash64(context(top)), F.lit(spread))), F.lit(n_buckets)).cast("int")
+    dealt = counts.withColumn("deal", deal)
 
     def top_rows(table: pa.Table) -> pa.Table:
-        return _top_rows(table, depth)
+        return _top_rows(table, depth, top)
 
-    tops = counts.groupBy(group).applyInArrow(top_rows, "last int, counts array<double>, below array<double>")
-    sums = [F.array(*[F.sum(F.col(c)[k]) for k in range(n)]).alias(c) for c, n in (("counts", 256), ("below", 255))]
-    plus, times = _top(tops.groupBy("last").agg(*sums).collect(), depth)  # a byte's worth of rows
+    upper = _upper(dealt.groupBy("deal").applyInArrow(top_rows, NODE_ROWS), top)
+    wanted = dealt.select(F.col("deal").alias("to"), context(top - 1).alias("context")).distinct()
+    sent = upper.withColumn("context", F.shiftright("node", 8)).join(wanted, "context").select("to", "node", "plus", "times")
 
-    def lengths(table: pa.Table) -> pa.Table:
-        return _lengths(table, depth, plus, times)
+    def lengths(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _lengths(left, right, depth, top)
 
-    bits = counts.groupBy(group).applyInArrow(lengths, "bucket int, key long, bits double")
+    bits = dealt.groupBy("deal").cogroup(sent.groupBy("to")).applyInArrow(lengths, "bucket int, key long, bits double")
     answer = "kind int, block int, keys binary, values binary, v long, n long"
 
     def answer_grams(left: pa.Table, right: pa.Table) -> pa.Table:
