@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hapdiff.llm.common import ascii_lower, let, whole, words_of
+from hapdiff.llm.common import ascii_lower, cut, fresh, let, whole, words_of
 
 MASKS = ("11111", "1101011", "110010011")
 #: Words in a row by which shorter items are found besides, by their number of words: whole items under 5 words; of 5 to 11
@@ -20,6 +20,8 @@ RUNS = {1: 1, 2: 2, 3: 3, 4: 4, 5: 2} | {n: 3 for n in range(6, 12)}
 STRETCH = 25
 #: Seeds of a benchmark up to this many rows are broadcast (about 32 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_SEEDS = 2_000_000
+#: Hits of a document that are verified in one row, about.
+HITS = 256
 
 
 def _hashes(text: Column) -> Column:
@@ -65,10 +67,13 @@ def find_leaks(
     keyed = docs.select(leak_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("_text"))
     at = _seeds(keyed, ["row_key"], _hashes(F.col("_text")), runs)
     hits = at.join(F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds, "seed")
-    hits = hits.select("row_key", "item", (F.col("at") - F.col("item_at")).alias("first_word")).distinct()
-    # all hits of a document meet its text at once, so that its words are hashed once
+    # few rows beside the seeds, and read twice
+    hits = cut(hits.select("row_key", "item", (F.col("at") - F.col("item_at")).alias("first_word")).distinct())
+    # a document's hits meet its text HITS at a time, so that its words are hashed once for all of them and no row grows without bound
+    many = hits.groupBy("row_key").agg(F.ceil(F.count("*") / HITS).alias("parts"))
+    hits = hits.join(many, "row_key").withColumn("part", F.pmod(F.xxhash64("item", "first_word"), F.col("parts")))
     hits = hits.join(items.withColumnRenamed("_wh", "iw"), "item")
-    pairs = hits.groupBy("row_key").agg(F.collect_list(F.struct("item", "first_word", "iw")).alias("_hits")).join(keyed, "row_key")
+    pairs = hits.groupBy("row_key", "part").agg(F.collect_list(F.struct("item", "first_word", "iw")).alias("_hits")).join(keyed, "row_key")
     judged = let(_hashes(F.col("_text")), lambda wh: F.transform("_hits", lambda h: _matched(wh, h)))
     found = pairs.select("row_key", F.explode_outer(judged).alias("m")).select("row_key", "m.*")
     return found.filter(5 * F.col("matched") >= 4 * F.col("n")).select("row_key", "item", "first_word", "matched")
@@ -87,17 +92,20 @@ def _matched(words: Column, hit: Column) -> Column:
 
 
 def leak_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """16 bytes for a row's id and whole text; rows equal in both share it, and their result."""
-    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), whole(F.col(text_col)))))
+    """16 bytes for a row's id and whole text; rows equal in both share it, and their result. The id's length keeps the two apart."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat_ws("|", F.char_length(key).cast("string"), key, whole(F.col(text_col)))))
 
 
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
-    """docs with leaked_items: the sorted ids of the items that a document holds, empty for clean ones. A column of that name is replaced."""
+    """docs with leaked_items: the sorted ids of the items that a document holds, empty for clean ones. A column of that name is
+    replaced, all others stay; equal rows have equal items."""
     docs = docs.drop("leaked_items")
-    found = find_leaks(docs, benchmark, id_col, text_col, **names).groupBy("row_key").agg(F.array_sort(F.collect_set("item")).alias("_items"))
-    out = docs.withColumn("_leak_key", leak_key(id_col, text_col)).join(found, F.col("_leak_key") == F.col("row_key"), "left")
-    empty = F.array().cast(found.schema["_items"].dataType)
-    return out.select(*docs.columns, F.coalesce("_items", empty).alias("leaked_items"))
+    own, other, items = fresh(docs, "leak_row"), fresh(docs, "leak_found"), fresh(docs, "leak_items")
+    found = find_leaks(docs, benchmark, id_col, text_col, **names).groupBy(F.col("row_key").alias(other)).agg(F.array_sort(F.collect_set("item")).alias(items))
+    out = docs.withColumn(own, leak_key(id_col, text_col)).join(found, F.col(own) == F.col(other), "left")
+    empty = F.array().cast(found.schema[items].dataType)
+    return out.select(*docs.columns, F.coalesce(items, empty).alias("leaked_items"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
