@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hapdiff.llm.common import cut
+from hapdiff.llm.common import cut, fresh
 from hapdiff.llm.components import components
 from hapdiff.llm.wordhash import run_hashes, slices, split_words, word_hashes
 
@@ -299,5 +299,20 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept: of each group of near copies those with its smallest id."""
-    gone = near_duplicates(docs, shingle, similarity, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "dropped_id")
+    gone = near_duplicates(docs, shingle, similarity, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")
+
+
+ORACLE_SQL = r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+s as (select distinct doc_id, md5(array_to_string(w[i:i+2], ' ')) as k from (
+        select doc_id, w, unnest(range(1, greatest(len(w)-2, 1)+1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as shared from s a join s b on a.k = b.k and a.doc_id <> b.doc_id group by all),
+e as (select u, v from p join n a on a.doc_id = u join n b on b.doc_id = v where 100*shared >= 85*(a.n + b.n - shared)),
+c as (select doc_id, doc_id as c from d union select c.doc_id, e.v from c join e on e.u = c.c)
+select doc_id, any_value(coalesce(n, 0))::bigint as n_shingles, min(c) as component_id, doc_id = min(c) as kept
+from c left join n using (doc_id) group by doc_id
+"""

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hapdiff.llm.common import let, whole, words_of
+from hapdiff.llm.common import fresh, let, whole, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -77,7 +77,8 @@ def _repeated(hashes: Column) -> Column:
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with MEASURES as long columns (columns of those names are replaced). Null texts count as empty."""
+    """docs with MEASURES as long columns (columns of those names are replaced, all others stay). Null texts count as empty; equal
+    rows have equal measures."""
     keep = [c for c in docs.columns if c.lower() not in MEASURES]
     t = whole(F.col(text_col))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -100,9 +101,10 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (all_chars - F.char_length(F.translate(t, "!?", ""))).alias("n_marks"),
     )
     # behind a generator no later filter makes Spark compute the measurements anew
-    df = docs.select(*keep, F.explode_outer(F.array(made)).alias("_m"))
+    name = fresh(docs, "measured")
+    df = docs.select(*keep, F.explode_outer(F.array(made)).alias(name))
     at = {"n_words": "w.", "word_chars": "w.", "n_repeat_words": "w.", "n_lines": "l.", "n_dup_lines": "l."}
-    return df.select(*keep, *[F.col(f"_m.{at.get(m, '')}{m}").cast("long").alias(m) for m in MEASURES])
+    return df.select(*keep, *[F.col(f"{name}.{at.get(m, '')}{m}").cast("long").alias(m) for m in MEASURES])
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -118,34 +120,24 @@ def judge(ledger_df: DataFrame, policy: Policy) -> DataFrame:
 
 
 def ablations(ledger_df: DataFrame, policy: Policy) -> DataFrame:
-    """One row of counts for each rule of the policy: failed, failed_alone (only this rule rejects) and kept_without it.
+    """version, rule, failed, failed_alone (only this rule rejects), kept_without it: a row for each rule of the policy.
 
-    One pass; each partition sends one row.
+    Rows are counted by what the policy's mask leaves of their bits, at most 2 ** rules values, which tasks add up before the
+    shuffle; each rule's figures are read from the bits of those values. An empty table gives zeros.
     """
-    hit = F.col("failures").bitwiseAND(F.lit(policy.mask))
-    counts = [F.count_if(hit == 0).alias("kept"), F.count("*").alias("n"), F.bit_or(hit).alias("seen")]
-    for r in policy.rules:
-        bit = 1 << RULES.index(r)
-        counts += [F.count_if(hit.bitwiseAND(F.lit(bit)) != 0).alias(f"{r}_failed"), F.count_if(hit == bit).alias(f"{r}_alone")]
-    one = ledger_df.agg(*counts)
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(policy.version).alias("version"),
-                    F.lit(r).alias("rule"),
-                    F.col(f"{r}_failed").alias("failed"),
-                    F.col(f"{r}_alone").alias("failed_alone"),
-                    (F.col("kept") + F.col(f"{r}_alone")).alias("kept_without"),
-                )
-                for r in policy.rules
-            ]
-        )
+    masks = ledger_df.groupBy(F.col("failures").bitwiseAND(F.lit(policy.mask)).alias("mask")).agg(F.count("*").alias("n"))
+    rules = ledger_df.sparkSession.createDataFrame([(r, RULES.index(r)) for r in policy.rules], "rule string, bit int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    total = lambda counts: F.coalesce(F.sum(F.when(counts, F.col("n"))), F.lit(0)).cast("long")
+    # a few rules by at most 2 ** rules masks
+    return rules.join(F.broadcast(masks), F.lit(True), "left").groupBy(F.lit(policy.version).alias("version"), "rule").agg(
+        total(F.col("mask").bitwiseAND(one) != 0).alias("failed"),
+        total(F.col("mask") == one).alias("failed_alone"),
+        total(F.col("mask").bitwiseAND(F.bitwise_not(one)) == 0).alias("kept_without"),
     )
-    return one.select(rows.alias("r")).select("r.*")
 
 
-ORACLE_SQL = r"""
+_SQL = r"""
 with d as (select doc_id, coalesce(text,'') as t,
                   list_filter(regexp_split_to_array(coalesce(text,''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
 p as (select doc_id, w, unnest(range(1, len(w)-6)) as i from d where len(w) >= 8),
@@ -161,11 +153,20 @@ m as (select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word
              length(t) - length(translate(t, '!?', '')) as n_marks
       from d left join r using (doc_id)),
 q as (select *, len(ls) - len(list_distinct(ls)) as n_dup_lines, len(ls) as n_lines from m),
-b as (select *, (n_words < 20 or 100*n_repeat_words > 30*n_words) as base_failed from q)
+b as (select *, (n_words < 20 or 100*n_repeat_words > 30*n_words) as base_failed,
+             n_words < 20 as b0, 100*n_repeat_words > 30*n_words as b1, 100*n_symbols > 20*n_words as b2,
+             n_dup_lines >= 3 and 100*n_dup_lines > 50*n_lines as b3, 100*n_upper > 60*n_letters as b4, 100*n_marks > 60*n_words as b5,
+             word_chars > 40*n_words as b6, 100*n_letters < 40*word_chars as b7 from q),
+f as (select *, b0::int + 2*b1::int + 4*b2::int + 8*b3::int + 16*b4::int + 32*b5::int + 64*b6::int + 128*b7::int as failures from b)
+"""
+ORACLE_SQL = _SQL + """
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
-       n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
-       not (base_failed or 100*n_symbols > 20*n_words or (n_dup_lines >= 3 and 100*n_dup_lines > 50*n_lines)
-            or 100*n_upper > 60*n_letters or 100*n_marks > 60*n_words or word_chars > 40*n_words
-            or 100*n_letters < 40*word_chars) as kept
-from b
+       n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed, failures = 0 as kept,
+       failures::bigint as failures
+from f
 """
+ABLATIONS_SQL = _SQL + "\nunion all\n".join(
+    f"select 'v1' as version, '{rule}' as rule, count(*) filter (b{k}) as failed, count(*) filter (failures = {1 << k}) as failed_alone, "
+    f"count(*) filter (failures in (0, {1 << k})) as kept_without from f"
+    for k, rule in enumerate(RULES)
+)

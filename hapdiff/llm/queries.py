@@ -19,13 +19,17 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = quality_rules.judge(led, quality_rules.POLICIES["base"]).withColumnRenamed("kept", "_base")
-    full = quality_rules.judge(base, quality_rules.POLICIES["v1"])
-    return full.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"), "kept"
+    failed = F.col("failures").bitwiseAND(F.lit(quality_rules.POLICIES["base"].mask)) != 0
+    return quality_rules.judge(led, quality_rules.POLICIES["v1"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "failures"
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, rejects alone, and what is kept without it, from the ledger of all documents."""
+    return quality_rules.ablations(quality_rules.ledger(read_table(spark, sf_dir, "documents").select("text")), quality_rules.POLICIES["v1"])
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(read_table(spark, sf_dir, "documents"), shards=16)
 
@@ -81,9 +85,14 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "quality_ablations": quality_ablations,
 }
 ORACLE_SQL = {
+    "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_decontamination": decontam.ORACLE_SQL,
+    "op5_near_dedup": near_dedup.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
+    "op8_sharding": sharding.ORACLE_SQL,
+    "quality_ablations": quality_rules.ABLATIONS_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
 }

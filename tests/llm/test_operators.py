@@ -4,16 +4,18 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
 from hapdiff.llm import (
-    ctw, decontam, line_dedup, near_dedup, quality_classifier, quality_rules, queries, sentencepiece_codec, sharding, substring_dedup, wrapper,
+    components, ctw, decontam, line_dedup, near_dedup, quality_classifier, quality_rules, queries, sentencepiece_codec, sharding, substring_dedup, wrapper,
 )
 from tests.conftest import SMALL, rows
 
@@ -334,6 +336,23 @@ def test_wrapper(spark):
     assert got[90] == got[91] == ("", 0) and got[92] == ("Alone", 5)
 
 
+def test_wrapper_odd_pages(spark):
+    """Pages that nest without end, tags that nothing closes, and repeated rows."""
+    deep = lambda k: "<div>" * 3000 + f"<p>Own {k}</p>" + "</div>" * 3000 + f"<p>Tail {k}</p>"
+    each = lambda k: "".join(f"<div>t{j}" for j in range(150)) + f"<b>{k}</b>"
+    open_ = lambda k: f"<article><p>Word {k}</p></article>" + "<a " * 40_000
+    own = [(k, "http://deep.example/", deep(k)) for k in range(6)] + [(10 + k, "http://each.example/", each(k)) for k in range(6)]
+    own += [(20 + k, "http://open.example/", open_(k)) for k in range(6)] + [(30, "http://x.example/", "<p>a < b</p><!-- > no <p>no"), (0, "http://deep.example/", deep(0))]
+    own += [(40, "http://y.example/", "<p>kept</p><script>if (a > b) {"), (41, "http://y2.example/", "<p>kept</p><a <!-- no")]
+    began = time.time()
+    found = wrapper.extract(spark.createDataFrame(own, "page_id long, url string, html string")).collect()
+    got = {r.page_id: r.text for r in found}
+    assert len(found) == len(own) and time.time() - began < 60
+    assert all(got[k].split() == ["Own", str(k), "Tail", str(k)] for k in range(6))
+    assert all(got[10 + k].endswith(f"t149{k}") for k in range(6)) and all(got[20 + k].startswith(f"Word {k}") for k in range(6))
+    assert (got[30], got[40]) == ("a < b", "kept") and got[41] == "kept <a"
+
+
 def _extracted(spark, htmls, host="w.example"):
     own = [(k, f"http://{host}/{k}", x) for k, x in enumerate(htmls)]
     return {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(own, "page_id long, url string, html string").repartition(3)).collect()}
@@ -395,6 +414,115 @@ def test_classifier_on_held_out_rows(spark):
     assert auc > 0.8 and got["score"].between(0, 1).all()
 
 
+def test_classifier_features_against_plain_python():
+    """Contexts, features and probabilities by loops over words."""
+    qc = quality_classifier
+    texts = ["one two Three two", None, "", "a a a a b1", "x", " ".join(TEXTS[3].split()[:60]), "one two Three two"]
+    index = qc.index_vectors()
+    slot = lambda w, k: xxhash.xxh3_64_intdigest(w, k) % qc.SLOTS
+    want, vectors = np.zeros((qc.SLOTS, qc.DIMS)), np.random.default_rng(1).normal(size=(qc.SLOTS, qc.DIMS)).astype(np.float32)
+    rows = []
+    for t in texts:
+        own = (t or "").encode().split()
+        pairs = [(slot(w, 0), slot(qc.shapes([w])[0], 1)) for w in own]
+        for i, (one, two) in enumerate(pairs):
+            for j in range(max(0, i - qc.REACH), min(len(pairs), i + qc.REACH + 1)):
+                if i != j:
+                    for x in (one, two):
+                        want[x] += index[pairs[j][0]] + index[pairs[j][1]]
+        row = np.zeros(4 * qc.DIMS + 4)
+        if pairs:
+            for k in (0, 1):
+                v = np.array([vectors[p[k]] for p in pairs], np.float64)
+                row[2 * k * qc.DIMS : (2 * k + 2) * qc.DIMS] = np.r_[v.mean(0), v.std(0)]
+            ones = [p[0] for p in pairs]
+            row[-4:] = sum(a == b for a, b in zip(ones, ones[1:], strict=False)) / len(ones), 1 - len(set(ones)) / len(ones), math.log1p(len(ones)), 0
+        else:
+            row[-1] = 1  # all others are 0
+        rows.append(row)
+    assert np.allclose(qc._contexts(texts, index), want)
+    got = qc.features(texts, vectors)
+    assert np.allclose(got, rows, atol=1e-2)  # spreads are of squares of 32-bit numbers
+    rng = np.random.default_rng(2)
+    d = got.shape[1]
+    net = qc.Network(rng.normal(size=d), rng.uniform(1, 2, d), rng.normal(size=(d, 3)), rng.normal(size=3), rng.normal(size=3), 0.3, 1.7)
+    for x, p in zip(got, net.probability(got), strict=True):
+        hidden = [math.tanh(sum((x[i] - net.shift[i]) / net.scale[i] * net.w1[i, h] for i in range(d)) + net.b1[h]) for h in range(3)]
+        assert math.isclose(p, 1 / (1 + math.exp(-(sum(a * b for a, b in zip(hidden, net.w2, strict=True)) + 0.3) / 1.7)), rel_tol=1e-6)
+
+
+def test_extra_columns_of_any_name(spark):
+    """Helper columns step aside for columns of the same names, which come back as they were."""
+    names = [
+        "row_key", "_items", "_gone", "_id", "_row", "_m", "Measured", "lines_row", "lines_at", "LINES_GONE", "lines_all", "lines_stay", "lines_of",
+        "leak_row", "leak_found", "leak_items", "dropped_id", "comp", "node", "line_hash",
+    ]
+    own = [(k, t, *[f"{n}{k}" for n in names]) for k, t in enumerate([*TEXTS[:6], *TEXTS[40:60], None])]
+    docs = spark.createDataFrame(own, ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    bench = spark.createDataFrame([(1, " ".join(TEXTS[2].split()[:30]))], "item_id long, text string")
+    plain = docs.select("doc_id", "text")
+    made = {
+        "leaks": lambda d: decontam.mark_leaks(d, bench), "lines": lambda d: line_dedup.drop_common_lines(d, min_docs=3),
+        "near": near_dedup.keep_one, "rules": quality_rules.ledger,
+    }
+    for name, f in made.items():
+        got, want = f(docs), f(plain)
+        assert set(names) <= set(got.columns), name
+        assert rows(got.select(want.columns).toPandas()) == rows(want.toPandas()), name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names), name
+
+
+def test_repeated_and_long_rows(spark):
+    """Repeated rows and ids, null ids, and a text of 40,000 words with a passage twice, through the operators that score or rebuild rows."""
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(50)]
+    long = [f"w{rng.randrange(5000)}" for _ in range(40_000)]
+    long[100:150] = long[30_000:30_050] = passage
+    own = [(1, " ".join(long), "s"), (2, "one two three", "s"), (2, "one two three", "s"), (2, "other words", None), (None, "one two three", ""), (3, None, ""), (4, "", "s")]
+    docs = spark.createDataFrame(own, "doc_id long, text string, source string").repartition(3)
+    cut = {(r.doc_id, r.n_words): (r.n_removed, len(r.text.split())) for r in substring_dedup.cut_repeats(docs).collect()}
+    assert cut[1, 40_000] == (100, 39_900) and cut[2, 3] == (0, 3) and len(cut) == 6
+    scored = ctw.score(docs, F.col("doc_id") != 3).collect()
+    assert len(scored) == len(own) and len({r.score for r in scored if r.n_tokens == 4}) == 1 and all(r.score < 0 for r in scored)
+    assert {r.doc_id: r.held_out for r in scored} == {1: False, 2: False, None: True, 3: True, 4: False}
+    placed = sharding.interleave(docs, shards=4).collect()
+    per = Counter(r.shard for r in placed)
+    assert len(placed) == len(own) and max(per.values()) - min(per.values()) <= 1
+    assert all(sorted(r.slot for r in placed if r.shard == k) == list(range(n)) for k, n in per.items())
+    vectors, network = quality_classifier.train(docs, spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (9, None)], "doc_id long, quality int"))
+    extra = docs.withColumn("score", F.lit("old")).withColumn("_id", F.lit(7)).withColumn("x", F.lit(8))
+    got = quality_classifier.score(extra, vectors, network).collect()
+    assert len(got) == len(own) and all(0 <= r.score <= 1 and r["_id"] == 7 and r.x == 8 for r in got)
+    assert len({r.score for r in got if r.text == "one two three"}) == 1
+
+
+def test_components(spark):
+    """Chains, stars, loops and repeated edges against a plain search."""
+    rng = random.Random(9)
+    edges = [(k, k + 1) for k in range(40)] + [(500, k) for k in range(501, 560)] + [(700 + k, 699) for k in range(30)] + [(520, 705), (9, 9), (800, 800), (5, 6)]
+    edges += [(rng.randrange(900, 1000), rng.randrange(900, 1000)) for _ in range(70)]
+    top = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(len(top)):
+        for u, v in edges:
+            if u != v:
+                top[u] = top[v] = min(top[u], top[v])
+    got = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(got) == len(top) and {r.node: r.component for r in got} == top
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_hits_in_parts(spark, monkeypatch):
+    """Repetitive texts and items, whose hits are verified in many rows, and ids that hold the separator."""
+    item = ["la"] * 30 + ["end"]
+    texts = [("1", "2|" + " ".join(item)), ("1|2", " ".join(item)), ("x", " ".join(["la"] * 90)), ("y", "la " * 19), ("z", " ".join(["di", "la"] * 40))]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "la la la la la la")], "item_id long, text string")
+    want = {r.doc_id: list(r.leaked_items) for r in decontam.mark_leaks(docs, bench).collect()}
+    assert want == {"1": [1, 2], "1|2": [1, 2], "x": [1, 2], "y": [2], "z": []}
+    monkeypatch.setattr(decontam, "HITS", 2)
+    assert {r.doc_id: list(r.leaked_items) for r in decontam.mark_leaks(docs, bench).collect()} == want
+
+
 def test_network_without_two_classes():
     assert 0 < quality_classifier.fit(np.zeros((20, 3)), np.ones(20)).probability(np.zeros((1, 3)))[0] < 1
 
