@@ -154,11 +154,11 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     def judge(table: pa.Table) -> pa.Table:
         strings = table.column("packed").to_pylist()
         flags = _count_windows(strings, np.asarray(table.column("n")), window)
-        keep = [k for k, f in enumerate(flags) if 1 in f]
+        keep = np.array([k for k, f in enumerate(flags) if 1 in f], np.int64)
         return pa.table({
             "block": table.column("block").take(keep), "least": table.column("least").take(keep),
-            "sid": pa.array([_signed(xxhash.xxh3_64_intdigest(strings[k])) for k in keep], pa.int64()),
-            "flags": pa.array([flags[k] for k in keep], pa.binary()), "hot": table.column("hot").take(keep),
+            "sid": pa.array([_signed(xxhash.xxh3_64_intdigest(strings[k])) for k in keep.tolist()], pa.int64()),
+            "flags": pa.array([flags[k] for k in keep.tolist()], pa.binary()), "hot": table.column("hot").take(keep),
         })
 
     def rebuild(left: pa.Table, right: pa.Table) -> pa.Table:
