@@ -102,7 +102,9 @@ def _looked_up(df: DataFrame, side: DataFrame, first: str, names: dict[str, str]
     """df with a count for each name of the column that it is given, all of them within two bins from the bin of `first`."""
     kept = [c for c in df.columns if c not in names]
     out = df.join(side, (F.col("ends_key") == F.col("index_key")) & (_bin(F.col(first)) == F.col("index_bin")), "left")
-    return out.select(*kept, *[F.coalesce(_inside(F.col(x)), _beyond(F.col(x)), F.lit(0)).cast("int").alias(name) for name, x in names.items()])
+    counts = F.struct(*[F.coalesce(_inside(F.col(x)), _beyond(F.col(x)), F.lit(0)).cast("int").alias(name) for name, x in names.items()])
+    # behind a generator no later filter makes Spark look up anew
+    return out.select(*kept, F.explode(F.array(counts)).alias("index_found")).select(*kept, "index_found.*")
 
 
 def count_at_most(df: DataFrame, cpg: DataFrame, **wanted: Column) -> DataFrame:
