@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hapdiff.llm import ctw, decontam, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup, wrapper
+from hapdiff.llm import ctw, decontam, filter_audit, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup, wrapper
 from hapdiff.llm.common import read_table
 
 
@@ -74,6 +74,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return filter_audit.interactions(filter_audit.judged(docs, read_table(spark, sf_dir, "labels"))).drop("filter")
+
+
 QUERIES = {
     "op1_ctw": op1_ctw,
     "op2_sentencepiece": op2_sentencepiece,
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_filter_audit": op13_filter_audit,
     "quality_ablations": quality_ablations,
 }
 ORACLE_SQL = {
@@ -93,6 +99,7 @@ ORACLE_SQL = {
     "op5_near_dedup": near_dedup.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
     "quality_ablations": quality_rules.ABLATIONS_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
 }
