@@ -67,3 +67,19 @@ def partitions(df: DataFrame, text_col: str, bytes_each: int = 16 << 20) -> int:
     """How many partitions of about bytes_each of text df's whole rows make; one pass that returns a single number."""
     n = df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
     return max(1, -(-n // bytes_each))
+
+
+#: What a row counts for besides its text where blocks are sized, so that empty texts fill blocks too.
+ROW_BYTES = 64
+
+
+def deal(df: DataFrame, text_col: str, bytes_each: int, block_col: str = "block") -> tuple[DataFrame, int]:
+    """df with block_col, and the number of blocks: each holds rows and texts of about bytes_each.
+
+    Rows that are equal in all columns are spread as well, by their place in the table, so a table that is read several times has
+    to give its rows in one order, as files do.
+    """
+    size = df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.count("*")).first()
+    n = max(1, -(-((size[0] or 0) + ROW_BYTES * size[1]) // bytes_each))
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(1024))
+    return df.withColumn(block_col, F.pmod(F.xxhash64(*df.columns, spread), F.lit(n)).cast("int")), n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hapdiff.llm import ctw, decontam, filter_audit, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup, wrapper
+from hapdiff.llm import ctw, decontam, filter_audit, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup, token_align, wrapper
 from hapdiff.llm.common import read_table
 
 
@@ -74,6 +74,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_token_align(
+    spark: SparkSession, sf_dir: str, first: str = "/opt/tokenizers/byte_bpe_50k.json", second: str = "/opt/tokenizers/piece_bpe_32k.model"
+) -> DataFrame:
+    files = [sentencepiece_codec.read_model(spark, path) for path in (first, second)]
+    out = token_align.align(read_table(spark, sf_dir, "documents").select("doc_id", "text"), *files)
+    sha = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", sha.alias("groups_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return filter_audit.interactions(filter_audit.judged(docs, read_table(spark, sf_dir, "labels"))).drop("filter")
@@ -90,6 +99,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_token_align": op12_token_align,
     "op13_filter_audit": op13_filter_audit,
     "quality_ablations": quality_ablations,
 }
