@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hapdiff.llm import ctw, decontam, filter_audit, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup, token_align, wrapper
+from hapdiff.llm import ctw, decontam, filter_audit, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, token_align, wrapper
 from hapdiff.llm.common import read_table
 
 
@@ -74,6 +74,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.cut_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_token_align(
     spark: SparkSession, sf_dir: str, first: str = "/opt/tokenizers/byte_bpe_50k.json", second: str = "/opt/tokenizers/piece_bpe_32k.model"
 ) -> DataFrame:
@@ -99,6 +104,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_token_align": op12_token_align,
     "op13_filter_audit": op13_filter_audit,
     "quality_ablations": quality_ablations,
@@ -109,6 +115,7 @@ ORACLE_SQL = {
     "op5_near_dedup": near_dedup.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
+    "op11_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op13_filter_audit": filter_audit.ORACLE_SQL,
     "quality_ablations": quality_rules.ABLATIONS_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
