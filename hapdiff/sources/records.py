@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from hapdiff.sources.bgzf import read_lines
+
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -54,13 +56,14 @@ def _fields(df: DataFrame, least: int) -> DataFrame:
 
 
 def read_records(spark: SparkSession, files: Mapping[str, str] | Sequence[str]) -> DataFrame:
-    """sample, chr, read_start, read_end, hap, cnt, strand of all samples' files (plain or gz), blank lines left out.
+    """sample, chr, read_start, read_end, hap, cnt, strand of all samples' files (plain, gz or block-gzip), blank lines left out.
 
+    A block-gzip file is read by as many tasks as its size asks for.
     A line with fewer than six fields stops the job; fields that aren't numbers become null.
     """
     parts = []
     for sample, path in sample_paths(files).items():
-        f = _fields(spark.read.text(path), 6).select(F.lit(sample).alias("sample"), "f")
+        f = _fields(read_lines(spark, path), 6).select(F.lit(sample).alias("sample"), "f")
         parts.append(
             f.select(
                 "sample", _trimmed(F.col("f")[0]).alias("chr"), _number(F.col("f")[1]).alias("read_start"), _number(F.col("f")[2]).alias("read_end"),
@@ -75,7 +78,7 @@ def read_records(spark: SparkSession, files: Mapping[str, str] | Sequence[str])
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
     """chr, pos of an index file, as position_index() takes it."""
-    f = _fields(spark.read.text(path), 2)
+    f = _fields(read_lines(spark, path), 2)
     return f.select(_trimmed(F.col("f")[0]).alias("chr"), _number(F.col("f")[1]).alias("pos"))
 
 
