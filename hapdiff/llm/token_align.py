@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -24,9 +25,12 @@ from pyspark.sql import functions as F
 
 from hapdiff.llm.common import cut, deal, whole
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text whose tokens are in DuckDB at once, one document at least.
 SLICE_BYTES = 1 << 20
+#: Words whose ids a worker remembers, and how long they may be.
+REMEMBERED, LONGEST_REMEMBERED = 1 << 18, 64
+WORD, MISSING = re.compile(" +[^ ]*"), object()
 #: A pair is in as many rows as there are blocks with it: so many of them meet in a task of the join with its count.
 BLOCKS_EACH = 4096
 #: The byte-level scheme's way of cutting texts, and the bytes that stand for themselves in its alphabet.
@@ -35,7 +39,9 @@ PRINTABLE = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
 #: How a token of one side is linked with one of the other: by ranges that end together, or that share a byte.
 LINKS = {
     "ends": "select a.id as a, b.id as b, a.e as e from a join b on a.e = b.e",
-    "overlaps": "select a.id as a, b.id as b, greatest(a.s, b.s) + 1 as e from ga a join gb b on a.g = b.g and a.s < b.e and b.s < a.e",
+    "overlaps": """
+        select a.id as a, b.id as b, greatest(a.s, b.s) + 1 as e from (select t.*, c.g from a t asof join cut c on t.e <= c.e) a
+        join (select t.*, c.g from b t asof join cut c on t.e <= c.e) b on a.g = b.g and a.s < b.e and b.s < a.e""",
 }
 
 
@@ -59,21 +65,48 @@ class ByteLevel:
 
 
 class Pieces:
-    """A SentencePiece model, which puts the blank before a text itself."""
+    """A SentencePiece model, which puts the blank before a text itself.
+
+    Where no piece has a blank behind another character, no piece goes over a word's end, so a text's ids are those of its words (each
+    with the blanks before it), which are remembered. Else texts are encoded whole.
+    """
 
     def __init__(self, file: bytes):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=file)
-        self.spelled = [self._bytes(i) for i in range(self.model.get_piece_size())]
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.spelled = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.sizes = np.array(list(map(len, self.spelled)), np.int64)
+        self.by_word = all("▁" not in p.lstrip("▁") for p in pieces)
+        self.known: dict[str, list[int] | None] = {}
 
-    def _bytes(self, i: int) -> bytes:
-        piece = self.model.id_to_piece(i)
-        return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
+    def _encode(self, text: str) -> list[int] | None:
+        """The ids of a blank and text, or None where their bytes are others."""
+        own = self.model.encode(text)
+        return own if b"".join(map(self.spelled.__getitem__, own)) == (" " + text).encode() else None
+
+    def _word(self, word: str) -> list[int] | None:
+        found = self._encode(word[1:])
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = found
+        return found
 
     def ids(self, text: str) -> np.ndarray | None:
         """The ids of a text, or None where their bytes don't spell a blank and the text."""
-        own = self.model.encode(text)
-        return np.array(own, np.int32) if b"".join(map(self.spelled.__getitem__, own)) == (" " + text).encode() else None
+        if not self.by_word:
+            own = self._encode(text)
+            return None if own is None else np.array(own, np.int32)
+        out: list[int] = []
+        known = self.known
+        for word in WORD.findall(" " + text):
+            own = known.get(word, MISSING)
+            if own is MISSING:
+                own = self._word(word)
+            if own is None:
+                return None
+            out += own
+        return np.array(out, np.int32)
 
 
 @functools.lru_cache(2)
@@ -85,18 +118,21 @@ class _Slice:
     """The tokens of some documents in DuckDB: a and b (i, id, s, e) and d (k, e), on one axis of bytes."""
 
     def __init__(self, con: duckdb.DuckDBPyConnection, at: list[int], tokens: list[tuple[np.ndarray, np.ndarray]], sizes: list[int], first: ByteLevel, second: Pieces):
-        self.con = con
+        self.con, self.ids = con, []
         for name, which, side in (("a", 0, first), ("b", 1, second)):
             ids = np.concatenate([t[which] for t in tokens])
             ends = np.cumsum(side.sizes[ids])
+            self.ids.append(ids.astype(np.int64))
             con.register(name, pa.table({"i": np.arange(len(ids)), "id": ids, "s": ends - side.sizes[ids], "e": ends}))
         con.register("d", pa.table({"k": np.array(at, np.int64), "e": np.cumsum(np.array(sizes, np.int64))}))
 
     def group(self) -> None:
-        """cut (e, g), ga and gb: the offsets where tokens of both sides end, numbered, and the tokens with their group."""
-        self.con.execute("create or replace temp table cut as select e, sum(1) over (order by e)::bigint as g from (select distinct a.e from a join b on a.e = b.e)")
-        for side in "ab":
-            self.con.execute(f"create or replace temp table g{side} as select t.*, c.g from {side} t asof join cut c on t.e <= c.e")
+        """cut (e, g, k, last_a, last_b): the offsets where tokens of both sides end, numbered, with their document and last tokens."""
+        self.con.execute("""
+            create or replace temp table cut as
+            select c.*, d.k from (select a.e, sum(1) over (order by a.e)::bigint as g, a.i as last_a, b.i as last_b
+                                  from (select e, max(i) as i from a group by e) a join (select e, max(i) as i from b group by e) b on a.e = b.e) c
+            asof join d on c.e <= d.e""")
 
     def pairs(self, link: str) -> pa.Table:
         if link == "overlaps":
@@ -107,20 +143,34 @@ class _Slice:
         """k, n_groups, n_links, n_best, count_sum of each document; pair (a, b, total, best) holds the corpus's counts."""
         return self.con.sql(f"""
             with l as (select d.k, count(*) as n_links, count(p.total) as n_found, count(*) filter (p.best) as n_best, sum(p.total)::bigint as count_sum
-                       from ({LINKS[link]}) l left join pair p using (a, b) asof join d on l.e <= d.e group by d.k),
-            g as (select d.k, count(*) as n_groups from cut c asof join d on c.e <= d.e group by d.k)
-            select k, n_groups, n_links, n_best, count_sum, n_found from g join l using (k)""").to_arrow_table()
+                       from ({LINKS[link]}) l left join pair p using (a, b) asof join d on l.e <= d.e group by d.k)
+            select k, n_groups, n_links, n_best, count_sum, n_found from (select k, count(*) as n_groups from cut group by k) g join l using (k)""").to_arrow_table()
 
     def texts(self) -> dict[int, str]:
         """Each document's groups: ids of either side joined by commas, sides by a bar, groups by semicolons."""
-        order = self.con.execute("""
-            select d.k, t.id, case when lead(t.g) over w is distinct from t.g then 0 when lead(t.side) over w <> t.side then 1 else 2 end as what
-            from (select 0 as side, i, id, g, e from ga union all select 1, i, id, g, e from gb) t asof join d on t.e <= d.e
-            window w as (order by t.g, t.side, t.i) order by t.g, t.side, t.i""").fetchnumpy()
-        doc, spelled = np.asarray(order["k"]), [f"{i}{sep}" for i in range(int(order["id"].max()) + 1) for sep in ";|,"]
-        codes = (np.asarray(order["id"], np.int64) * 3 + np.asarray(order["what"], np.int64)).tolist()
-        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]).tolist()
-        return {int(doc[i]): "".join(map(spelled.__getitem__, codes[i:j]))[:-1] for i, j in zip(starts, [*starts[1:], len(codes)], strict=True)}
+        cuts = self.con.execute("select k, last_a, last_b from cut order by g").fetchnumpy()
+        doc, ends = np.asarray(cuts["k"]), [np.asarray(cuts[c]) + 1 for c in ("last_a", "last_b")]
+        n_a, n_b = (np.diff(e, prepend=0) for e in ends)
+        total = ends[0] + ends[1]  # tokens of both sides up to a group's end
+        codes = np.empty(int(total[-1]), np.int64)
+        at_a = np.arange(len(self.ids[0])) + np.repeat(ends[1] - n_b, n_a)  # a group's tokens of one side, then of the other
+        at_b = np.arange(len(self.ids[1])) + np.repeat(ends[0], n_b)
+        codes[at_a], codes[at_b] = self.ids[0] * 3 + 2, self.ids[1] * 3 + 2
+        codes[total - n_b - 1] -= 1
+        codes[total - 1] -= 2
+        spelled = _spelled(int(codes.max()) // 3)
+        last = np.flatnonzero(np.r_[doc[1:] != doc[:-1], True])
+        codes, out, at = codes.tolist(), {}, 0
+        for k, end in zip(doc[last].tolist(), total[last].tolist(), strict=True):
+            out[k] = "".join(map(spelled.__getitem__, codes[at:end]))[:-1]
+            at = end
+        return out
+
+
+@functools.lru_cache(4)
+def _spelled(most: int) -> list[str]:
+    """Ids up to `most` with each of the signs that may follow."""
+    return [f"{i}{sign}" for i in range(most + 1) for sign in ";|,"]
 
 
 def _slices(texts: list, first: ByteLevel, second: Pieces) -> Iterator[tuple[list[int], list, list[int]]]:
@@ -142,7 +192,7 @@ def _slices(texts: list, first: ByteLevel, second: Pieces) -> Iterator[tuple[lis
 
 
 def _connect(spill: str) -> duckdb.DuckDBPyConnection:
-    return duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": spill, "preserve_insertion_order": False})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": spill, "preserve_insertion_order": False})
 
 
 def align(docs: DataFrame, first: bytes, second: bytes, link: str = "ends", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
