@@ -85,7 +85,10 @@ class Pieces:
         return own if b"".join(map(self.spelled.__getitem__, own)) == (" " + text).encode() else None
 
     def _word(self, word: str) -> list[int] | None:
-        found = self._encode(word[1:])
+        """The ids of a word with the blanks before it, or of the blanks that end a text, which the model gives behind a word only."""
+        found = self._encode(word[1:]) if word.strip(" ") else self._encode("a" + word)
+        if found is not None and not word.strip(" "):
+            found = found[len(self.model.encode("a")) :]
         if len(word) <= LONGEST_REMEMBERED:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()

@@ -1,6 +1,7 @@
 """Filter audits and token alignment against plain Python, on a small table with nulls, ties, copies and clashing names."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import permutations
@@ -125,7 +126,7 @@ def aligned(texts, link):
     return out
 
 
-ODD = ["<|endoftext|> and <s> </s>", "a▁b", "ﬁne ½ ①", "two  blanks\t\n tabs ", " lead", "éé \U0001f600\U0001f600", "don't they'll", "x" * 3000, " ", "\x00\x01"]
+ODD = ["<|endoftext|> and <s> </s>", "a▁b", "ﬁne ½ ①", "two  blanks\t\n tabs ", " lead", "éé \U0001f600\U0001f600", "don't they'll", "x" * 3000, " ", "    ", "end   ", "a \n ", "\x00\x01"]
 
 
 @pytest.mark.parametrize("link", ["ends", "overlaps"])
@@ -148,6 +149,17 @@ def test_token_align(spark, monkeypatch, link):
     assert len(got) == len(texts) and want[2][0] and not want[3][0]
 
 
+def test_ids_by_word_are_the_whole_texts():
+    """Any mix of blanks, pieces of words and odd characters: the ids of remembered words are the library's for the whole text."""
+    rng = random.Random(5)
+    pieces = token_align.Pieces(open(PIECES, "rb").read())
+    assert pieces.by_word
+    parts = [" ", "  ", "   ", "\n", "\t", "a", "the", "ing", "é", "\u3000", "\xa0", "0", "1", ".", "\U0001f600", "ß", "<s>", "<0x41>"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        assert pieces.ids(text).tolist() == pieces.model.encode(text), repr(text)
+
+
 def test_token_align_in_many_blocks(spark, monkeypatch):
     """Blocks of a few documents and a join in several parts give what one block gives; so do repeated rows."""
     own = spark.createDataFrame([(k % 40, t) for k, t in enumerate(TEXTS[:60])] + [(7, "one two")] * 5, "doc_id long, text string")
