@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from hapdiff.operators.ordered import running_sum
 #: Index positions are looked up in bins of this many bases, each a row with a bit for each base of it and of the next one.
 BIN, WORD = 4096, 64
 WORDS = 2 * BIN // WORD
+#: Bins whose rows are made together: some 1.5 MB.
+RUN = 1024
 #: The index is broadcast where its rows (8 bytes of bits and 4 of counts for each word) take this much at most; else reads are
 #: dealt by bin, once.
 BROADCAST_BYTES = 32 << 20
@@ -70,20 +74,49 @@ def _ends(cpg: DataFrame) -> DataFrame:
     return cpg.groupBy(_key(cpg).alias("ends_key")).agg(_bin(F.min("pos")).alias("index_first"), _bin(F.max("pos")).alias("index_last"), F.count("*").alias("index_all"))
 
 
+def _bits(at: np.ndarray, n_bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n_bins bins the bits of its own and the next bin's bases by word, and how many positions come before each word; at:
+    the positions' distinct distances from the first bin's first base, up to those of the bin behind the last."""
+    half = WORDS // 2
+    words = np.zeros((n_bins + 1) * half, np.uint64)
+    np.bitwise_or.at(words, at // WORD, np.uint64(1) << (at % WORD).astype(np.uint64))
+    count = np.bincount(at // WORD, minlength=len(words)).reshape(-1, half)
+    words = words.reshape(-1, half)
+    both = np.concatenate([count[:-1], count[1:]], axis=1)
+    return np.concatenate([words[:-1], words[1:]], axis=1).view(np.int64), (np.cumsum(both, axis=1) - both).astype(np.int32)
+
+
 def _bins(cpg: DataFrame) -> DataFrame:
     """index_key, index_bin, index_before, index_mask, index_upto: for every bin from that before a chromosome's first to its last,
-    the positions before the bin; bits for the positions of it and the next bin by word; and how many of them come before each word."""
-    twice = cpg.select(_key(cpg).alias("index_key"), "pos", F.explode(F.array(_bin(F.col("pos")), _bin(F.col("pos")) - 1)).alias("index_bin"))
-    own = twice.groupBy("index_key", "index_bin").agg(F.collect_list(F.col("pos") - F.col("index_bin") * BIN).alias("at"))
-    span = _ends(cpg).select(F.col("ends_key").alias("index_key"), F.explode(F.sequence(F.col("index_first") - 1, "index_last")).alias("index_bin"))
-    own = span.join(own, ["index_key", "index_bin"], "left").withColumn("at", F.coalesce("at", F.array().cast("array<bigint>")))
-    w = W.partitionBy("index_key").orderBy("index_bin").rowsBetween(W.unboundedPreceding, -1)
-    own = own.withColumn("index_before", F.coalesce(F.sum(F.size(F.filter("at", lambda p: p < BIN))).over(w), F.lit(0)))
-    words = F.sequence(F.lit(0), F.lit(WORDS - 1))
-    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), (p % WORD).cast("int"))
-    mask = F.transform(words, lambda k: F.aggregate(F.filter("at", lambda p: F.floor(p / WORD) == k), F.lit(0).cast("long"), lambda a, p: a.bitwiseOR(bit(p))))
-    upto = F.transform(words, lambda k: F.size(F.filter("at", lambda p: p < k * WORD)))
-    return own.select("index_key", "index_bin", "index_before", mask.alias("index_mask"), upto.alias("index_upto"))
+    the positions before the bin; bits for the positions of it and the next bin by word; and how many of them come before each word.
+
+    Runs of RUN bins are made at once. The positions before a run are summed over runs, some hundreds a genome.
+    """
+    run = lambda c: F.floor((_bin(c) + 1) / RUN).cast("long")  # noqa: E731  a run's last bin sees the next run's first
+    own = cpg.select(_key(cpg).alias("index_key"), F.col("pos").cast("long").alias("pos"))
+    spans = _ends(cpg).select(F.col("ends_key").alias("index_key"), "index_first", "index_last")
+    runs = spans.withColumn("run", F.explode(F.sequence(F.floor(F.col("index_first") / RUN).cast("long"), F.floor((F.col("index_last") + 1) / RUN).cast("long"))))
+    counts = own.groupBy("index_key", run(F.col("pos")).alias("run")).agg(F.count("*").alias("n"))
+    w = W.partitionBy("index_key").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.join(counts, ["index_key", "run"], "left").withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    mine = run(F.col("pos"))
+    last = F.when(run(F.col("pos") - BIN) < mine, mine - 1)  # in a run's first bin: the run before looks at it too
+    sent = own.select("index_key", "pos", F.explode(F.array_compact(F.array(mine, last))).alias("run"))
+    held = runs.join(sent, ["index_key", "run"], "left").select("index_key", "run", "before", "index_first", "index_last", "pos")
+
+    def make(table: pa.Table) -> pa.Table:
+        row = {c: table.column(c)[0].as_py() for c in ("index_key", "run", "before", "index_first", "index_last")}
+        first = row["run"] * RUN - 1
+        mask, upto = _bits(np.asarray(table.column("pos").drop_null(), np.int64) - first * BIN, RUN)
+        before = row["before"] + np.r_[0, np.cumsum(np.bitwise_count(mask[:, : WORDS // 2].view(np.uint64)).sum(axis=1, dtype=np.int64))[:-1]]
+        keep = np.arange(max(row["index_first"] - 1 - first, 0), min(row["index_last"] - first, RUN - 1) + 1)
+        lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * WORDS, pa.int32()), pa.array(values[keep].ravel(), kind))
+        return pa.table({
+            "index_key": pa.array([row["index_key"]] * len(keep), pa.string()), "index_bin": pa.array(first + keep), "index_before": pa.array(before[keep]),
+            "index_mask": lists(mask, pa.int64()), "index_upto": lists(upto, pa.int32()),
+        })
+
+    return held.groupBy("index_key", "run").applyInArrow(make, "index_key string, index_bin long, index_before long, index_mask array<long>, index_upto array<int>")
 
 
 def _inside(x: Column) -> Column:
@@ -145,13 +178,18 @@ def map_reads(reads: DataFrame, cpg: DataFrame) -> DataFrame:
     return out.withColumn("state", F.instr("hap", "1") > 0)
 
 
-def read_qc(mapped: DataFrame) -> DataFrame:
-    """One row of counters; a bad string counts whatever else is wrong, the mapping flags only for otherwise valid records."""
-    return mapped.agg(
-        F.count("*").alias("total_records"), F.count_if("mapping_valid").alias("valid_records"),
+def qc_counters() -> list[Column]:
+    """The counters of map_reads()'s rows; a bad string counts whatever else is wrong, the mapping flags only for otherwise valid records."""
+    return [
+        F.count(F.lit(1)).alias("total_records"), F.count_if("mapping_valid").alias("valid_records"),
         F.count_if(~F.col("mapping_valid")).alias("invalid_records"), F.count_if("bad_hap").alias("invalid_haplotype_string"),
         F.count_if("missing_annotation").alias("missing_cpg_annotation"), F.count_if("length_mismatch").alias("cpg_length_mismatch"),
-    )
+    ]
+
+
+def read_qc(mapped: DataFrame) -> DataFrame:
+    """One row of counters."""
+    return mapped.agg(*qc_counters())
 
 
 def distinct_spans(mapped: DataFrame) -> DataFrame:

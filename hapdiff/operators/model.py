@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -78,33 +80,58 @@ def check_settings(pseudo: float, phi: tuple[float, float]) -> None:
         raise ValueError("the bounds of phi must be 0 <= lower < upper < 1")
 
 
-def fit_one(s: np.ndarray, t: np.ndarray, nsq: np.ndarray, x: np.ndarray, c: np.ndarray, pseudo: float = 0.5, phi_bounds: tuple = PHI) -> dict:
-    """The fit of one region: coefficients, covariance, Wald statistic and its p."""
-    kappa = t * t / nsq
-    if (kappa < 1 - SQRT_EPS).any():
-        raise ValueError("effective coverage below 1")
-    kappa = np.maximum(kappa, 1.0)
-    z = np.arcsin(np.clip(2 * (s + pseudo) / (t + 2 * pseudo) - 1, -1, 1))
+def fit_stacked(s: np.ndarray, t: np.ndarray, nsq: np.ndarray, x: np.ndarray, c: np.ndarray, pseudo: float = 0.5, phi_bounds: tuple = PHI) -> dict[str, np.ndarray]:
+    """The fits of many regions with one design, each a row of s, t and nsq: coefficients, covariances, Wald statistics and their p.
+
+    Both stages solve all regions' equations at once. A region whose values can't be fitted, or whose effective coverage is below 1,
+    has NaN everywhere.
+    """
     n, p = x.shape
+    good = (np.isfinite(s) & np.isfinite(t) & np.isfinite(nsq) & (t > 0) & (nsq > 0) & (s >= 0) & (s <= t)).all(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        raw = t * t / nsq
+        good &= (raw >= 1 - SQRT_EPS).all(axis=1)
+        kappa = np.where(good[:, None], np.maximum(raw, 1.0), 1.0)
+        z = np.where(good[:, None], np.arcsin(np.clip(2 * (s + pseudo) / (t + 2 * pseudo) - 1, -1, 1)), 0.0)
 
     def solve(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = np.linalg.inv(x.T @ (x * w[:, None]))
-        return v @ (x.T @ (w * z)), v
+        v = np.linalg.inv(np.einsum("ni,rn,nj->rij", x, w, x, optimize=True))
+        return np.einsum("rij,rj->ri", v, (w * z) @ x), v
 
     first, _ = solve(kappa)
-    sigma2 = float((kappa * (z - x @ first) ** 2).sum() / (n - p))
-    extra = float((kappa - 1).sum())
-    phi = phi_bounds[0] if extra <= SQRT_EPS else float(np.clip(n * (sigma2 - 1) / extra, *phi_bounds))
-    beta, v = solve(kappa / (1 + (kappa - 1) * phi))
-    wald = float(c @ beta / np.sqrt(c @ v @ c))
-    return {"coef": beta.tolist(), "stage1_coef": first.tolist(), "cov": v.tolist(), "statistic": wald, "p_value": normal_two_sided(wald), "phi": phi, "z": z.tolist(), "kappa": kappa.tolist()}
+    sigma2 = (kappa * (z - first @ x.T) ** 2).sum(axis=1) / (n - p)
+    extra = (kappa - 1).sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        phi = np.where(extra <= SQRT_EPS, phi_bounds[0], np.clip(n * (sigma2 - 1) / extra, *phi_bounds))
+    beta, v = solve(kappa / (1 + (kappa - 1) * phi[:, None]))
+    wald = beta @ c / np.sqrt(np.einsum("i,rij,j->r", c, v, c))
+    out = {"coef": beta, "stage1_coef": first, "cov": v, "statistic": wald, "phi": phi, "z": z, "kappa": kappa}
+    for values in out.values():
+        values[~good] = np.nan
+    return out | {"p_value": np.array([normal_two_sided(x) for x in wald.tolist()])}
+
+
+def fit_one(s: np.ndarray, t: np.ndarray, nsq: np.ndarray, x: np.ndarray, c: np.ndarray, pseudo: float = 0.5, phi_bounds: tuple = PHI) -> dict:
+    """The fit of one region: coefficients, covariance, Wald statistic and its p."""
+    if (t * t / nsq < 1 - SQRT_EPS).any():
+        raise ValueError("effective coverage below 1")
+    found = fit_stacked(s[None], t[None], nsq[None], x, c, pseudo, phi_bounds)
+    return {k: v[0].tolist() for k, v in found.items()}
+
+
+def _lists(values: np.ndarray, good: np.ndarray) -> pa.Array:
+    """An array of (nested) lists of the rows of values, null where a row isn't good."""
+    inner = pa.array(values.reshape(-1))
+    for size in reversed(values.shape[1:]):
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(inner) + 1, size), pa.int32()), inner)
+    return inner.take(pa.array(np.arange(len(good)), mask=~good))
 
 
 def fit_regions(matrices: DataFrame, samples: list[str], designs: dict[int, np.ndarray], c: np.ndarray, pseudo: float = 0.5, phi: tuple = PHI) -> DataFrame:
     """One row for each region (perm_id, region_id) with fit_one()'s results; designs: for each perm_id the matrix, rows by samples.
 
-    Designs are small and travel with the tasks; a region's rows are as many as the samples. Where a fit fails, the observed
-    labelling (perm_id 0) stops the job, and a permuted one's row has nulls.
+    A region's rows, as many as the samples, become one of arrays, and a task fits thousands of those at a time. Designs are small
+    and travel with the tasks. Where a fit fails, the observed labelling (perm_id 0) stops the job, and a permuted one's row has nulls.
     """
     check_settings(pseudo, phi)
     if len(set(samples)) != len(samples) or not all(samples):
@@ -114,27 +141,29 @@ def fit_regions(matrices: DataFrame, samples: list[str], designs: dict[int, np.n
             raise ValueError("the design and the contrast must be finite, and the contrast has one number for each column, not all 0")
         if x.shape[0] != len(samples) or x.shape[0] <= x.shape[1] or np.linalg.matrix_rank(x) < x.shape[1]:
             raise ValueError("the design needs full rank and more samples than columns")
-    place = {name: k for k, name in enumerate(samples)}
-
-    def fit(table: pa.Table) -> pa.Table:
-        perm = table.column("perm_id")[0].as_py()
-        at = [place.get(v, -1) for v in table.column("sample").to_pylist()]
-        if sorted(at) != list(range(len(samples))):
-            raise ValueError("a region needs one row for each sample")
-        own = {k: np.asarray(table.column(k), np.float64)[np.argsort(at)] for k in ("s", "t", "nsq")}
-        try:
-            if not (all(np.isfinite(v).all() for v in own.values()) and (own["t"] > 0).all() and (own["nsq"] > 0).all() and (own["s"] >= 0).all() and (own["s"] <= own["t"]).all()):
-                raise ValueError("regions need 0 <= s <= t, t > 0 and nsq > 0")
-            r = fit_one(own["s"], own["t"], own["nsq"], designs[perm], c, pseudo, phi)
-        except (ValueError, np.linalg.LinAlgError):
-            if perm == 0:
-                raise
-            r = dict.fromkeys(("coef", "stage1_coef", "cov", "statistic", "p_value", "phi", "z", "kappa"))
-        keys = {k: table.column(k).slice(0, 1) for k in KEYS}
-        return pa.table(keys | {f.name: pa.array([r[f.name]], f.type) for f in RESULT})
+    place = F.array_position(F.array(*[F.lit(v) for v in samples]), F.col("sample"))
+    nan = lambda v: F.coalesce(F.col(v).cast("double"), F.lit(float("nan"))).alias(v)
+    rows = F.sort_array(F.collect_list(F.struct(place.alias("place"), nan("s"), nan("t"), nan("nsq"))))
+    gathered = matrices.groupBy(*KEYS).agg(rows.alias("rows"))
+    each = F.col("rows.place") == F.array(*[F.lit(k + 1).cast("long") for k in range(len(samples))])
+    checked = F.when(each, F.col("rows")).otherwise(F.raise_error("a region needs one row for each sample").cast(gathered.schema["rows"].dataType))
+    gathered = gathered.withColumn("rows", checked).select(*KEYS, *[F.col(f"rows.{v}").alias(v) for v in ("s", "t", "nsq")])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            perms = np.asarray(batch.column("perm_id"))
+            for perm in np.unique(perms).tolist():
+                own = batch.filter(pa.array(perms == perm))
+                s, t, nsq = (np.asarray(own.column(v).flatten(), np.float64).reshape(own.num_rows, -1) for v in ("s", "t", "nsq"))
+                found = fit_stacked(s, t, nsq, designs[perm], c, pseudo, phi)
+                good = np.isfinite(found["statistic"])
+                if perm == 0 and not good.all():
+                    raise ValueError("regions need 0 <= s <= t, t > 0, nsq > 0 and an effective coverage of 1 at least")
+                columns = [own.column(k) for k in KEYS] + [_lists(found[f.name], good) for f in RESULT]
+                yield pa.RecordBatch.from_arrays(columns, [*KEYS, *RESULT.names])
 
     schema = (
         "perm_id int, region_id string, coef array<double>, stage1_coef array<double>, cov array<array<double>>, statistic double, "
         "p_value double, phi double, z array<double>, kappa array<double>"
     )
-    return matrices.groupBy(*KEYS).applyInArrow(fit, schema)
+    return gathered.mapInArrow(fit, schema)

@@ -32,15 +32,23 @@ def region_sums(loci: DataFrame, regions: DataFrame) -> DataFrame:
     return at.groupBy("perm_id", "region_id", "sample").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
 
 
-def region_reads(mapped: DataFrame, regions: DataFrame, cpg: DataFrame) -> DataFrame:
-    """Valid reads and regions that overlap, with n, the positions of the reads' index that they share."""
+def region_pairs(regions: DataFrame, cpg: DataFrame) -> DataFrame:
+    """regions with r_start and r_end, the numbers of their first and last position; with r_annotation, a row for each index file, where
+    samples have indexes of their own."""
     which = annotation_of(cpg)
-    spans = mapped.filter("mapping_valid").groupBy("sample", *which, "chr", "read_start", "read_end", "ci_start", "ci_end", "hap", "strand", "state").agg(F.sum("cnt").alias("cnt"))
     own = regions.select("perm_id", "region_id", "chr", "start", "end")
     if which:
         own = own.crossJoin(F.broadcast(cpg.select(*which).distinct()))  # a row for each index file
     own = count_at_most(own, cpg, r_start=F.col("start") - 1, r_end=F.col("end")).withColumn("r_start", F.col("r_start") + 1)
-    pairs = overlaps(spans, own.withColumnsRenamed({c: f"r_{c}" for c in which}), ("read_start", "read_end"), ("start", "end"))
+    return own.withColumnsRenamed({c: f"r_{c}" for c in which})
+
+
+def region_reads(mapped: DataFrame, regions: DataFrame, cpg: DataFrame) -> DataFrame:
+    """Valid reads and regions that overlap, with n, the positions of the reads' index that they share."""
+    which = annotation_of(cpg)
+    spans = mapped.filter("mapping_valid").groupBy("sample", *which, "chr", "read_start", "read_end", "ci_start", "ci_end", "hap", "strand", "state").agg(F.sum("cnt").alias("cnt"))
+    own = region_pairs(regions, cpg)
+    pairs = overlaps(spans, own, ("read_start", "read_end"), ("start", "end"))
     for c in which:
         pairs = pairs.filter(F.col(c) == F.col(f"r_{c}")).drop(c, f"r_{c}")
     return pairs.withColumn("n", F.greatest(F.lit(0), F.least("ci_end", "r_end") - F.greatest("ci_start", "r_start") + 1))

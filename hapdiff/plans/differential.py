@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hapdiff.functions import design as designs
 from hapdiff.functions.permutations import plan as permutation_plan
 from hapdiff.operators import align, calibrate, model, regions, screen, segment, smooth
 from hapdiff.operators.storage import cut
-from hapdiff.sources import records
+from hapdiff.sources import cache, records
 
 
 @dataclass(frozen=True)
@@ -65,31 +65,98 @@ def screen_qc(wide: DataFrame, groups: list[int]) -> DataFrame:
     return n.crossJoin(kept).withColumn("candidate_loci_dropped_group_coverage", dropped)
 
 
+COORDINATES = "1-based inclusive"
+
+
+class MappedReads:
+    """Reads mapped to positions for one analysis: what a cache.ReadCache offers, of reads that are at hand."""
+
+    def __init__(self, reads: DataFrame, positions: DataFrame):
+        self.spark, self.cpg, seen = reads.sparkSession, cut(align.position_index(positions)), Observation()
+        # counted as they are written: no other pass over the reads
+        self.reads = cut(align.map_reads(reads, self.cpg).observe(seen, *align.qc_counters()))
+        counters = seen.get
+        self.qc = self.spark.createDataFrame([tuple(counters.values())], ", ".join(f"{c} long" for c in counters))
+
+    def locus_counts(self) -> DataFrame:
+        return align.locus_counts(self.reads, self.cpg)
+
+    def region_reads(self, found: DataFrame) -> DataFrame:
+        return regions.region_reads(self.reads, found, self.cpg)
+
+
+def _metadata(settings: Settings, annotation_files: Sequence[str]) -> list:
+    """annotation_files (the different index files, if the analysis read files), coordinate_system and settings, as columns."""
+    values = [F.lit(v) for pair in asdict(settings).items() for v in (pair[0], float(pair[1]))]
+    files = F.array(*[F.lit(f) for f in annotation_files]).cast("array<string>")
+    return [files.alias("annotation_files"), F.lit(COORDINATES).alias("coordinate_system"), F.create_map(*values).alias("settings")]
+
+
 def find_candidates(
     reads: DataFrame, positions: DataFrame, samples: Sequence[str], groups: Mapping[str, str] | Sequence[str],
-    levels: Sequence[str] | None = None, settings: Settings | None = None,
+    levels: Sequence[str] | None = None, settings: Settings | None = None, annotation_files: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Candidate regions, and one row of counters of reads and loci. Parameters are checked before any read is touched."""
+    """Candidate regions, and one row of counters of reads and loci with the analysis' metadata. Parameters are checked before any
+    read is touched."""
     settings = settings or Settings()
     codes, _ = designs.group_codes(groups, samples, levels)
-    cpg = cut(align.position_index(positions))
-    mapped = cut(align.map_reads(reads, cpg))
-    wide = cut(align.dense(align.locus_counts(mapped, cpg), list(samples)))
-    return find_regions(wide, codes, [codes], settings).drop("perm_id"), align.read_qc(mapped).crossJoin(screen_qc(wide, codes))
+    return _candidates(MappedReads(reads, positions), samples, codes, settings, annotation_files)
+
+
+def candidates_from_cache(
+    kept: cache.ReadCache, samples: Sequence[str], groups: Mapping[str, str] | Sequence[str],
+    levels: Sequence[str] | None = None, settings: Settings | None = None, annotation_files: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """find_candidates() of reads that are in a cache."""
+    codes, _ = designs.group_codes(groups, samples, levels)
+    return _candidates(kept, samples, codes, settings or Settings(), annotation_files)
+
+
+def _candidates(source: MappedReads | cache.ReadCache, samples: Sequence[str], codes: list[int], settings: Settings, annotation_files: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    wide = cut(align.dense(source.locus_counts(), list(samples)))
+    qc = source.qc.crossJoin(screen_qc(wide, codes)).select("*", *_metadata(settings, annotation_files))
+    return find_regions(wide, codes, [codes], settings).drop("perm_id"), qc
 
 
 def differential_regions(
     reads: DataFrame, positions: DataFrame, samples: Sequence[str], design: pd.DataFrame, formula: str, coef: str | int | Sequence[float],
-    permutations: int = 10, settings: Settings | None = None, seed: int = 0,
+    permutations: int = 10, settings: Settings | None = None, seed: int = 0, annotation_files: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Regions with wald_statistic, empirical_p_value, fdr and null_pool_size, and one row of counters: of reads, loci, reads of
-    regions, regions without coverage in every sample, and permutations requested, available, generated and successful.
+    regions, regions without coverage in every sample, and permutations requested, available, generated and successful; and of
+    metadata: annotation_files, coordinate_system, settings.
 
     Permuted labellings are rows like the observed one: perm_id is a column from the locus statistics on. Where the coefficient is
     the difference of two groups without anything else, regions are fitted in closed form, others by region with numpy. Labellings
     whose design is rank deficient, and those with a failed fit, give no null statistics.
     """
-    settings, samples = settings or Settings(), list(samples)
+    plan = _planned(samples, design, formula, coef, permutations, seed)
+    return _differential(MappedReads(reads, positions), plan, settings or Settings(), annotation_files)
+
+
+def from_cache(
+    kept: cache.ReadCache, samples: Sequence[str], design: pd.DataFrame, formula: str, coef: str | int | Sequence[float],
+    permutations: int = 10, settings: Settings | None = None, seed: int = 0, annotation_files: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """differential_regions() of reads that are in a cache: nothing is mapped, and only zones with a region are opened for its reads."""
+    return _differential(kept, _planned(samples, design, formula, coef, permutations, seed), settings or Settings(), annotation_files)
+
+
+@dataclass(frozen=True)
+class _Plan:
+    """The labellings of an analysis, the observed one first, with the design matrix of each, and how they were drawn."""
+
+    samples: list[str]
+    labellings: list[list[int]]
+    matrices: list[np.ndarray]
+    contrast: np.ndarray
+    requested: int
+    available: int
+    generated: int
+
+
+def _planned(samples: Sequence[str], design: pd.DataFrame, formula: str, coef: str | int | Sequence[float], permutations: int, seed: int) -> _Plan:
+    samples = list(samples)
     design = designs.align_design(design, samples)
     column = designs.group_column(design, formula, coef)
     design = design.assign(**{column: designs.as_groups(design[column])})
@@ -108,21 +175,25 @@ def differential_regions(
         if own_names == names:
             matrices_of.append(matrix)
             labellings.append(own)
-    cpg = cut(align.position_index(positions))
-    mapped = cut(align.map_reads(reads, cpg))
-    loci = cut(align.locus_counts(mapped, cpg))
-    wide = cut(align.dense(loci, samples))
-    found = cut(find_regions(wide, codes, labellings, settings))
-    pairs = cut(regions.region_reads(mapped, found, cpg))
-    whole = cut(regions.complete(regions.region_sums(loci, found).join(regions.region_squares(pairs), ["perm_id", "region_id", "sample"]), len(samples)))
-    fits = fit_matrices(reads.sparkSession, whole, samples, labellings, matrices_of, c)
+    return _Plan(samples, labellings, matrices_of, c, permutations, available, len(drawn))
+
+
+def _differential(source: MappedReads | cache.ReadCache, plan: _Plan, settings: Settings, annotation_files: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    codes, n = plan.labellings[0], len(plan.samples)
+    loci = cut(source.locus_counts())
+    wide = cut(align.dense(loci, plan.samples))
+    found = cut(find_regions(wide, codes, plan.labellings, settings))
+    pairs = cut(source.region_reads(found))
+    whole = cut(regions.complete(regions.region_sums(loci, found).join(regions.region_squares(pairs), ["perm_id", "region_id", "sample"]), n))
+    fits = fit_matrices(source.spark, whole, plan.samples, plan.labellings, plan.matrices, plan.contrast)
     tested = whole.filter("perm_id = 0").agg(F.count_distinct("region_id").alias("n"))
     dropped = found.filter("perm_id = 0").agg(F.count("*").alias("all")).crossJoin(tested).select((F.col("all") - F.col("n")).alias("regions_dropped_incomplete_coverage"))
     successful = model.null_statistics(fits).agg(F.count_distinct("perm_id").alias("permutations_successful"))
-    qc = align.read_qc(mapped).crossJoin(screen_qc(wide, codes)).crossJoin(regions.reads_without_local_position(pairs)).crossJoin(dropped).select(
-        "*", *[F.lit(v).cast("long").alias(k) for k, v in (("permutations_requested", permutations), ("nonredundant_permutations_available", min(available, 2**62)), ("permutations_generated", len(drawn)))]
+    drawn = (("permutations_requested", plan.requested), ("nonredundant_permutations_available", min(plan.available, 2**62)), ("permutations_generated", plan.generated))
+    qc = source.qc.crossJoin(screen_qc(wide, codes)).crossJoin(regions.reads_without_local_position(pairs)).crossJoin(dropped).select(
+        "*", *[F.lit(v).cast("long").alias(k) for k, v in drawn]
     )
-    return calibrated(found, fits), qc.crossJoin(successful)
+    return calibrated(found, fits), qc.crossJoin(successful).select("*", *_metadata(settings, annotation_files))
 
 
 def fit_matrices(
@@ -169,11 +240,22 @@ def _tables(spark: SparkSession, files: Mapping[str, str] | Sequence[str], posit
     return reads.withColumn("annotation", of_sample[F.col("sample")]), functools.reduce(DataFrame.unionByName, own), list(named)
 
 
+def _annotations(positions: str | Mapping[str, str]) -> list[str]:
+    return [positions] if isinstance(positions, str) else list(dict.fromkeys(positions.values()))
+
+
 def from_files(spark: SparkSession, files: Mapping[str, str] | Sequence[str], positions: str | Mapping[str, str], **arguments) -> tuple[DataFrame, DataFrame]:
     """differential_regions() on read files and a position index file, or one for each sample by name."""
-    return differential_regions(*_tables(spark, files, positions), **arguments)
+    return differential_regions(*_tables(spark, files, positions), annotation_files=_annotations(positions), **arguments)
 
 
 def candidates_from_files(spark: SparkSession, files: Mapping[str, str] | Sequence[str], positions: str | Mapping[str, str], **arguments) -> tuple[DataFrame, DataFrame]:
     """find_candidates() on read files and a position index file, or one for each sample by name."""
-    return find_candidates(*_tables(spark, files, positions), **arguments)
+    return find_candidates(*_tables(spark, files, positions), annotation_files=_annotations(positions), **arguments)
+
+
+def cache_files(spark: SparkSession, files: Mapping[str, str] | Sequence[str], positions: str | Mapping[str, str], path: str, buckets: int = cache.BUCKETS) -> cache.ReadCache:
+    """A cache under path of read files and a position index file, or one for each sample by name: from_cache() and
+    candidates_from_cache() start from it."""
+    reads, index, _ = _tables(spark, files, positions)
+    return cache.write(path, reads, index, buckets)
