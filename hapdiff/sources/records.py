@@ -55,21 +55,22 @@ def _fields(df: DataFrame, least: int) -> DataFrame:
     return rows.withColumn("f", checked)
 
 
+def as_records(lines: DataFrame) -> DataFrame:
+    """sample, chr, read_start, read_end, hap, cnt, strand of lines (sample, value)."""
+    f = _fields(lines, 6)
+    return f.select(
+        "sample", _trimmed(F.col("f")[0]).alias("chr"), _number(F.col("f")[1]).alias("read_start"), _number(F.col("f")[2]).alias("read_end"),
+        _trimmed(F.col("f")[3]).alias("hap"), _number(F.col("f")[4]).alias("cnt"), _trimmed(F.col("f")[5]).alias("strand"),
+    )
+
+
 def read_records(spark: SparkSession, files: Mapping[str, str] | Sequence[str]) -> DataFrame:
     """sample, chr, read_start, read_end, hap, cnt, strand of all samples' files (plain, gz or block-gzip), blank lines left out.
 
     A block-gzip file is read by as many tasks as its size asks for.
     A line with fewer than six fields stops the job; fields that aren't numbers become null.
     """
-    parts = []
-    for sample, path in sample_paths(files).items():
-        f = _fields(read_lines(spark, path), 6).select(F.lit(sample).alias("sample"), "f")
-        parts.append(
-            f.select(
-                "sample", _trimmed(F.col("f")[0]).alias("chr"), _number(F.col("f")[1]).alias("read_start"), _number(F.col("f")[2]).alias("read_end"),
-                _trimmed(F.col("f")[3]).alias("hap"), _number(F.col("f")[4]).alias("cnt"), _trimmed(F.col("f")[5]).alias("strand"),
-            )
-        )
+    parts = [as_records(read_lines(spark, path).select(F.lit(sample).alias("sample"), "value")) for sample, path in sample_paths(files).items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
