@@ -1,14 +1,16 @@
 """Tokens of two tokenizers laid side by side: where they end together, which ids go together, and how often.
 
-Documents are dealt into blocks. In a block's task DuckDB holds the tokens of a few documents as interval tables on one axis of
-bytes: a join of the ends gives the cuts, window sums number the groups between them, ASOF joins find each token's group and
-document, and a range join within groups finds overlaps. A block's counts of id pairs are added up by Spark over all blocks and
-come back to the blocks that hold the pair.
+Documents are dealt into blocks. A text is cut before blanks behind which no token of either side reaches, and what lies between is
+a piece: most are words, which a block's documents repeat, and each different one is aligned once. DuckDB holds the tokens of many
+pieces as interval tables on one axis of bytes: a join of the ends gives the cuts, window sums number the groups between them, ASOF
+joins find each cut's piece and each token's group, and a range join within groups finds overlaps. A block's counts of id pairs are
+added up by Spark over all blocks and come back to the blocks that hold the pair.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import tempfile
@@ -25,12 +27,11 @@ from pyspark.sql import functions as F
 
 from hapdiff.llm.common import cut, deal, whole
 
-BLOCK_BYTES = 4 << 20
-#: Bytes of text whose tokens are in DuckDB at once, one document at least.
+BLOCK_BYTES = 8 << 20
+#: Bytes of pieces whose tokens are in DuckDB at once, one piece at least.
 SLICE_BYTES = 1 << 20
-#: Words whose ids a worker remembers, and how long they may be.
-REMEMBERED, LONGEST_REMEMBERED = 1 << 18, 64
-WORD, MISSING = re.compile(" +[^ ]*"), object()
+#: A blank behind white space, where a text isn't cut, and the places where it is.
+NO_CUT, CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 #: A pair is in as many rows as there are blocks with it: so many of them meet in a task of the join with its count.
 BLOCKS_EACH = 4096
 #: The byte-level scheme's way of cutting texts, and the bytes that stand for themselves in its alphabet.
@@ -59,57 +60,29 @@ class ByteLevel:
             self.sizes[i] = len(entry)
         self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, text: str) -> np.ndarray | None:
-        """The ids of a blank and text; they spell it whatever it is."""
-        return np.array(self.encoding.encode_ordinary(" " + text), np.int32)
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """The ids of a blank and each text; they spell it whatever it is. No token has a blank behind another sign than white space."""
+        return [self.encoding.encode_ordinary(" " + t) for t in texts]
 
 
 class Pieces:
-    """A SentencePiece model, which puts the blank before a text itself.
-
-    Where no piece has a blank behind another character, no piece goes over a word's end, so a text's ids are those of its words (each
-    with the blanks before it), which are remembered. Else texts are encoded whole.
-    """
+    """A SentencePiece model, which puts the blank before a text itself."""
 
     def __init__(self, file: bytes):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=file)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.spelled = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.sizes = np.array(list(map(len, self.spelled)), np.int64)
-        self.by_word = all("▁" not in p.lstrip("▁") for p in pieces)
-        self.known: dict[str, list[int] | None] = {}
-
-    def _encode(self, text: str) -> list[int] | None:
-        """The ids of a blank and text, or None where their bytes are others."""
-        own = self.model.encode(text)
-        return own if b"".join(map(self.spelled.__getitem__, own)) == (" " + text).encode() else None
-
-    def _word(self, word: str) -> list[int] | None:
-        """The ids of a word with the blanks before it, or of the blanks that end a text, which the model gives behind a word only."""
-        found = self._encode(word[1:]) if word.strip(" ") else self._encode("a" + word)
-        if found is not None and not word.strip(" "):
-            found = found[len(self.model.encode("a")) :]
-        if len(word) <= LONGEST_REMEMBERED:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = found
-        return found
-
-    def ids(self, text: str) -> np.ndarray | None:
-        """The ids of a text, or None where their bytes don't spell a blank and the text."""
-        if not self.by_word:
-            own = self._encode(text)
-            return None if own is None else np.array(own, np.int32)
-        out: list[int] = []
-        known = self.known
-        for word in WORD.findall(" " + text):
-            own = known.get(word, MISSING)
-            if own is MISSING:
-                own = self._word(word)
-            if own is None:
-                return None
-            out += own
-        return np.array(out, np.int32)
+        #: No piece has a blank behind another sign: ids of a text are those of its parts that begin with blanks.
+        self.cuts = all("▁" not in p.lstrip("▁") for p in pieces)
+
+    def ids(self, texts: list[str]) -> list[list[int] | None]:
+        """The ids of a blank and each text, None where their bytes are others. The model drops the blanks of a text of blanks alone,
+        but gives their ids behind a word."""
+        before = len(self.model.encode("a"))
+        own = self.model.encode([t if t.strip(" ") else f"a {t}" for t in texts], num_threads=1)
+        own = [ids if t.strip(" ") else ids[before:] for t, ids in zip(texts, own, strict=True)]
+        return [ids if b"".join(map(self.spelled.__getitem__, ids)) == (" " + t).encode() else None for t, ids in zip(texts, own, strict=True)]
 
 
 @functools.lru_cache(2)
@@ -117,20 +90,28 @@ def _vocabularies(first: bytes, second: bytes) -> tuple[ByteLevel, Pieces]:
     return ByteLevel(first), Pieces(second)
 
 
+def cut_text(text: str) -> list[str]:
+    """A text's pieces, each without the blank that it begins with (the first one's is put before the text)."""
+    if NO_CUT.search(text) or text.startswith(" "):
+        return [p[1:] for p in CUT.split(" " + text)]
+    return text.split(" ")
+
+
 class _Slice:
-    """The tokens of some documents in DuckDB: a and b (i, id, s, e) and d (k, e), on one axis of bytes."""
+    """The tokens of some pieces in DuckDB: a and b (i, id, s, e) and d (k, n, e), on one axis of bytes."""
 
-    def __init__(self, con: duckdb.DuckDBPyConnection, at: list[int], tokens: list[tuple[np.ndarray, np.ndarray]], sizes: list[int], first: ByteLevel, second: Pieces):
+    def __init__(self, con: duckdb.DuckDBPyConnection, at: np.ndarray, counts: np.ndarray, tokens: list[list[list[int]]], sides: tuple[ByteLevel, Pieces]):
         self.con, self.ids = con, []
-        for name, which, side in (("a", 0, first), ("b", 1, second)):
-            ids = np.concatenate([t[which] for t in tokens])
+        for name, own, side in zip("ab", tokens, sides, strict=True):
+            ids = np.fromiter(itertools.chain.from_iterable(own), np.int64)
             ends = np.cumsum(side.sizes[ids])
-            self.ids.append(ids.astype(np.int64))
+            self.ids.append(ids)
             con.register(name, pa.table({"i": np.arange(len(ids)), "id": ids, "s": ends - side.sizes[ids], "e": ends}))
-        con.register("d", pa.table({"k": np.array(at, np.int64), "e": np.cumsum(np.array(sizes, np.int64))}))
+        last = np.cumsum(np.fromiter(map(len, tokens[1]), np.int64)) - 1
+        con.register("d", pa.table({"k": at, "n": counts, "e": ends[last]}))
 
     def group(self) -> None:
-        """cut (e, g, k, last_a, last_b): the offsets where tokens of both sides end, numbered, with their document and last tokens."""
+        """cut (e, g, k, last_a, last_b): the offsets where tokens of both sides end, numbered, with their piece and last tokens."""
         self.con.execute("""
             create or replace temp table cut as
             select c.*, d.k from (select a.e, sum(1) over (order by a.e)::bigint as g, a.i as last_a, b.i as last_b
@@ -140,17 +121,17 @@ class _Slice:
     def pairs(self, link: str) -> pa.Table:
         if link == "overlaps":
             self.group()
-        return self.con.sql(f"select a::int as a, b::int as b, count(*) as n from ({LINKS[link]}) group by all").to_arrow_table()
+        return self.con.sql(f"select a::int as a, b::int as b, sum(d.n)::bigint as n from ({LINKS[link]}) l asof join d on l.e <= d.e group by all").to_arrow_table()
 
     def figures(self, link: str) -> pa.Table:
-        """k, n_groups, n_links, n_best, count_sum of each document; pair (a, b, total, best) holds the corpus's counts."""
+        """k, n_groups, n_links, n_best, count_sum of each piece; pair (a, b, total, best) holds the corpus's counts."""
         return self.con.sql(f"""
             with l as (select d.k, count(*) as n_links, count(p.total) as n_found, count(*) filter (p.best) as n_best, sum(p.total)::bigint as count_sum
                        from ({LINKS[link]}) l left join pair p using (a, b) asof join d on l.e <= d.e group by d.k)
             select k, n_groups, n_links, n_best, count_sum, n_found from (select k, count(*) as n_groups from cut group by k) g join l using (k)""").to_arrow_table()
 
     def texts(self) -> dict[int, str]:
-        """Each document's groups: ids of either side joined by commas, sides by a bar, groups by semicolons."""
+        """Each piece's groups: ids of either side joined by commas, sides by a bar, groups by semicolons."""
         cuts = self.con.execute("select k, last_a, last_b from cut order by g").fetchnumpy()
         doc, ends = np.asarray(cuts["k"]), [np.asarray(cuts[c]) + 1 for c in ("last_a", "last_b")]
         n_a, n_b = (np.diff(e, prepend=0) for e in ends)
@@ -176,22 +157,31 @@ def _spelled(most: int) -> list[str]:
     return [f"{i}{sign}" for i in range(most + 1) for sign in ";|,"]
 
 
-def _slices(texts: list, first: ByteLevel, second: Pieces) -> Iterator[tuple[list[int], list, list[int]]]:
-    """Places, tokens of both sides and sizes of the documents that have tokens, about SLICE_BYTES of text at a time."""
-    at, tokens, sizes, total = [], [], [], 0
-    for k, text in enumerate(texts):
-        b = second.ids(text) if text else None
-        if b is None:
-            continue
-        at.append(k)
-        tokens.append((first.ids(text), b))
-        sizes.append(int(second.sizes[b].sum()))
-        total += sizes[-1]
-        if total >= SLICE_BYTES:
-            yield at, tokens, sizes
-            at, tokens, sizes, total = [], [], [], 0
-    if at:
-        yield at, tokens, sizes
+class _Block:
+    """A block's documents as rows of numbers of different pieces: docs (None: no tokens), counts of the pieces, sizes in tokens."""
+
+    def __init__(self, texts: list[str], sides: tuple[ByteLevel, Pieces]):
+        self.sides, known = sides, {}
+        cut_ = cut_text if sides[1].cuts else lambda t: [t]
+        docs = [[known.setdefault(p, len(known)) for p in cut_(t)] if t else None for t in texts]
+        words = list(known)
+        self.tokens = [side.ids(words) for side in sides]
+        good = np.fromiter((b is not None for b in self.tokens[1]), bool, len(words))
+        docs = [None if d is None else np.array(d, np.int64) for d in docs]
+        self.docs = [d if d is not None and good[d].all() else None for d in docs]
+        self.counts = np.zeros(len(words), np.int64)
+        for d in self.docs:
+            if d is not None:
+                np.add.at(self.counts, d, 1)
+        self.sizes = [np.fromiter((0 if x is None else len(x) for x in own), np.int64, len(words)) for own in self.tokens]
+
+    def slices(self, con: duckdb.DuckDBPyConnection) -> Iterator[_Slice]:
+        """The pieces that documents have, about SLICE_BYTES at a time."""
+        used = np.flatnonzero(self.counts)
+        weight = self.sizes[1][used] * 4  # some four bytes a token
+        part = (np.cumsum(weight) - weight) // SLICE_BYTES
+        for at in np.split(used, np.flatnonzero(np.diff(part)) + 1) if len(used) else ():
+            yield _Slice(con, at, self.counts[at], [[own[k] for k in at] for own in self.tokens], self.sides)
 
 
 def _connect(spill: str) -> duckdb.DuckDBPyConnection:
@@ -206,8 +196,8 @@ def align(docs: DataFrame, first: bytes, second: bytes, link: str = "ends", id_c
     ranges end together (or, by link="overlaps", share a byte). A pair of ids counts as often as links of the corpus hold it; n_best
     links have the highest count of all pairs of their second id, ties included, and count_sum adds the counts up. Texts that are
     null or empty, or that the second vocabulary doesn't spell as they are, have no tokens: zeros, and groups is ''. Rows with equal
-    ids or texts are documents of their own, an empty table gives no rows, other columns aren't looked at. A document's tokens are
-    in memory at once.
+    ids or texts are documents of their own, an empty table gives no rows, other columns aren't looked at. A block's
+    texts, and the tokens of its different pieces, are in memory at once.
     """
     if link not in LINKS:
         raise ValueError(f"link is one of {', '.join(LINKS)}")
@@ -216,36 +206,37 @@ def align(docs: DataFrame, first: bytes, second: bytes, link: str = "ends", id_c
     own, n_blocks = deal(own, "text", BLOCK_BYTES)
 
     def census(table: pa.Table) -> pa.Table:
-        sides = _vocabularies(first, second)
+        block = _Block(table.column("text").to_pylist(), _vocabularies(first, second))
         with tempfile.TemporaryDirectory() as spill, _connect(spill) as con:
             con.execute("create temp table found (a int, b int, n bigint)")
-            for piece in _slices(table.column("text").to_pylist(), *sides):
-                con.register("own", _Slice(con, *piece, *sides).pairs(link))
+            for part in block.slices(con):
+                con.register("own", part.pairs(link))
                 con.execute("insert into found select * from own")
             got = con.sql("select a, b, sum(n)::bigint as n from found group by all").to_arrow_table()
         return got.add_column(0, "block", pa.array(np.full(got.num_rows, table.column("block")[0].as_py()), pa.int32()))
 
     def report(left: pa.Table, right: pa.Table) -> pa.Table:
-        sides = _vocabularies(first, second)
-        n = left.num_rows
-        counts = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")}
-        groups = [""] * n
+        block = _Block(left.column("text").to_pylist(), _vocabularies(first, second))
+        figures = dict(zip(("n_a", "n_b"), block.sizes, strict=True)) | {c: np.zeros(len(block.counts), np.int64) for c in ("n_groups", "n_links", "n_best", "count_sum")}
+        groups = [""] * len(block.counts)
         with tempfile.TemporaryDirectory() as spill, _connect(spill) as con:
             con.register("counts", right)
             con.execute("create temp table pair as select a, b, total, best from counts")
-            for at, tokens, sizes in _slices(left.column("text").to_pylist(), *sides):
-                part = _Slice(con, at, tokens, sizes, *sides)
+            for part in block.slices(con):
                 part.group()
                 got = part.figures(link)
                 if got.column("n_found") != got.column("n_links"):
                     raise ValueError("the documents are not those whose pairs were counted")
                 k = np.asarray(got.column("k"))
                 for c in ("n_groups", "n_links", "n_best", "count_sum"):
-                    counts[c][k] = np.asarray(got.column(c))
-                counts["n_a"][at], counts["n_b"][at] = [len(t[0]) for t in tokens], [len(t[1]) for t in tokens]
+                    figures[c][k] = np.asarray(got.column(c))
                 for where, text in part.texts().items():
                     groups[where] = text
-        return pa.table({"doc_id": left.column("doc_id")} | {c: pa.array(v) for c, v in counts.items()} | {"groups": pa.array(groups, pa.large_string()).cast(pa.string())})
+        none = np.zeros(0, np.int64)
+        docs = [none if d is None else d for d in block.docs]
+        columns = {c: pa.array([int(v[d].sum()) for d in docs], pa.int64()) for c, v in figures.items()}
+        texts = pa.array([";".join([groups[k] for k in d.tolist()]) for d in docs], pa.string())
+        return pa.table({"doc_id": left.column("doc_id")} | columns | {"groups": texts})
 
     by_block = own.groupBy("block")
     partial = cut(by_block.applyInArrow(census, "block int, a int, b int, n long"))
