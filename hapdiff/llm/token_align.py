@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from hapdiff.llm.common import cut, deal, whole
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of pieces whose tokens are in DuckDB at once, one piece at least.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: A blank behind white space, where a text isn't cut, and the places where it is.
 NO_CUT, CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 #: A pair is in as many rows as there are blocks with it: so many of them meet in a task of the join with its count.
@@ -185,7 +185,7 @@ class _Block:
 
 
 def _connect(spill: str) -> duckdb.DuckDBPyConnection:
-    return duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": spill, "preserve_insertion_order": False})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": spill, "preserve_insertion_order": False})
 
 
 def align(docs: DataFrame, first: bytes, second: bytes, link: str = "ends", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
