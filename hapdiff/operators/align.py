@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,10 +16,13 @@ BIN, WORD = 4096, 64
 WORDS = 2 * BIN // WORD
 #: Bins whose rows are made together: some 1.5 MB.
 RUN = 1024
+#: Positions in a part along which events are summed up in one task.
+EVENTS = 1 << 16
 #: The index is broadcast where its rows (8 bytes of bits and 4 of counts for each word) take this much at most; else reads are
 #: dealt by bin, once.
 BROADCAST_BYTES = 32 << 20
 BIN_BYTES = 12 * WORDS + 64
+POSITION_BYTES = 96
 
 
 def finite(c: Column) -> Column:
@@ -178,6 +181,10 @@ def map_reads(reads: DataFrame, cpg: DataFrame) -> DataFrame:
     return out.withColumn("state", F.instr("hap", "1") > 0)
 
 
+#: The counters of mapped reads.
+QC = ("total_records", "valid_records", "invalid_records", "invalid_haplotype_string", "missing_cpg_annotation", "cpg_length_mismatch")
+
+
 def qc_counters() -> list[Column]:
     """The counters of map_reads()'s rows; a bad string counts whatever else is wrong, the mapping flags only for otherwise valid records."""
     return [
@@ -187,6 +194,12 @@ def qc_counters() -> list[Column]:
     ]
 
 
+def observed(seen: Observation) -> dict[str, int]:
+    """What qc_counters() counted as the rows passed; nothing is reported of a plan that Spark knows to be empty, which has zeros."""
+    found = dict(seen._jo.getAsJava())
+    return {c: int(found.get(c, 0)) for c in QC}
+
+
 def read_qc(mapped: DataFrame) -> DataFrame:
     """One row of counters."""
     return mapped.agg(*qc_counters())
@@ -199,6 +212,12 @@ def distinct_spans(mapped: DataFrame) -> DataFrame:
     )
 
 
+def _with_position(loci: DataFrame, cpg: DataFrame, keys: list[str]) -> DataFrame:
+    """loci (with ci) and pos. The index is broadcast where its rows, counted first, take BROADCAST_BYTES at most."""
+    small = cpg.count() * POSITION_BYTES <= BROADCAST_BYTES
+    return loci.join(F.broadcast(cpg) if small else cpg, [*keys, "ci"])
+
+
 def locus_counts(mapped: DataFrame, cpg: DataFrame) -> DataFrame:
     """sample, chr, pos, t, s, m: a read counts at every position that it covers, in its whole-read state.
 
@@ -210,7 +229,7 @@ def locus_counts(mapped: DataFrame, cpg: DataFrame) -> DataFrame:
     )
     at = spans.select("sample", *keys, F.explode(F.sequence("ci_start", "ci_end")).alias("ci"), "t", "s")
     loci = at.groupBy("sample", *keys, "ci").agg(F.sum("t").alias("t"), F.sum("s").alias("s"))
-    return loci.join(cpg, [*keys, "ci"]).select("sample", "chr", "pos", "t", "s", (F.col("s") / F.col("t")).alias("m"))
+    return _with_position(loci, cpg, keys).select("sample", "chr", "pos", "t", "s", (F.col("s") / F.col("t")).alias("m"))
 
 
 def locus_counts_by_events(mapped: DataFrame, cpg: DataFrame) -> DataFrame:
@@ -219,13 +238,19 @@ def locus_counts_by_events(mapped: DataFrame, cpg: DataFrame) -> DataFrame:
     on = F.when(F.col("state"), F.col("cnt")).otherwise(0.0)
     event = lambda at, sign: F.struct(at.alias("ci"), (sign * F.col("cnt")).alias("dt"), (sign * on).alias("ds"))
     events = own.select("sample", *keys, F.explode(F.array(event(F.col("ci_start"), 1.0), event(F.col("ci_end") + 1, -1.0))).alias("e"))
-    events = events.groupBy("sample", *keys, "e.ci").agg(F.sum("e.dt").alias("dt"), F.sum("e.ds").alias("ds"))
-    w = W.partitionBy("sample", *keys).orderBy("ci")
-    steps = events.select(
-        "sample", *keys, F.lead("ci").over(w).alias("nxt"), "ci", F.sum("dt").over(w).alias("t"), F.sum("ds").over(w).alias("s")
+    of = ["sample", *keys]
+    events = events.groupBy(*of, "e.ci").agg(F.sum("e.dt").alias("dt"), F.sum("e.ds").alias("ds")).withColumn("part", F.floor(F.col("ci") / EVENTS))
+    # sums and the next event within a part; a row for each part carries them over its border
+    parts = events.groupBy(*of, "part").agg(F.sum("dt").alias("t0"), F.sum("ds").alias("s0"), F.min("ci").alias("begin"))
+    over = W.partitionBy(*of).orderBy("part")
+    before = lambda c: F.coalesce(F.sum(c).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias(c)
+    parts = parts.select(*of, "part", before("t0"), before("s0"), F.lead("begin").over(over).alias("begin"))
+    w = W.partitionBy(*of, "part").orderBy("ci")
+    steps = events.join(parts, [*of, "part"]).select(
+        *of, F.coalesce(F.lead("ci").over(w), "begin").alias("nxt"), "ci", (F.col("t0") + F.sum("dt").over(w)).alias("t"), (F.col("s0") + F.sum("ds").over(w)).alias("s")
     ).filter("nxt is not null and t > 0")
     at = steps.select("sample", *keys, F.explode(F.sequence("ci", F.col("nxt") - 1)).alias("ci"), "t", "s")
-    return at.join(cpg, [*keys, "ci"]).select("sample", "chr", "pos", "t", "s", (F.col("s") / F.col("t")).alias("m"))
+    return _with_position(at, cpg, keys).select("sample", "chr", "pos", "t", "s", (F.col("s") / F.col("t")).alias("m"))
 
 
 def dense(loci: DataFrame, samples: list[str]) -> DataFrame:

@@ -2,33 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hapdiff.operators.align import annotation_of, count_at_most
+from hapdiff.operators.names import fresh
+
+#: Spans meet in bins of a tree: a leaf has BIN bases and each level above it 2 ** STEP times as many. A span's level is the lowest
+#: whose bins are as long as it is, so it lies in two bins of that level at most.
+BIN, STEP, TOP = 1 << 14, 3, 7
+#: Spans of the left side in one bin are dealt over so many tasks, each of which has the right side's.
+SALTS = 4
+
+
+def _size(level: int) -> int:
+    return BIN << STEP * level
+
 
-#: Intervals meet in bins of this many bases; a pair counts in the bin where its overlap begins.
-BIN = 1 << 14
+def _level(a: str, b: str) -> Column:
+    length = F.col(b) - F.col(a) + 1
+    return functools.reduce(lambda other, k: F.when(length <= _size(k), k).otherwise(other), range(TOP - 1, -1, -1), F.lit(TOP))
 
 
-def _bin(c):
-    return F.floor(c / BIN).cast("long")
+def _bins(a: str, b: str, level: int, kind: int) -> Column:
+    """The bins of a level that a span lies in, as struct(kind, level, bin)."""
+    at = F.sequence(F.floor(F.col(a) / _size(level)).cast("long"), F.floor(F.col(b) / _size(level)).cast("long"))
+    return F.transform(at, lambda k: F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level"), k.alias("bin")))
 
 
-def overlaps(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
-    """Pairs of rows of one chr whose closed spans share a base, each pair once. The other columns' names must differ."""
+def _slots(df: DataFrame, a: str, b: str, levels: Sequence[int], kind: int, wanted: Callable[[Column, int], Column]) -> Column:
+    """The bins of those levels for which wanted(the span's level, level) holds."""
+    none = F.array().cast("array<struct<kind:int,level:int,bin:bigint>>")
+    parts = [F.when(wanted(_level(a, b), k), _bins(a, b, k, kind)).otherwise(none) for k in levels]
+    return F.concat(none, *parts)
+
+
+def overlaps(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], salts: int = SALTS) -> DataFrame:
+    """Pairs of rows of one chr whose closed spans share a base, each pair once. The other columns' names must differ.
+
+    A pair meets on the level of its longer span, in the bin in which what both share begins. The left side, the larger one, goes to
+    the levels that spans of the right side have, which are looked up first, and where it is longer to its own; the right side to its
+    own level and, for longer spans of the left side, to all above it. So a span is in a few bins however long it is. salts: how many
+    tasks share a bin's rows of the left side.
+    """
     (a, b), (c, d) = left_span, right_span
-    one = left.withColumn("_bin", F.explode(F.sequence(_bin(F.col(a)), _bin(F.col(b)))))
-    two = right.withColumn("_bin", F.explode(F.sequence(_bin(F.col(c)), _bin(F.col(d)))))
-    pairs = one.join(two, ["chr", "_bin"]).filter((F.col(a) <= F.col(d)) & (F.col(b) >= F.col(c)))
-    return pairs.filter(F.col("_bin") == _bin(F.greatest(F.col(a), F.col(c)))).drop("_bin")
+    slot, salt = fresh(left, "tree_slot"), fresh(left, "tree_salt")
+    levels = sorted(r[0] for r in right.select(_level(c, d)).distinct().collect())  # one for each level of the tree
+    own = [_slots(left, a, b, levels, 1, lambda mine, k: mine <= k), _slots(left, a, b, range(1, TOP + 1), 2, lambda mine, k: mine == k)]
+    one = left.withColumn(salt, F.pmod(F.xxhash64(a, b, F.monotonically_increasing_id()), F.lit(salts))).withColumn(slot, F.explode(F.concat(*own)))
+    own = [_slots(right, c, d, levels, 1, lambda mine, k: mine == k), _slots(right, c, d, range(1, TOP + 1), 2, lambda mine, k: mine < k)]
+    two = right.withColumn(slot, F.explode(F.concat(*own))).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    pairs = one.join(two, ["chr", slot, salt]).filter((F.col(a) <= F.col(d)) & (F.col(b) >= F.col(c)))
+    size = functools.reduce(lambda other, k: F.when(F.col(f"{slot}.level") == k, _size(k)).otherwise(other), range(TOP), F.lit(_size(TOP)))
+    return pairs.filter(F.col(f"{slot}.bin") == F.floor(F.greatest(F.col(a), F.col(c)) / size)).drop(slot, salt)
 
 
 def region_sums(loci: DataFrame, regions: DataFrame) -> DataFrame:
     """perm_id, region_id, sample, s, t: sums over all loci in each region (perm_id, region_id, chr, start, end)."""
-    own = regions.select("perm_id", "region_id", "chr", "start", "end").withColumn("_bin", F.explode(F.sequence(_bin(F.col("start")), _bin(F.col("end")))))
-    at = loci.withColumn("_bin", _bin(F.col("pos"))).join(own, ["chr", "_bin"]).filter(F.col("pos").between(F.col("start"), F.col("end")))
+    own = regions.select("perm_id", "region_id", "chr", "start", "end")
+    at = overlaps(loci.select("sample", "chr", "pos", "s", "t"), own, ("pos", "pos"), ("start", "end"))
     return at.groupBy("perm_id", "region_id", "sample").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
 
 

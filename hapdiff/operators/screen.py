@@ -74,8 +74,7 @@ def locus_statistics(kept: DataFrame, plan: DataFrame, parameters: DataFrame) ->
         ]
 
     df = df.select("*", *of(1, "a"), *of(2, "b"), coverage_mean().alias("cov_mean"), F.size("t").alias("_n"))
-    n1 = F.aggregate("grp", F.lit(0), lambda a, g: a + (g == 1).cast("int"))
-    n2 = F.col("_n") - n1
+    n1, n2 = F.col("n_covered_group1"), F.col("n_covered_group2")  # a single covered sample has no spread of its own
     m1, m2 = F.col("_mad1"), F.col("_mad2")
     df = df.withColumn("mad_group1", F.when((n1 == 1) & (n2 == 1), 1.0).when((n1 == 1) & (n2 >= 2), m2).otherwise(m1))
     df = df.withColumn("mad_group2", F.when((n1 == 1) & (n2 == 1), 1.0).when((n2 == 1) & (n1 >= 2), m1).otherwise(m2))

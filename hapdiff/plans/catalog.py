@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hapdiff.functions.permutations import plan as permutation_plan_of
 from hapdiff.operators import align, calibrate, model, regions, screen, segment, smooth
-from hapdiff.operators.storage import cut
+from hapdiff.operators.storage import checkpoint_folder, cut, remove
 from hapdiff.plans import differential, oracle
 from hapdiff.plans.fixture import GROUPS, SAMPLES, tables
+from hapdiff.sources import cache
+from hapdiff.streaming import ingest
 
 SETTINGS = differential.Settings()
 LABELLINGS = oracle.LABELLINGS
@@ -345,9 +350,25 @@ def wald_pvalue(spark: SparkSession, d: str) -> DataFrame:
     return own.select("region_id", _r("statistic"), _r("p_value", 9), _r("phi"))
 
 
-@_query("permutation_plan", "select * from (values " + ", ".join(f"({k}, '{''.join(map(str, own))}')" for k, own in enumerate(LABELLINGS)) + ") x(perm_id, labels)")
+@_query(
+    "permutation_plan",
+    """with m as (select r_name as sample, avg(c_acctbal) as b from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey group by r_name),
+    g as (select row_number() over (order by sample) - 1 as k, (row_number() over (order by b, sample) <= 2)::int as small from m),
+    o as (select sum(small * (1 << k)::int) as mask, count(*) as n from g),
+    l as (select i as mask, bit_count(i & o.mask::bigint) as own, n from (select unnest(range(32)) as i), o where bit_count(i) = 2),
+    t as (select array_to_string(list_transform(range(n), lambda k: case when mask & (1 << k)::int <> 0 then '1' else '2' end), '') as labels, own from l)
+    select labels, own = 2 as observed, (select count(*) from t where own = 1) as available from t where own >= 1""",
+)
 def permutation_plan(spark: SparkSession, d: str) -> DataFrame:
-    return differential.plan_frame(spark, LABELLINGS).select("perm_id", F.array_join(F.transform("grp", lambda g: g.cast("string")), "").alias("labels"))
+    """All labellings of the regions' customers, observed with the two poorest regions as one group: those whose smaller group mixes both."""
+    customer, nation, region = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "nation", "region"))
+    means = customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey")).join(region, F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_name").agg(F.avg("c_acctbal").alias("b"))
+    poorest = {r.r_name for r in means.orderBy("b", "r_name").limit(2).collect()}
+    names = sorted(r.r_name for r in means.collect())  # a row for each sample, as in any design
+    observed = [1 if n in poorest else 2 for n in names]
+    drawn, available = permutation_plan_of(observed, 100)
+    spelled = F.array_join(F.transform("grp", lambda g: g.cast("string")), "").alias("labels")
+    return differential.plan_frame(spark, [observed, *drawn]).select(spelled, (F.col("perm_id") == 0).alias("observed"), F.lit(available).cast("long").alias("available"))
 
 
 @_query("null_pool", oracle.sql("fits", f"select perm_id, region_id, {_rs('wald')} from fits where perm_id > 0"))
@@ -393,8 +414,11 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
     oracle.sql("called", f'select chr, start, "end", direction, n_loci, n_smoothed, {_rs("max_abs_smooth", "mean_smooth")}, round(wald, 6)+0.0 as wald_statistic, round(p, 9)+0.0 as empirical_p_value, round(fdr, 9)+0.0 as fdr, null_pool_size from called'),
 )
 def diff_regions(spark: SparkSession, d: str) -> DataFrame:
-    own = _results(spark, d)
-    return own.select(
+    return _rounded(_results(spark, d))
+
+
+def _rounded(results: DataFrame) -> DataFrame:
+    return results.select(
         "chr", "start", "end", "direction", "n_loci", "n_smoothed", _r("max_abs_smooth"), _r("mean_smooth"), _r("wald_statistic"), _r("empirical_p_value", 9), _r("fdr", 9), "null_pool_size"
     )
 
@@ -427,3 +451,50 @@ def best_hit(spark: SparkSession, d: str) -> DataFrame:
 def confusion(spark: SparkSession, d: str) -> DataFrame:
     call = F.when(F.col("fdr") > 0.05, "NC").when(F.col("direction") == "-", "Hyper").otherwise("Hypo")
     return regions.confusion(regions.best_hit(_hits(spark, d)).withColumn("call", call))
+
+
+# ---- from a cache of mapped reads, and in batches
+
+
+def _from_cache(spark: SparkSession, d: str, of: Callable[[cache.ReadCache], DataFrame]) -> DataFrame:
+    """What `of` makes of a cache of all reads, which is removed again."""
+    reads, cpg = tables(spark, d)
+    kept = cache.write(f"{checkpoint_folder(spark)}/cache-{uuid.uuid4().hex}", reads, cpg.select("chr", "pos"), buckets=8)
+    try:
+        return cut(of(kept))
+    finally:
+        cache.remove(spark, kept.path)
+
+
+@_query("locus_counts_cached", _LOCI)
+def locus_counts_cached(spark: SparkSession, d: str) -> DataFrame:
+    return _from_cache(spark, d, lambda kept: kept.locus_counts().select("sample", "chr", "pos", "t", "s", _r("m")))
+
+
+@_query("region_nsq_cached", ORACLE_SQL["region_nsq"])
+def region_nsq_cached(spark: SparkSession, d: str) -> DataFrame:
+    def of(kept: cache.ReadCache) -> DataFrame:
+        found = cut(differential.find_regions(cut(align.dense(kept.locus_counts(), SAMPLES)), GROUPS, [GROUPS], SETTINGS))
+        return regions.region_squares(kept.region_reads(found)).select("region_id", "sample", "nsq")
+
+    return _from_cache(spark, d, of)
+
+
+@_query("diff_regions_cached", ORACLE_SQL["diff_regions"])
+def diff_regions_cached(spark: SparkSession, d: str) -> DataFrame:
+    design = pd.DataFrame({"group": ["ab"[g - 1] for g in GROUPS]})
+    return _from_cache(spark, d, lambda kept: _rounded(differential.from_cache(kept, SAMPLES, design, "~ group", "groupb", permutations=len(LABELLINGS) - 1)[0]))
+
+
+@_query("locus_counts_stream", _LOCI)
+def locus_counts_stream(spark: SparkSession, d: str) -> DataFrame:
+    """All reads in batches of two files, added to a store; the store's sums."""
+    reads, cpg = tables(spark, d)
+    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    try:
+        reads.repartition(8).write.parquet(f"{base}/reads")
+        stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/reads")
+        ingest.ingest(stream, cpg.select("chr", "pos"), f"{base}/store", once=True).awaitTermination()
+        return cut(ingest.locus_counts(spark, f"{base}/store").select("sample", "chr", "pos", "t", "s", _r("m")))
+    finally:
+        remove(spark, base)

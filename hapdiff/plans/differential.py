@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hapdiff.functions import design as designs
 from hapdiff.functions.permutations import plan as permutation_plan
 from hapdiff.operators import align, calibrate, model, regions, screen, segment, smooth
-from hapdiff.operators.storage import cut
+from hapdiff.operators.storage import cut, scratch
 from hapdiff.sources import cache, records
 
 
@@ -75,7 +75,7 @@ class MappedReads:
         self.spark, self.cpg, seen = reads.sparkSession, cut(align.position_index(positions)), Observation()
         # counted as they are written: no other pass over the reads
         self.reads = cut(align.map_reads(reads, self.cpg).observe(seen, *align.qc_counters()))
-        counters = seen.get
+        counters = align.observed(seen)
         self.qc = self.spark.createDataFrame([tuple(counters.values())], ", ".join(f"{c} long" for c in counters))
 
     def locus_counts(self) -> DataFrame:
@@ -100,7 +100,8 @@ def find_candidates(
     read is touched."""
     settings = settings or Settings()
     codes, _ = designs.group_codes(groups, samples, levels)
-    return _candidates(MappedReads(reads, positions), samples, codes, settings, annotation_files)
+    with scratch(reads.sparkSession) as keep:
+        return tuple(map(keep, _candidates(MappedReads(reads, positions), samples, codes, settings, annotation_files)))
 
 
 def candidates_from_cache(
@@ -109,7 +110,8 @@ def candidates_from_cache(
 ) -> tuple[DataFrame, DataFrame]:
     """find_candidates() of reads that are in a cache."""
     codes, _ = designs.group_codes(groups, samples, levels)
-    return _candidates(kept, samples, codes, settings or Settings(), annotation_files)
+    with scratch(kept.spark) as keep:
+        return tuple(map(keep, _candidates(kept, samples, codes, settings or Settings(), annotation_files)))
 
 
 def _candidates(source: MappedReads | cache.ReadCache, samples: Sequence[str], codes: list[int], settings: Settings, annotation_files: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -128,10 +130,12 @@ def differential_regions(
 
     Permuted labellings are rows like the observed one: perm_id is a column from the locus statistics on. Where the coefficient is
     the difference of two groups without anything else, regions are fitted in closed form, others by region with numpy. Labellings
-    whose design is rank deficient, and those with a failed fit, give no null statistics.
+    whose design is rank deficient, and those with a failed fit, give no null statistics. What the analysis keeps on its way is
+    deleted at its end, also when it fails; the two results stay.
     """
     plan = _planned(samples, design, formula, coef, permutations, seed)
-    return _differential(MappedReads(reads, positions), plan, settings or Settings(), annotation_files)
+    with scratch(reads.sparkSession) as keep:
+        return tuple(map(keep, _differential(MappedReads(reads, positions), plan, settings or Settings(), annotation_files)))
 
 
 def from_cache(
@@ -139,7 +143,9 @@ def from_cache(
     permutations: int = 10, settings: Settings | None = None, seed: int = 0, annotation_files: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """differential_regions() of reads that are in a cache: nothing is mapped, and only zones with a region are opened for its reads."""
-    return _differential(kept, _planned(samples, design, formula, coef, permutations, seed), settings or Settings(), annotation_files)
+    plan = _planned(samples, design, formula, coef, permutations, seed)
+    with scratch(kept.spark) as keep:
+        return tuple(map(keep, _differential(kept, plan, settings or Settings(), annotation_files)))
 
 
 @dataclass(frozen=True)

@@ -57,18 +57,21 @@ select (select quantile_cont(cov_mean, 0.75) from kept) as cov_q75,
        (select avg(d) from (select 30.0*(max(pos)-min(pos)+1)/count(*) as d from kept group by chr)) as density_span""",
     "labels": f"select * from (values {_LABELS}) x(perm_id, sample, g)",
     "rates": """
-select perm_id, chr, pos, k.cov_mean as cov_mean, sum(s) filter (g=1)/nullif(sum(t) filter (g=1), 0) as group1_pooled,
-       sum(s) filter (g=2)/nullif(sum(t) filter (g=2), 0) as group2_pooled,
-       1.4826*mad(s/t) filter (g=1 and t>0) as mad_group1, 1.4826*mad(s/t) filter (g=2 and t>0) as mad_group2,
-       count(*) filter (g=1 and t>0) as n_covered_group1, count(*) filter (g=2 and t>0) as n_covered_group2
-from loci join kept k using (chr, pos) join labels using (sample) group by perm_id, chr, pos, k.cov_mean""",
+select * exclude (m1, m2), case when n_covered_group1=1 and n_covered_group2=1 then 1 when n_covered_group1=1 and n_covered_group2>=2 then m2 else m1 end as mad_group1,
+       case when n_covered_group1=1 and n_covered_group2=1 then 1 when n_covered_group2=1 and n_covered_group1>=2 then m1 else m2 end as mad_group2
+from (select perm_id, chr, pos, k.cov_mean as cov_mean, sum(s) filter (g=1)/nullif(sum(t) filter (g=1), 0) as group1_pooled,
+             sum(s) filter (g=2)/nullif(sum(t) filter (g=2), 0) as group2_pooled,
+             1.4826*mad(s/t) filter (g=1 and t>0) as m1, 1.4826*mad(s/t) filter (g=2 and t>0) as m2,
+             count(*) filter (g=1 and t>0) as n_covered_group1, count(*) filter (g=2 and t>0) as n_covered_group2
+      from loci join kept k using (chr, pos) join labels using (sample) group by perm_id, chr, pos, k.cov_mean)""",
     "spread": """
-select *, group1_pooled - group2_pooled as beta, greatest(1.4826*sqrt(mad_group1*mad_group1 + mad_group2*mad_group2), 1e-5) as sd_raw from rates""",
+select *, group1_pooled - group2_pooled as beta,
+       case when mad_group1 is not null and mad_group2 is not null then greatest(1.4826*sqrt(mad_group1*mad_group1 + mad_group2*mad_group2), 1e-5) end as sd_raw from rates""",
     "blocked": """
 select chr, pos, sum(new) over (partition by chr order by pos) as block from (
   select chr, pos, case when pos - lag(pos) over (partition by chr order by pos) <= 2500 then 0 else 1 end as new from kept)""",
     "stats": """
-select s.*, block, density_span, least(cov_mean, cov_q75)/greatest(sd_raw, 1/greatest(cov_mean, 5)) as weight, beta/(sd_raw*2/sqrt(6)) as beta_raw_std
+select s.*, block, density_span, case when sd_raw is not null then least(cov_mean, cov_q75)/greatest(sd_raw, 1/greatest(cov_mean, 5)) end as weight, beta/(sd_raw*2/sqrt(6)) as beta_raw_std
 from spread s join blocked using (chr, pos), parameters""",
     "bands": """
 select perm_id, chr, block, count(*) as n, count(beta) as n_fit, count(*) < 5 or count(beta) < 5 as is_short,

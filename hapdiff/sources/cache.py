@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from hapdiff.operators import align
+from hapdiff.operators import align, storage
 from hapdiff.operators.regions import BIN, region_pairs
 from hapdiff.operators.storage import cut
 
@@ -120,7 +120,7 @@ def write(path: str, reads: DataFrame, positions: DataFrame, buckets: int = BUCK
         dealt = df.repartition(buckets, *keys)  # each bucket's rows in one task: one file for each bucket and zone
         out = dealt.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{path}/{part}")
         (out.partitionBy(*zones) if zones else out).saveAsTable(_name(path, part))
-    counters = seen.get
+    counters = align.observed(seen)
     spark.createDataFrame([(buckets, *counters.values())], ", ".join(["buckets int", *[f"{c} long" for c in counters]])).coalesce(1).write.parquet(f"{path}/about")
     return _opened(spark, path, spark.read.parquet(f"{path}/about"))
 
@@ -153,5 +153,4 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a cache and forgets its tables."""
     for part in ("cells", "reads"):
         spark.sql(f"drop table if exists {_name(path, part)}")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    storage.remove(spark, path)

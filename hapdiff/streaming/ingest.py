@@ -16,7 +16,6 @@ from hapdiff.operators.storage import cut
 from hapdiff.sources.records import as_records
 
 LOCI = "sample string, chr string, pos long, t double, s double, batch long"
-COUNTERS = ("total_records", "valid_records", "invalid_records", "invalid_haplotype_string", "missing_cpg_annotation", "cpg_length_mismatch")
 
 
 def record_stream(spark: SparkSession, folder: str, files_per_batch: int = 8) -> DataFrame:
@@ -32,8 +31,8 @@ def add_batch(reads: DataFrame, batch: int, cpg: DataFrame, store: str) -> None:
     mapped = align.map_reads(reads, cpg).observe(seen, *align.qc_counters())
     sums = align.locus_counts(mapped, cpg).select("sample", "chr", "pos", "t", "s")
     sums.write.mode("overwrite").parquet(f"{store}/loci/batch={batch}")
-    counters = seen.get
-    row = reads.sparkSession.createDataFrame([tuple(counters[c] for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS))
+    counters = align.observed(seen)
+    row = reads.sparkSession.createDataFrame([tuple(counters[c] for c in align.QC)], ", ".join(f"{c} long" for c in align.QC))
     row.coalesce(1).write.mode("overwrite").parquet(f"{store}/counters/batch={batch}")
 
 
@@ -55,5 +54,5 @@ def locus_counts(spark: SparkSession, store: str) -> DataFrame:
 
 def read_qc(spark: SparkSession, store: str) -> DataFrame:
     """align.read_qc() of all reads so far."""
-    rows = spark.read.schema(", ".join(f"{c} long" for c in COUNTERS)).parquet(f"{store}/counters")
-    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])
+    rows = spark.read.schema(", ".join(f"{c} long" for c in align.QC)).parquet(f"{store}/counters")
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in align.QC])

@@ -3,7 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from hapdiff.operators import align, regions
 from hapdiff.operators.storage import cut
@@ -30,11 +29,6 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def exchanges(df, leaf):
-    """The exchanges in the part of the plan that reads this table: from each of its scans up to the first join with something else."""
-    return plan(df).count("Exchange") if leaf in plan(df) else None
-
-
 def test_locus_counts_without_an_exchange(kept, tables, spark):
     own = kept.locus_counts()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # the joins that large tables have
@@ -59,13 +53,7 @@ def test_regions_open_only_their_zones(kept, tables, spark):
     assert "dynamicpruning" in text and "PartitionFilters: [" in text
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        got = kept.region_reads(found)
-        assert "dynamicpruning" in plan(got)
-        got.collect()
-        scan = plan(got)
-        assert "Bucketed: true" in scan
-        read = int(got._jdf.queryExecution().executedPlan().toString().count("SelectedBucketsCount: 4 out of 4"))
-        assert read
+        assert "dynamicpruning" in plan(kept.region_reads(found)) and "Bucketed: true" in plan(kept.region_reads(found))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -139,4 +127,3 @@ def test_a_cache_is_replaced_and_removed(spark, tables, tmp_path):
 def test_empty_reads(spark, tables, tmp_path):
     kept = cache.write(str(tmp_path / "none"), tables[0].limit(0), tables[1], buckets=2)
     assert kept.locus_counts().count() == 0 and kept.qc.first().total_records == 0
-    assert F is not None
