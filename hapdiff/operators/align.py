@@ -26,7 +26,8 @@ POSITION_BYTES = 96
 
 
 def finite(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    """Null where c is; NaN is above all numbers."""
+    return F.abs(c) < float("inf")
 
 
 def annotation_of(df: DataFrame) -> list[str]:
@@ -123,22 +124,26 @@ def _bins(cpg: DataFrame) -> DataFrame:
 
 
 def _inside(x: Column) -> Column:
-    """How many positions are at most x, by the row of a bin that holds x in its first or second half."""
-    at = F.floor(x) - F.col("index_bin") * BIN
-    low = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (WORD - 1 - at % WORD).cast("int"))
-    word = F.floor(at / WORD).cast("int")
+    """How many positions are at most x, a whole number, by the row of a bin that holds x in its first or second half.
+
+    Shifts and masks only: what Spark generates for a stage has to stay small enough for the JVM to compile it.
+    """
+    at = x - F.col("index_bin") * BIN
+    low = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (WORD - 1 - at.bitwiseAND(F.lit(WORD - 1))).cast("int"))
+    word = F.shiftright(at, WORD.bit_length() - 1).cast("int")
     return F.col("index_before") + F.get("index_upto", word) + F.bit_count(F.get("index_mask", word).bitwiseAND(low))
 
 
-def _beyond(x: Column) -> Column:
-    return F.when(_bin(x) > F.col("index_last"), F.col("index_all")).otherwise(F.lit(0))
+def _bin_of(x: Column) -> Column:
+    return F.shiftright(x, BIN.bit_length() - 1)
 
 
 def _looked_up(df: DataFrame, side: DataFrame, first: str, names: dict[str, str]) -> DataFrame:
     """df with a count for each name of the column that it is given, all of them within two bins from the bin of `first`."""
     kept = [c for c in df.columns if c not in names]
-    out = df.join(side, (F.col("ends_key") == F.col("index_key")) & (_bin(F.col(first)) == F.col("index_bin")), "left")
-    counts = F.struct(*[F.coalesce(_inside(F.col(x)), _beyond(F.col(x)), F.lit(0)).cast("int").alias(name) for name, x in names.items()])
+    out = df.join(side, (F.col("ends_key") == F.col("index_key")) & (_bin_of(F.col(first)) == F.col("index_bin")), "left")
+    beyond = lambda x: F.when(_bin_of(F.col(x)) > F.col("index_last"), F.col("index_all")).otherwise(F.lit(0))
+    counts = F.struct(*[F.coalesce(_inside(F.col(x)), beyond(x), F.lit(0)).cast("int").alias(name) for name, x in names.items()])
     # behind a generator no later filter makes Spark look up anew
     return out.select(*kept, F.explode(F.array(counts)).alias("index_found")).select(*kept, "index_found.*")
 
@@ -153,15 +158,15 @@ def count_at_most(df: DataFrame, cpg: DataFrame, **wanted: Column) -> DataFrame:
     bins = cpg.groupBy(_key(cpg)).agg((_bin(F.max("pos")) - _bin(F.min("pos")) + 2).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     side, small = _bins(cpg), bins * BIN_BYTES <= BROADCAST_BYTES
     values = {name: fresh(df, f"value_of_{name}") for name in wanted}
-    out = df.withColumns({values[name]: value for name, value in wanted.items()}).withColumn("reads_key", _key(df if annotation_of(cpg) else df.select("chr")))
+    out = df.withColumns({values[name]: F.floor(value.cast("double")) for name, value in wanted.items()}).withColumn("reads_key", _key(df if annotation_of(cpg) else df.select("chr")))
     out = out.join(F.broadcast(_ends(cpg)), F.col("reads_key") == F.col("ends_key"), "left")
     first, *others = values.values()
     if small or not others:
         for name, x in values.items():
             out = _looked_up(out, F.broadcast(side) if small else side, x, {name: x})
     else:
-        reach = F.array_max(F.array(*[_bin(F.col(x)) for x in others])) - _bin(F.col(first))
-        near = F.coalesce(reach.between(0, 1) & _bin(F.col(first)).between(F.col("index_first") - 1, F.col("index_last")), F.lit(False))
+        reach = F.array_max(F.array(*[_bin_of(F.col(x)) for x in others])) - _bin_of(F.col(first))
+        near = F.coalesce(reach.between(0, 1) & _bin_of(F.col(first)).between(F.col("index_first") - 1, F.col("index_last")), F.lit(False))
         far = out.filter(~near)
         for name, x in values.items():
             far = _looked_up(far, side, x, {name: x})

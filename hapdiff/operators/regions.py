@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hapdiff.operators.align import annotation_of, count_at_most
 from hapdiff.operators.names import fresh
+from hapdiff.operators.storage import cut
 
 #: Spans meet in bins of a tree: a leaf has BIN bases and each level above it 2 ** STEP times as many. A span's level is the lowest
 #: whose bins are as long as it is, so it lies in two bins of that level at most.
@@ -83,7 +84,7 @@ def region_reads(mapped: DataFrame, regions: DataFrame, cpg: DataFrame) -> DataF
     """Valid reads and regions that overlap, with n, the positions of the reads' index that they share."""
     which = annotation_of(cpg)
     spans = mapped.filter("mapping_valid").groupBy("sample", *which, "chr", "read_start", "read_end", "ci_start", "ci_end", "hap", "strand", "state").agg(F.sum("cnt").alias("cnt"))
-    own = region_pairs(regions, cpg)
+    own = cut(region_pairs(regions, cpg))
     pairs = overlaps(spans, own, ("read_start", "read_end"), ("start", "end"))
     for c in which:
         pairs = pairs.filter(F.col(c) == F.col(f"r_{c}")).drop(c, f"r_{c}")

@@ -47,8 +47,15 @@ def _mapped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return align.map_reads(reads, cpg), cpg
 
 
+def _kept_reads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Mapped reads and positions, kept as an analysis keeps them."""
+    reads, cpg = tables(spark, d)
+    cpg = cut(cpg)
+    return cut(align.map_reads(reads, cpg)), cpg
+
+
 def _loci(spark: SparkSession, d: str) -> DataFrame:
-    return align.locus_counts(*_mapped(spark, d))
+    return align.locus_counts(*_kept_reads(spark, d))
 
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
@@ -78,15 +85,13 @@ def _found(spark: SparkSession, d: str, labellings: list | None = None) -> DataF
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    mapped, cpg = _mapped(spark, d)
-    mapped, cpg = cut(mapped), cut(cpg)
+    mapped, cpg = _kept_reads(spark, d)
     wide = cut(align.dense(align.locus_counts(mapped, cpg), SAMPLES))
     return regions.region_reads(mapped, cut(differential.find_regions(wide, GROUPS, [GROUPS], SETTINGS)), cpg)
 
 
 def _matrices(spark: SparkSession, d: str, labellings: list | None = None) -> DataFrame:
-    mapped, cpg = _mapped(spark, d)
-    mapped, cpg = cut(mapped), cut(cpg)
+    mapped, cpg = _kept_reads(spark, d)
     loci = cut(align.locus_counts(mapped, cpg))
     found = cut(differential.find_regions(cut(align.dense(loci, SAMPLES)), GROUPS, labellings or [GROUPS], SETTINGS))
     own = regions.region_matrices(loci, mapped, found, cpg)
@@ -166,7 +171,7 @@ def locus_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("locus_counts_events", _LOCI)
 def locus_counts_events(spark: SparkSession, d: str) -> DataFrame:
-    return align.locus_counts_by_events(*_mapped(spark, d)).select("sample", "chr", "pos", "t", "s", _r("m"))
+    return align.locus_counts_by_events(*_kept_reads(spark, d)).select("sample", "chr", "pos", "t", "s", _r("m"))
 
 
 @_query(
@@ -402,8 +407,7 @@ def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    mapped, cpg = _mapped(spark, d)
-    mapped, cpg = cut(mapped), cut(cpg)
+    mapped, cpg = _kept_reads(spark, d)
     loci = cut(align.locus_counts(mapped, cpg))
     found = cut(differential.find_regions(cut(align.dense(loci, SAMPLES)), GROUPS, LABELLINGS, SETTINGS))
     return differential.test_regions(spark, found, loci, mapped, cpg, SAMPLES, LABELLINGS)

@@ -94,7 +94,7 @@ class ReadCache:
     def region_reads(self, regions: DataFrame) -> DataFrame:
         """regions.region_reads() of the cached reads. Zones without a region are not opened: their names, at most one for each
         partition of the cache, are known before the reads are looked at."""
-        own = region_pairs(regions, self.cpg)
+        own = cut(region_pairs(regions, self.cpg))
         own = own.withColumn("bin", F.explode(F.sequence(_bin(F.col("start")), _bin(F.col("end")))))
         zones = own.filter(F.col("start") <= F.col("end")).select(_zone(F.col("bin")).alias("zone")).distinct()
         near = self.reads.join(F.broadcast(zones), "zone", "left_semi")
