@@ -242,7 +242,7 @@ def locus_blocks(spark: SparkSession, d: str) -> DataFrame:
     return smooth.blocks(cut(_kept(spark, d).select("chr", "pos")), SETTINGS.max_gap_smooth).select("chr", "pos", F.col("block").cast("long").alias("block"))
 
 
-@_query("block_bandwidth", oracle.sql("bands", f"select chr, block::bigint as block, n, n_fit, is_short, {_rs('nn')} from bands where perm_id = 0"))
+@_query("block_bandwidth", oracle.sql("bands", f"select chr, block::bigint as block, n, n_fit, is_short, case when not is_short then round(nn, 6)+0.0 end as nn from bands where perm_id = 0"))
 def block_bandwidth(spark: SparkSession, d: str) -> DataFrame:
     own = smooth.bandwidths(_stats(spark, d), SETTINGS.min_in_span, SETTINGS.min_cpgs)
     return own.select("chr", F.col("block").cast("long").alias("block"), "n", "n_fit", "is_short", _r("nn"))
