@@ -130,3 +130,19 @@ def test_index_in_runs_of_bins(spark, monkeypatch):
         got = align.count_at_most(df, cpg, x=F.col("lo"), y=F.col("hi")).collect()
         assert len(got) == len(asked)
         assert all((r.x, r.y) == tuple(sum(p <= v for p in pos[r.annotation]) for v in (r.lo, r.hi)) for r in got)
+
+
+def test_events_are_summed_in_parts(spark, monkeypatch):
+    """Parts of a few positions, runs without reads over whole parts, and reads that end where others begin."""
+    monkeypatch.setattr(align, "EVENTS", 5)
+    rng = np.random.default_rng(7)
+    pos = sorted({int(p) for p in rng.integers(1, 3000, 90)})
+    cpg = align.position_index(spark.createDataFrame([("1", float(p)) for p in pos], "chr string, pos double"))
+    own = []
+    for _ in range(60):
+        a = int(rng.integers(0, 25)) + (60 if rng.random() < 0.5 else 0)
+        b = min(a + int(rng.integers(0, 12)), len(pos) - 1)
+        own.append((str(rng.choice(["s", "t"])), "1", float(pos[a]), float(pos[b]), ("1" if rng.random() < 0.5 else "0") * (b - a + 1), float(rng.integers(1, 4)), "+"))
+    reads = spark.createDataFrame(own, "sample string, chr string, read_start double, read_end double, hap string, cnt double, strand string")
+    mapped = align.map_reads(reads, cpg)
+    assert rows(align.locus_counts_by_events(mapped, cpg).toPandas()) == rows(align.locus_counts(mapped, cpg).toPandas())
