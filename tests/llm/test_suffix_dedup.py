@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hapdiff.llm import queries, suffix_dedup, suffix_sort
+from hapdiff.llm import common, queries, suffix_dedup, suffix_sort
 from tests.conftest import SMALL, rows
 from tests.llm.test_operators import TEXTS, docs, empty  # noqa: F401
 
@@ -120,3 +120,29 @@ def test_nothing(spark, empty):  # noqa: F811
 def test_query(spark, duck):
     have, want = queries.op11_suffix_dedup(spark, SMALL).toPandas(), duck.sql(suffix_dedup.ORACLE_SQL).df()
     assert rows(have) == rows(want) and have.n_removed.sum() > 0
+
+
+def test_rows_in_another_order_each_time(spark, monkeypatch):
+    """A table whose rows stand elsewhere whenever it is read, one of them there more often than blocks hold."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 20000)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    passages = [word(450) for _ in range(40)]
+    texts = [(k, word(rng.randrange(300)) + passages[k % 40] + word(rng.randrange(300))) for k in range(200)]
+    texts += [(k, word(600)) for k in range(200, 260)] + [(300, word(700))] * 90 + [(301, None)] * 900 + [(None, "x" * 500)] * 2
+    own = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    moved = own.mapInPandas(lambda parts: (p.sample(frac=1) for p in parts), own.schema)
+    same(suffix_dedup.cut_repeats(moved), [t for _, t in texts], [k for k, _ in texts], 400)
+
+
+def test_blocks_follow_from_the_rows(spark, monkeypatch):
+    """Whatever the partitions; rows that are equal are spread, and none is lost or made too often."""
+    monkeypatch.setattr(common, "COPIES_EACH", 7)
+    texts = [(k, f"text {k}") for k in range(500)] + [(None, "again")] * 700 + [(1, None)] * 3
+    own = spark.createDataFrame(texts, "at long, count string")
+    dealt = [common.deal(own.repartition(p), "count", 1000) for p in (1, 3, 8)]
+    assert {n for _, n in dealt} == {-(-sum(64 + len(t or "") for _, t in texts) // 1000)}
+    have = [Counter(map(tuple, d.collect())) for d, _ in dealt]
+    assert have[0] == have[1] == have[2]
+    assert Counter(r[:2] for r in have[0].elements()) == Counter(texts)
+    assert len({b for k, t, b in have[0] if t == "again"}) > 20
