@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import operator
 import re
 import tempfile
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 19
 #: A blank behind white space, where a text isn't cut, and the places where it is.
 NO_CUT, CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
+#: Pieces whose ids are made, or whose bytes are looked at, together.
+TOGETHER = 2048
 #: A pair is in as many rows as there are blocks with it: so many of them meet in a task of the join with its count.
 BLOCKS_EACH = 4096
 #: The byte-level scheme's way of cutting texts, and the bytes that stand for themselves in its alphabet.
@@ -64,6 +67,21 @@ class ByteLevel:
         """The ids of a blank and each text; they spell it whatever it is. No token has a blank behind another sign than white space."""
         return [self.encoding.encode_ordinary(" " + t) for t in texts]
 
+    def flat(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has. Pieces that end without white space are encoded as one text, with
+        blanks between them: no token reaches over those, so its ids are theirs."""
+        ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(pieces), TOGETHER):
+            own = pieces[at : at + TOGETHER]
+            if "" in own or list(map(str.rstrip, own)) != own:
+                got, n = _flat(self.ids(own))
+            else:
+                got = np.array(self.encoding.encode_ordinary(" " + " ".join(own)), np.int64)
+                n = np.diff(np.searchsorted(np.cumsum(self.sizes[got]), _stops(own)) + 1, prepend=0)
+            ids.append(got)
+            counts.append(n)
+        return np.concatenate(ids), np.concatenate(counts)
+
 
 class Pieces:
     """A SentencePiece model, which puts the blank before a text itself."""
@@ -84,6 +102,33 @@ class Pieces:
         own = [ids if t.strip(" ") else ids[before:] for t, ids in zip(texts, own, strict=True)]
         return [ids if b"".join(map(self.spelled.__getitem__, ids)) == (" " + t).encode() else None for t, ids in zip(texts, own, strict=True)]
 
+    def flat(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has, -1 where its bytes are others. The bytes of many pieces are compared
+        at once, and one by one only where those differ."""
+        ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        encoded = self.model.encode(pieces, num_threads=1)
+        for at in range(0, len(pieces), TOGETHER):
+            own, each = pieces[at : at + TOGETHER], encoded[at : at + TOGETHER]
+            got, n = _flat(each)
+            same = n.all() and (np.cumsum(self.sizes[got])[np.cumsum(n) - 1] == _stops(own)).all()
+            if not same or b"".join(map(self.spelled.__getitem__, itertools.chain.from_iterable(each))) != (" " + " ".join(own)).encode():
+                got, n = _flat(self.ids(own))
+            ids.append(got)
+            counts.append(n)
+        return np.concatenate(ids), np.concatenate(counts)
+
+
+def _flat(ids: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, and how many each has; -1 for None."""
+    own = [x or () for x in ids] if None in ids else ids
+    n = np.array([-1 if x is None else len(x) for x in ids] if None in ids else list(map(len, ids)), np.int64)
+    return np.array(list(itertools.chain.from_iterable(own)), np.int64), n
+
+
+def _stops(pieces: list[str]) -> np.ndarray:
+    """Where pieces end in bytes, each behind its blank."""
+    return np.cumsum(np.array(list(map(len, map(str.encode, pieces))), np.int64) + 1)
+
 
 @functools.lru_cache(2)
 def _vocabularies(first: bytes, second: bytes) -> tuple[ByteLevel, Pieces]:
@@ -100,14 +145,13 @@ def cut_text(text: str) -> list[str]:
 class _Slice:
     """The tokens of some pieces in DuckDB: a and b (i, id, s, e) and d (k, n, e), on one axis of bytes."""
 
-    def __init__(self, con: duckdb.DuckDBPyConnection, at: np.ndarray, counts: np.ndarray, tokens: list[list[list[int]]], sides: tuple[ByteLevel, Pieces]):
+    def __init__(self, con: duckdb.DuckDBPyConnection, at: np.ndarray, counts: np.ndarray, tokens: list[tuple[np.ndarray, np.ndarray]], sides: tuple[ByteLevel, Pieces]):
         self.con, self.ids = con, []
-        for name, own, side in zip("ab", tokens, sides, strict=True):
-            ids = np.fromiter(itertools.chain.from_iterable(own), np.int64)
+        for name, (ids, _), side in zip("ab", tokens, sides, strict=True):
             ends = np.cumsum(side.sizes[ids])
             self.ids.append(ids)
             con.register(name, pa.table({"i": np.arange(len(ids)), "id": ids, "s": ends - side.sizes[ids], "e": ends}))
-        last = np.cumsum(np.fromiter(map(len, tokens[1]), np.int64)) - 1
+        last = np.cumsum(tokens[1][1]) - 1
         con.register("d", pa.table({"k": at, "n": counts, "e": ends[last]}))
 
     def group(self) -> None:
@@ -164,16 +208,28 @@ class _Block:
         self.sides, known = sides, {}
         cut_ = cut_text if sides[1].cuts else lambda t: [t]
         docs = [[known.setdefault(p, len(known)) for p in cut_(t)] if t else None for t in texts]
+        # pieces that end in white space come last, where they are encoded one by one; without cuts pieces are texts
         words = list(known)
-        self.tokens = [side.ids(words) for side in sides]
-        good = np.fromiter((b is not None for b in self.tokens[1]), bool, len(words))
+        late = np.array(list(map(operator.ne, words, map(str.rstrip, words))), bool)
+        late[[known[""]] if "" in known else []] = True
+        place = None
+        if late.any():
+            order = np.argsort(late, kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            words = list(map(words.__getitem__, order.tolist()))
+        self.tokens = [side.flat(words) for side in sides]
+        good = self.tokens[1][1] >= 0
         docs = [None if d is None else np.array(d, np.int64) for d in docs]
+        if place is not None:
+            docs = [None if d is None else place[d] for d in docs]
         self.docs = [d if d is not None and good[d].all() else None for d in docs]
         self.counts = np.zeros(len(words), np.int64)
         for d in self.docs:
             if d is not None:
                 np.add.at(self.counts, d, 1)
-        self.sizes = [np.fromiter((0 if x is None else len(x) for x in own), np.int64, len(words)) for own in self.tokens]
+        self.sizes = [np.maximum(n, 0) for _, n in self.tokens]
+        self.begins = [np.cumsum(n) - n for n in self.sizes]
 
     def slices(self, con: duckdb.DuckDBPyConnection) -> Iterator[_Slice]:
         """The pieces that documents have, about SLICE_BYTES at a time."""
@@ -181,7 +237,13 @@ class _Block:
         weight = self.sizes[1][used] * 4  # some four bytes a token
         part = (np.cumsum(weight) - weight) // SLICE_BYTES
         for at in np.split(used, np.flatnonzero(np.diff(part)) + 1) if len(used) else ():
-            yield _Slice(con, at, self.counts[at], [[own[k] for k in at] for own in self.tokens], self.sides)
+            yield _Slice(con, at, self.counts[at], [self._tokens(at, k) for k in range(2)], self.sides)
+
+    def _tokens(self, at: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these pieces in a row, and how many each has."""
+        ids, n = self.tokens[side][0], self.sizes[side]
+        own = n[at]
+        return ids[np.arange(int(own.sum())) + np.repeat(self.begins[side][at] - (np.cumsum(own) - own), own)], own
 
 
 def _connect(spill: str) -> duckdb.DuckDBPyConnection:

@@ -169,6 +169,38 @@ def test_ids_of_pieces_are_the_whole_texts():
             assert sum(own, []) == second.model.encode(text), repr(text)
 
 
+@pytest.mark.parametrize("together", [1, 5, 64])
+def test_ids_of_many_pieces_at_once(monkeypatch, together):
+    """In a row and in few calls, they are those of each piece alone, whatever white space, odd signs and unspelled pieces lie between."""
+    monkeypatch.setattr(token_align, "TOGETHER", together)
+    rng = random.Random(8)
+    sides = token_align._vocabularies(*[open(p, "rb").read() for p in (BYTES, PIECES)])
+    parts = [" ", "\n", "\t", "a", "the", "ing", "'s", "é", "\u3000", "\xa0", "\x1c", "\x85", "0", ".", "--", "\U0001f600", "<s>", "<0x41>", "\u2581", "ﬁ", "\0"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) if rng.random() < 0.3 else rng.choice(["word", "der", "Ängste", "x1.5"]) for _ in range(40)]
+        block = token_align._Block(texts, sides)
+        pieces = sorted({p for t in texts if t for p in token_align.cut_text(t)}, key=lambda p: rng.random())
+        for side in sides:
+            each = side.ids(pieces)
+            ids, n = side.flat(pieces)
+            assert n.tolist() == [-1 if x is None else len(x) for x in each]
+            assert ids.tolist() == [i for x in each if x is not None for i in x]
+        for t, d in zip(texts, block.docs, strict=True):
+            own = [side.ids(token_align.cut_text(t)) for side in sides] if t else [[None]] * 2
+            assert (d is None) == (None in own[1])
+            for k in range(2) if d is not None else ():
+                ids, n = block._tokens(d, k)
+                assert (ids.tolist(), n.tolist()) == (sum(own[k], []), list(map(len, own[k])))
+    assert sides[1].flat([])[0].tolist() == sides[0].flat([])[0].tolist() == []
+
+
+def test_words_are_encoded_together(monkeypatch):
+    sides = token_align._vocabularies(*[open(p, "rb").read() for p in (BYTES, PIECES)])
+    monkeypatch.setattr(token_align.ByteLevel, "ids", lambda *_: pytest.fail("one by one"))
+    monkeypatch.setattr(token_align.Pieces, "ids", lambda *_: pytest.fail("one by one"))
+    assert len(token_align._Block(["one two three"] * 3 + ["four\nfive six"], sides).docs) == 4
+
+
 def test_token_align_in_many_blocks(spark, monkeypatch):
     """Blocks of a few documents and a join in several parts give what one block gives; so do repeated rows."""
     own = spark.createDataFrame([(k % 40, t) for k, t in enumerate(TEXTS[:60])] + [(7, "one two")] * 5, "doc_id long, text string")
