@@ -146,3 +146,37 @@ def test_blocks_follow_from_the_rows(spark, monkeypatch):
     assert have[0] == have[1] == have[2]
     assert Counter(r[:2] for r in have[0].elements()) == Counter(texts)
     assert len({b for k, t, b in have[0] if t == "again"}) > 20
+
+
+@pytest.mark.parametrize("window", [5, 40, 400])
+def test_strings_follow_from_the_texts(monkeypatch, window):
+    """Documents in another order, so that chunks end elsewhere: the same strings are packed."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
+    texts = [(t or "").encode() for t in TEXTS[:60]] + [b"", b"ab" * 900, b"a line of a list, " * 150]
+
+    def packed(own, hot):
+        block = suffix_dedup._Block(own, window)
+        least = np.unique(block.least)
+        return Counter((*s[:3], block.packed(*s[3:]), block.alone(s[0], *s[3:])) for s in block.strings(least, np.full(len(least), hot)))
+
+    for hot in (False, True):
+        want = packed(texts, hot)
+        assert want and all(packed(random.Random(k).sample(texts, len(texts)), hot) == want for k in range(5))
+
+
+def test_chunks_end_elsewhere_each_time(spark):
+    """Every text is there twice and all of it goes, in a block of several chunks whose rows are in another order whenever it is read."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    texts = [word(30) * rng.randrange(30, 200) for _ in range(60)] + [word(rng.randrange(400, 6000)) for _ in range(60)]
+    rows_ = [(k, t) for k, t in enumerate(2 * texts)]
+    assert 2 * suffix_dedup.CHUNK < sum(len(t) for _, t in rows_) < suffix_dedup.BLOCK_BYTES
+    own = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    moved = own.mapInPandas(lambda parts: (p.sample(frac=1, random_state=random.SystemRandom().randrange(1 << 32)) for p in parts), own.schema)
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # else passes of one job read the same files, in one order where there is one machine
+    try:
+        have = suffix_dedup.cut_repeats(moved).select("doc_id", "n_bytes", "n_removed", "kept").collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert sorted((r.doc_id, r.n_bytes) for r in have) == [(k, len(t)) for k, t in rows_]
+    assert [r.doc_id for r in have if r.n_removed != r.n_bytes or r.kept] == []
