@@ -42,20 +42,26 @@ def _slots(df: DataFrame, a: str, b: str, levels: Sequence[int], kind: int, want
     return F.concat(none, *parts)
 
 
-def overlaps(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], salts: int = SALTS) -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], salts: int = SALTS, look: bool = False) -> DataFrame:
     """Pairs of rows of one chr whose closed spans share a base, each pair once. The other columns' names must differ.
 
     A pair meets on the level of its longer span, in the bin in which what both share begins. The left side, the larger one, goes to
     the levels that spans of the right side have, which are looked up first, and where it is longer to its own; the right side to its
-    own level and, for longer spans of the left side, to all above it. So a span is in a few bins however long it is. salts: how many
-    tasks share a bin's rows of the left side.
+    own level and, for longer spans of the left side, to those above it. So a span is in a few bins however long it is. salts: how many
+    tasks share a bin's rows of the left side. look: the left side's levels are looked up too, in a pass over it, so that the right
+    side goes to no others; else it goes to all above its own, unless the left side's spans are single positions.
     """
     (a, b), (c, d) = left_span, right_span
     slot, salt = fresh(left, "tree_slot"), fresh(left, "tree_salt")
-    levels = sorted(r[0] for r in right.select(_level(c, d)).distinct().collect())  # one for each level of the tree
-    own = [_slots(left, a, b, levels, 1, lambda mine, k: mine <= k), _slots(left, a, b, range(1, TOP + 1), 2, lambda mine, k: mine == k)]
+    sides = right.select(_level(c, d).alias("level"), F.lit(False).alias("of_left"))
+    if look and a != b:
+        sides = sides.unionByName(left.select(_level(a, b).alias("level"), F.lit(True).alias("of_left")))
+    found = sides.distinct().collect()  # one for each level of the tree and side
+    levels = sorted(r.level for r in found if not r.of_left)
+    above = [] if a == b else sorted(r.level for r in found if r.of_left and r.level > 0) if look else range(1, TOP + 1)
+    own = [_slots(left, a, b, levels, 1, lambda mine, k: mine <= k), _slots(left, a, b, above, 2, lambda mine, k: mine == k)]
     one = left.withColumn(salt, F.pmod(F.xxhash64(a, b, F.monotonically_increasing_id()), F.lit(salts))).withColumn(slot, F.explode(F.concat(*own)))
-    own = [_slots(right, c, d, levels, 1, lambda mine, k: mine == k), _slots(right, c, d, range(1, TOP + 1), 2, lambda mine, k: mine < k)]
+    own = [_slots(right, c, d, levels, 1, lambda mine, k: mine == k), _slots(right, c, d, above, 2, lambda mine, k: mine < k)]
     two = right.withColumn(slot, F.explode(F.concat(*own))).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     pairs = one.join(two, ["chr", slot, salt]).filter((F.col(a) <= F.col(d)) & (F.col(b) >= F.col(c)))
     size = functools.reduce(lambda other, k: F.when(F.col(f"{slot}.level") == k, _size(k)).otherwise(other), range(TOP), F.lit(_size(TOP)))
@@ -124,9 +130,12 @@ def region_matrices(loci: DataFrame, mapped: DataFrame, regions: DataFrame, cpg:
 
 
 def overlap_labels(results: DataFrame, labels: DataFrame) -> DataFrame:
-    """results and labelled regions (label_id, chr, start0: zero-based, label_end, category) that overlap."""
+    """results, a table or a checkpoint, and labelled regions (label_id, chr, start0: zero-based, label_end, category) that overlap.
+
+    Labels are the side that may be large: they go to the levels of results alone, without a copy for each task of a bin.
+    """
     own = labels.withColumn("label_start", F.col("start0") + 1)
-    return overlaps(results, own, ("start", "end"), ("label_start", "label_end"))
+    return overlaps(own, results, ("label_start", "label_end"), ("start", "end"), look=True)
 
 
 def best_hit(pairs: DataFrame) -> DataFrame:

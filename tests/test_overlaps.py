@@ -61,3 +61,53 @@ def test_nothing_on_one_side(spark):
     other = some.withColumnsRenamed({"a": "c", "b": "d"})
     assert regions.overlaps(some, other.limit(0), ("a", "b"), ("c", "d")).count() == 0
     assert regions.overlaps(some.limit(0), other, ("a", "b"), ("c", "d")).count() == 0
+
+
+@pytest.mark.parametrize("most", [(26, 30), (30, 12), (9, 9)])
+def test_each_pair_once_with_both_sides_looked_up(spark, most):
+    rng = np.random.default_rng(2)
+    left, right = spans(rng, 300, "ab", most[0]), spans(rng, 250, "cd", most[1])
+    one = spark.createDataFrame(left, "chr string, a long, b long, i long")
+    two = spark.createDataFrame(right, "chr string, c long, d long, j long")
+    got = [(r.i, r.j) for r in regions.overlaps(one, two, ("a", "b"), ("c", "d"), look=True).collect()]
+    want = {(x[3], y[3]) for x in left for y in right if x[0] == y[0] and x[1] <= y[2] and x[2] >= y[1]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_positions_within_spans(spark):
+    """A side of single positions has the lowest level alone."""
+    rng = np.random.default_rng(3)
+    left, right = [(str(rng.choice(["1", "2"])), int(rng.integers(1, 3e6)), k) for k in range(2000)], spans(rng, 200, "cd", 30)
+    one = spark.createDataFrame(left, "chr string, a long, i long")
+    two = spark.createDataFrame(right, "chr string, c long, d long, j long")
+    got = [(r.i, r.j) for r in regions.overlaps(one, two, ("a", "a"), ("c", "d")).collect()]
+    want = {(x[2], y[3]) for x in left for y in right if x[0] == y[0] and y[1] <= x[1] <= y[2]}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def shuffled_rows(spark, df):
+    """The rows of df, and how many rows were written to shuffles for them."""
+    group = f"overlaps-{id(df)}"
+    spark.sparkContext.setJobGroup(group, group)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return rows, sum(context.statusStore().lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_labels_are_dealt_once(spark):
+    """Labels are the many; each goes to its bins once, not to every level and every task of a bin."""
+    n = 4000
+    labels = spark.range(n).select(F.col("id").alias("label_id"), F.lit("1").alias("chr"), (F.col("id") * 40).alias("start0"), (F.col("id") * 40 + 600).alias("label_end"), F.lit("NC").alias("category"))
+    results = spark.createDataFrame([("1", 1 + 9000 * k, 250 + 9000 * k, "+", 0.5) for k in range(20)], "chr string, start long, end long, direction string, fdr double")
+    rows, written = shuffled_rows(spark, regions.overlap_labels(results, labels))
+    want = {(i, 1 + 9000 * k) for i in range(n) for k in range(20) if 40 * i + 1 <= 250 + 9000 * k and 40 * i + 600 >= 1 + 9000 * k}
+    assert len(rows) == len(want) and {(r.label_id, r.start) for r in rows} == want
+    assert 0 < written < 2 * n
