@@ -44,11 +44,10 @@ def false_discovery(df: DataFrame, p: str = "empirical_p_value", name: str = "fd
 
     Equal p have equal adjustments, so the table of distinct p with its ranks is what is ordered, in bins.
     """
-    n = df.filter(F.col(p).isNotNull()).agg(F.count("*").alias("_n"))
     values = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_k")).withColumn("_b", F.floor(F.col("_p") * 4096).cast("int"))
     per_bin = values.groupBy("_b").agg(F.sum("_k").alias("_kb"))
-    before = per_bin.withColumn("_off", F.sum("_kb").over(W.orderBy("_b")) - F.col("_kb")).drop("_kb")
-    ranked = values.join(before, "_b").crossJoin(F.broadcast(n))
+    before = per_bin.withColumns({"_off": F.sum("_kb").over(W.orderBy("_b")) - F.col("_kb"), "_n": F.sum("_kb").over(W.partitionBy())}).drop("_kb")
+    ranked = values.join(before, "_b")
     rank = F.col("_off") + F.sum("_k").over(W.partitionBy("_b").orderBy("_p"))
     ranked = ranked.withColumn("_a", F.col("_p") * F.col("_n") / rank)
     later = ranked.groupBy("_b").agg(F.min("_a").alias("_m"))

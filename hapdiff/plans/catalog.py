@@ -434,7 +434,7 @@ _LABELS_SQL = """(select p_partkey as label_id, concat('chr', cast(1+p_partkey%4
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     part = spark.read.parquet(f"{d}/part.parquet")
     labels = spark.sql("select * from " + _LABELS_SQL.format(text="string", part="{part}"), part=part)
-    return regions.overlap_labels(_results(spark, d).select("chr", "start", "end", "direction", "fdr"), labels)
+    return regions.overlap_labels(cut(_results(spark, d).select("chr", "start", "end", "direction", "fdr")), labels)
 
 
 _HITS = "(select l.label_id, l.category, r.chr, r.start, r.\"end\", r.direction, r.fdr from called r join " + _LABELS_SQL.format(text="varchar", part="part") + " l on l.chr=r.chr and r.start <= l.label_end and r.\"end\" >= l.start0+1)"

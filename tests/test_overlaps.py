@@ -111,3 +111,23 @@ def test_labels_are_dealt_once(spark):
     want = {(i, 1 + 9000 * k) for i in range(n) for k in range(20) if 40 * i + 1 <= 250 + 9000 * k and 40 * i + 600 >= 1 + 9000 * k}
     assert len(rows) == len(want) and {(r.label_id, r.start) for r in rows} == want
     assert 0 < written < 2 * n
+
+
+def many_labels(spark, n):
+    """Labels, regions whose fdr goes up and down, and each label's first region by fdr and place, by all pairs."""
+    own = [(i, 40 * i, 40 * i + 600, ("Hyper", "Hypo", "NC")[i % 3]) for i in range(n)]
+    found = [("1", 1 + 700 * k, 500 + 700 * k, "+-"[k % 2], (k * 7 % 5) / 50) for k in range(40)]
+    best = {}
+    for i, a, b, category in own:
+        hit = [(r[4], r[1], r[3]) for r in found if r[1] <= b and r[2] >= a + 1]
+        if hit:
+            best[i] = (category, *min(hit))
+    labels = spark.createDataFrame([(i, "1", a, b, c) for i, a, b, c in own], "label_id long, chr string, start0 long, label_end long, category string")
+    return labels, spark.createDataFrame(found, "chr string, start long, end long, direction string, fdr double"), best
+
+
+def test_best_hits_of_many_labels(spark):
+    labels, results, best = many_labels(spark, 4000)
+    rows, written = shuffled_rows(spark, regions.best_hit(regions.overlap_labels(results, labels)))
+    assert {r.label_id: (r.category, r.fdr, r.start, r.direction) for r in rows} == best and len(rows) == len(best) > 600
+    assert 0 < written < 3 * 4000
