@@ -1,5 +1,7 @@
 """Overlaps by a tree of bins against comparing all with all."""
 
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +133,12 @@ def test_best_hits_of_many_labels(spark):
     rows, written = shuffled_rows(spark, regions.best_hit(regions.overlap_labels(results, labels)))
     assert {r.label_id: (r.category, r.fdr, r.start, r.direction) for r in rows} == best and len(rows) == len(best) > 600
     assert 0 < written < 3 * 4000
+
+
+def test_confusion_of_many_labels(spark):
+    labels, results, best = many_labels(spark, 4000)
+    hits = regions.best_hit(regions.overlap_labels(results, labels))
+    rows, written = shuffled_rows(spark, regions.confusion(hits.withColumn("call", F.when(F.col("fdr") > 0.05, "NC").otherwise(F.col("direction")))))
+    want = collections.Counter((c, "NC" if fdr > 0.05 else direction) for c, fdr, _, direction in best.values())
+    assert {(r.category, r.call): r.n for r in rows} == want and len(want) > 3
+    assert 0 < written < 3 * 4000
